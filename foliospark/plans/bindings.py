@@ -125,7 +125,7 @@ class Tables:
         )
         return self.table("orders").select(
             F.col("o_custkey").alias("board_id"), F.col("o_orderdate").alias("placed_on"),
-            F.col("o_orderkey").alias("problem_id"), F.bround(F.col("o_totalprice") / 100000, 6).alias("height_pages"),
+            F.col("o_orderkey").alias("problem_id"), (F.floor("o_totalprice") / 100000).alias("height_pages"),
             subject.alias("subject"), (F.col("o_orderkey") % 7 == 0).alias("heavy"),
             F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderstatus") == "F").alias("allowed"),
         )

@@ -80,7 +80,7 @@ FROM (SELECT page_id, block_id, pos, CAST(unnest(range(len(ss))) AS INT) AS line
 """)
 cte("v_heights", """
 SELECT o_custkey AS board_id, o_orderdate AS placed_on, o_orderkey AS problem_id,
-       round_even(o_totalprice / 100000, 6) AS height_pages,
+       floor(o_totalprice) / 100000 AS height_pages,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'math' WHEN '2-HIGH' THEN 'korean' WHEN '3-MEDIUM' THEN 'science'
             WHEN '5-LOW' THEN 'english' ELSE 'unknown' END AS subject,
        o_orderkey % 7 = 0 AS heavy,
