@@ -258,3 +258,31 @@ def folded(
         for n in items
     ]
     return cut.groupBy(*keys, "part").agg(*arrays, *totals)
+
+
+def keyed_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, spread_by: Column,
+    rows: int | None = None,
+) -> DataFrame:
+    """Join rows to one row per key when a key may hold a large share of the left rows.
+
+    Keys with more than ``rows`` left rows are counted first. Their left rows are
+    dealt over several salts by ``spread_by`` and their right row is repeated per
+    salt. Without such keys this is a plain join.
+    """
+    rows = rows or GROUP_ROWS
+    sizes = left.groupBy(*keys).count().where(F.col("count") > rows)
+    sizes = sizes.select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("_salts"))
+    found = sizes.limit(MAX_BIG_GROUPS + 1).collect()
+    if not found:
+        return left.join(right, list(keys), how)
+    spark = left.sparkSession
+    if len(found) <= MAX_BIG_GROUPS:
+        sizes = F.broadcast(spark.createDataFrame(found, sizes.schema))
+    one = F.lit(1)
+    salted = left.join(sizes, list(keys), "left").withColumn("_salts", F.coalesce("_salts", one))
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).drop("_salts")
+    copies = right.join(sizes, list(keys), "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", one) - 1))
+    )
+    return salted.join(copies.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
