@@ -70,6 +70,30 @@ def problem_number(text: Column) -> Column:
     return F.when(digits != "", digits).cast("int")
 
 
+def best_line_number(lines: Column, width: Column, height: Column) -> Column:
+    """Best number candidate among a block's lines, as a struct; null without one.
+
+    A line near the block's top-left corner beats any other; within each kind
+    the lowest score wins. Works inside the row: nothing is exploded or moved.
+    """
+    across = lambda l: F.greatest(F.lit(0.0), l["bbox"]["left"] / F.greatest(width, F.lit(1.0)))  # noqa: E731,E741
+    down = lambda l: F.greatest(F.lit(0.0), l["bbox"]["top"] / F.greatest(height, F.lit(1.0)))  # noqa: E731,E741
+    candidates = F.transform(
+        lines,
+        lambda l, i: F.struct(  # noqa: E741
+            line_rank(down(l), across(l), i).alias("rank"), i.alias("line_no"), problem_number(l["text"]).alias("number")
+        ),
+    )
+    return F.array_min(F.filter(candidates, lambda c: c["number"].isNotNull()))
+
+
+def line_rank(down: Column, across: Column, index: Column) -> Column:
+    """Sort value of a number candidate: outside the corner zone first, then the score."""
+    return F.struct(
+        (~((down <= 0.32) & (across <= 0.18))).alias("outside"), (down * 2.4 + across + index * 0.05).alias("score")
+    )
+
+
 def strip_problem_marker(text: Column) -> Column:
     """Text after the problem marker; null if nothing is left."""
     return filled(strip(F.regexp_replace(strip(text), PROBLEM_REGEX, "")))

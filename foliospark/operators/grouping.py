@@ -31,28 +31,38 @@ def line_numbers(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     down = F.greatest(F.lit(0.0), F.col("_t") / F.col("_h"))
     across = F.greatest(F.lit(0.0), F.col("_l") / F.col("_w"))
     scored = sized.select(
-        "page_id", "block_id", "_n",
-        (~((down <= 0.32) & (across <= 0.18))).alias("_outside"),
-        (down * 2.4 + across + F.col("line_no") * 0.05).alias("_score"),
-        "line_no",
-    )
-    best = scored.groupBy("page_id", "block_id").agg(
-        F.min(F.struct("_outside", "_score", "line_no", "_n")).alias("_best")
+        "page_id", "block_id", "_n", tx.line_rank(down, across, F.col("line_no")).alias("_rank"), "line_no"
     )
+    best = scored.groupBy("page_id", "block_id").agg(F.min(F.struct("_rank", "line_no", "_n")).alias("_best"))
     return best.select(
-        "page_id", "block_id", F.col("_best._n").alias("line_number"),
-        F.when(F.col("_best._outside"), "ocr_line").otherwise("ocr_top_left").alias("line_source"),
+        "page_id", "block_id", F.col("_best._n").alias("line_number"), _line_source(F.col("_best._rank.outside")).alias("line_source"),
     )
 
 
+def _line_source(outside: Column) -> Column:
+    return F.when(outside, "ocr_line").otherwise("ocr_top_left")
+
+
 def _flag(name: str, df: DataFrame) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
 def tag_blocks(blocks: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
-    """Per-block markers, number, resolved type and start flag (T1, T2, A3 inputs)."""
+    """Per-block markers, number, resolved type and start flag (T1, T2, A3 inputs).
+
+    Numbers in lines are taken from the blocks' own ``ocr_lines`` where present,
+    or from ``numbers`` (see ``line_numbers``) when lines are a separate table.
+    """
     if numbers is not None:
         blocks = blocks.join(numbers, ["page_id", "block_id"], "left")
+    elif "ocr_lines" in blocks.columns:
+        best = tx.best_line_number(F.col("ocr_lines"), F.col("width"), F.col("height"))
+        blocks = blocks.withColumn("_best", best).withColumns(
+            {
+                "line_number": F.col("_best.number"),
+                "line_source": F.when(F.col("_best").isNotNull(), _line_source(F.col("_best.rank.outside"))),
+            }
+        ).drop("_best", "ocr_lines")
     else:
         blocks = blocks.withColumns(
             {"line_number": F.lit(None).cast("int"), "line_source": F.lit(None).cast("string")}
@@ -97,12 +107,17 @@ def tag_blocks(blocks: DataFrame, numbers: DataFrame | None = None) -> DataFrame
             "block_type": resolved,
             "problem_marker": F.col("_raw_marker") | (elsewhere & tx.has_problem_marker(F.col("_source"))),
             "marker_conflict": F.col("choice_marker") & (F.col("_raw_marker") | numbered),
-            "display_title_text": F.coalesce(tx.strip_problem_marker(F.col("_source")), F.col("_source")),
+            "display_title_text": F.when(
+                text_number.isNotNull(), F.coalesce(tx.strip_problem_marker(F.col("_source")), F.col("_source"))
+            ).otherwise(F.col("_source")),
         }
     )
     words = {f"says_{s}": hit for s, hit in tx.subject_words(text).items()}
     tagged = tagged.withColumns(
-        {"is_start": starts(F.col("block_type")), "has_text": F.coalesce(text != "", F.lit(False)), **words}
+        {
+            "is_start": starts(F.col("block_type")), "has_text": F.coalesce(text != "", F.lit(False)),
+            "is_blank": F.col("_raw").isNull(), "overlap_marker": tx.has_overlap_marker(F.col("_raw")), **words,
+        }
     )
     return tagged.withColumnRenamed("_forced", "forced_start").drop(
         "_raw", "_source", "_titled", "_raw_marker", "line_number", "line_source"
@@ -148,37 +163,47 @@ def group_problems(tagged: DataFrame, rows: int | None = None) -> DataFrame:
     cut = scale.by_position(tagged, "reading_order", rows)
     said = [c for c in cut.columns if c.startswith("says_")]
     band = F.col("question_band_index") if "question_band_index" in tagged.columns else F.lit(None)
-    paged = scale.with_group_facts(
-        cut,
-        ["page_id"],
-        [
-            (~F.max("is_start") & ((F.count(band) > 0) | (F.count(F.lit(1)) > 1))).alias("fallback_grouping"),
-            *[F.max(c).alias(f"_page_{c}") for c in said],
-        ],
-    )
-    hits = {c.removeprefix("says_"): F.col(f"_page_{c}") for c in said}
-    paged = paged.withColumn("subject", page_subject(hits, F.col("page_subject"))).drop(*[f"_page_{c}" for c in said])
-    opens = F.col("is_start") | (F.col("reading_order") == 0) | F.col("fallback_grouping")
+    first = F.col("is_start") | (F.col("reading_order") == 0)
     grouped = scale.running(
-        paged, ["page_id"], [F.col("reading_order")], {"problem_index": Running("sum", opens.cast("int"))}
+        cut, ["page_id"], [F.col("reading_order")], {"_run": Running("sum", first.cast("int"))},
+        facts={
+            "_starts": ("max", F.col("is_start")), "_bands": ("max", band.isNotNull()), "_size": ("sum", F.lit(1)),
+            **{f"_page_{c}": ("max", F.col(c)) for c in said},
+        },
     )
-    return grouped.withColumns(
+    grouped = grouped.withColumn("fallback_grouping", ~F.col("_starts") & (F.col("_bands") | (F.col("_size") > 1)))
+    alone = F.col("fallback_grouping")
+    hits = {c.removeprefix("says_"): F.col(f"_page_{c}") for c in said}
+    grouped = grouped.withColumns(
         {
-            "opens": opens,
-            "unit_id": F.concat("page_id", F.lit("-problem-"), F.col("problem_index").cast("string")),
-            "role": block_role(F.col("block_type"), F.col("has_text"), F.col("fallback_grouping")),
+            "problem_index": F.when(alone, F.col("reading_order") + 1).otherwise(F.col("_run")).cast("bigint"),
+            "subject": page_subject(hits, F.col("page_subject")),
+            "opens": first | alone,
+            "role": block_role(F.col("block_type"), F.col("has_text"), alone),
         }
-    ).drop(scale.SLICE, *said)
+    ).withColumn("unit_id", F.concat("page_id", F.lit("-problem-"), F.col("problem_index").cast("string")))
+    return grouped.drop(scale.SLICE, "_run", "_starts", "_bands", "_size", *said, *[f"_page_{c}" for c in said])
+
 
+def problems_of(grouped: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """One row per problem: subject and number of its first block, role counts.
 
-def problems_of(grouped: DataFrame) -> DataFrame:
-    """One row per problem: subject, title and number of its first block, role counts."""
+    ``titles`` (page_id, block_id, display_title_text) adds the first block's
+    title; texts join only then, and are not carried through the grouping.
+    """
     counts = grouped.groupBy("page_id", "problem_index").agg(*role_counts("stem", "choice", "explanation", "figure"))
     first = grouped.where("opens").select(
-        "page_id", "unit_id", "problem_index", "subject", F.col("display_title_text").alias("title"),
-        "problem_number", "problem_number_source", "fallback_grouping",
+        "page_id", "unit_id", "problem_index", "block_id", "subject", "problem_number", "problem_number_source", "fallback_grouping"
     )
-    return first.join(counts, ["page_id", "problem_index"])
+    return with_titles(first, titles).join(counts, ["page_id", "problem_index"])
+
+
+def with_titles(openers: DataFrame, titles: DataFrame | None) -> DataFrame:
+    """Title of each problem's first block, if titles are given."""
+    if titles is not None:
+        found = titles.select("page_id", "block_id", F.col("display_title_text").alias("title"))
+        openers = openers.join(found, ["page_id", "block_id"], "left")
+    return openers.drop("block_id")
 
 
 def role_counts(*roles: str) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark import scale
 from foliospark.functions.geometry import Box, box, expand, from_edges
 from foliospark.functions.numbers import clamp
-from foliospark.operators.grouping import role_counts
+from foliospark.operators.grouping import role_counts, with_titles
 from foliospark.scale import Running
 from foliospark.settings import (
     CANVAS_PAGE_HEIGHT,
@@ -116,7 +116,7 @@ def overflow_allowed(explicit: Column, heavy: Column, subject: Column, template:
     return F.coalesce(explicit, heavy | F.coalesce(subject.isin(*template.overflow_subjects), F.lit(False)))
 
 
-def layout_inputs(grouped: DataFrame) -> DataFrame:
+def layout_inputs(grouped: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Placement inputs of each problem: height, flags, counts, title."""
     b = box()
     member = F.col("role").isNotNull()
@@ -125,10 +125,8 @@ def layout_inputs(grouped: DataFrame) -> DataFrame:
         F.max(F.when(member, b.bottom)).alias("_bottom"),
         *role_counts("stem", "choice", "figure"),
     )
-    first = grouped.where("opens").select(
-        "page_id", "problem_index", "unit_id", "subject", F.col("display_title_text").alias("title")
-    )
-    units = first.join(spans, ["page_id", "problem_index"])
+    first = grouped.where("opens").select("page_id", "problem_index", "unit_id", "block_id", "subject")
+    units = with_titles(first, titles).join(spans, ["page_id", "problem_index"])
     figure, choice = F.col("figure_count") > 0, F.col("choice_count") > 0
     return units.withColumns(
         {

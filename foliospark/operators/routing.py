@@ -23,6 +23,11 @@ def _is_figure() -> Column:
     return F.col("block_type").isin(*FIGURE_TYPES)
 
 
+def _blank(blocks: DataFrame) -> Column:
+    """Whether a block has no text; taken from its tag if it has been tagged."""
+    return F.col("is_blank") if "is_blank" in blocks.columns else ~tx.is_filled(F.col("text"))
+
+
 def page_reasons(blocks: DataFrame) -> DataFrame:
     """Distinct fallback reasons of each page in order of first use.
 
@@ -46,7 +51,7 @@ def segmentation_stats(blocks: DataFrame, pages: DataFrame, threshold: float = L
     large = _count_if(ratio >= threshold)
     stats = blocks.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("block_count"),
-        _count_if(tx.is_filled(F.col("text"))).alias("text_block_count"),
+        _count_if(~_blank(blocks)).alias("text_block_count"),
         _count_if(_is_figure()).alias("image_block_count"),
         large.alias("large_block_count"),
         F.bround(large / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("large_block_ratio"),
@@ -75,7 +80,7 @@ def ocr_diagnostics(blocks: DataFrame) -> DataFrame:
     names = blocks.columns
     has = lambda n, d: F.col(n) if n in names else F.lit(None).cast(d)
     written = ~_is_figure()
-    blank = ~tx.is_filled(F.col("text"))
+    blank = _blank(blocks)
     weak = F.col("confidence").isNull() | (F.col("confidence") < LOW_CONFIDENCE) | blank
     flagged = blocks.withColumns(
         {
@@ -230,15 +235,12 @@ def repair_status(routes: DataFrame, *, max_blocks: int = MAX_REPAIR_BLOCKS) ->
 def repair_reasons(tagged: DataFrame, ocr_mode: str, *, forced: bool = False) -> DataFrame:
     """The other list of reasons to correct a page.
 
-    ``tagged`` has grouped blocks with their raw text. A page of one block has
-    no reason but a forced one.
+    ``tagged`` has grouped blocks with their tags. A page of one block has no
+    reason but a forced one.
     """
-    blank = ~tx.is_filled(F.col("text"))
     written = ~_is_figure()
-    weak = written & (blank | F.col("confidence").isNull() | (F.col("confidence") < LOW_CONFIDENCE))
-    flagged = tagged.withColumns(
-        {"_written": written, "_weak": weak, "_overlap": tx.has_overlap_marker(F.col("text"))}
-    )
+    weak = written & (F.col("is_blank") | F.col("confidence").isNull() | (F.col("confidence") < LOW_CONFIDENCE))
+    flagged = tagged.withColumns({"_written": written, "_weak": weak, "_overlap": F.col("overlap_marker")})
     facts = flagged.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("problem_index").alias("_problems"), F.max("is_start").alias("_starts"),
         F.max("fallback_grouping").alias("_fallback"), _count_if(F.col("_written")).alias("_writ"),

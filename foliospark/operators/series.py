@@ -7,6 +7,7 @@ series is spread over tasks like many short ones.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,7 +203,6 @@ def merge_small_bands(bands_frame: DataFrame, rules: BandRules = RULES, part_ban
     wider than ``near_gap`` or if both its bands are tall. Chains are cut there
     first and each chain is one small group.
     """
-    key = F.col("series_id")
     ranked = scale.rank(bands_frame, KEY, [F.col("first")], "_no", sized_by=bands_frame, rows=part_bands)
     ranked = scale.staged(ranked)
     before = ranked.select(
@@ -222,11 +222,8 @@ def merge_small_bands(bands_frame: DataFrame, rules: BandRules = RULES, part_ban
     far = 10**9
 
     def settle(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values("first")
         open_bands = list(zip(pdf["first"].tolist(), pdf["last"].tolist(), strict=True))
-        closed: list[tuple[int, int]] = []
         # Bands before the current one can no longer change on their own, so
         # starting over after a merge means stepping back one band at most.
         at = 0
@@ -241,18 +238,14 @@ def merge_small_bands(bands_frame: DataFrame, rules: BandRules = RULES, part_ban
             lo, hi = min(at, mate), max(at, mate)
             open_bands[lo:hi + 1] = [(open_bands[lo][0], max(open_bands[lo][1], open_bands[hi][1]))]
             at = max(lo - 1, 0)
-        closed.extend(open_bands)
         return pd.DataFrame(
-            {"series_id": pdf["series_id"].iloc[0], "first": [a for a, _ in closed], "last": [b for _, b in closed]}
+            {"series_id": pdf["series_id"].iloc[0], "first": [a for a, _ in open_bands], "last": [b for _, b in open_bands]}
         )
 
-    plain = chained.groupBy(*KEY, "_chain").agg(F.count(F.lit(1)).alias("_n"), F.max(scale.SLICE).alias("_last"))
-    alone = plain.where("_n = 1").select(*KEY, "_chain")
-    single = chained.join(alone, [*KEY, "_chain"]).select(key, "first", "last")
-    many = chained.join(alone, [*KEY, "_chain"], "left_anti").select(key, "_chain", "first", "last")
     types = dict(bands_frame.dtypes)
     schema = f"series_id {types['series_id']}, first bigint, last bigint"
-    return single.unionByName(many.groupBy(*KEY, "_chain").applyInPandas(settle, schema))
+    chains = chained.select(*KEY, "_chain", "first", "last")
+    return chains.groupBy(*KEY, "_chain").applyInPandas(settle, schema)
 
 
 def recursive_splits(

@@ -23,6 +23,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """A frame that several parts of one query use, made once."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -84,6 +91,28 @@ class Tables:
             F.lit(False).alias("force_problem_start"),
         )
 
+    @cached_property
+    def read_blocks(self) -> DataFrame:
+        """Blocks with their lines inside, as page files have them."""
+        n = F.col("pos")
+
+        def line(s, i):
+            text = (
+                F.when((i == 0) & (n % 5 == 0), F.concat((F.floor(n / 5) + 1).cast("string"), F.lit(". "), s))
+                .when((i == 1) & (n % 5 == 1), F.concat((n % 9 + 1).cast("string"), F.lit(") "), s))
+                .when((i == 2) & (n % 3 == 2), F.concat(F.lit("["), (n % 99 + 1).cast("string"), F.lit("] "), s))
+                .otherwise(s)
+            )
+            box = F.struct(((i % 3) * 30).cast("double").alias("left"), (i * 6).cast("double").alias("top"))
+            return F.struct(text.alias("text"), box.alias("bbox"))
+
+        lines = F.transform(F.split("line", "\\. "), line)
+        return self.blocks.withColumn("ocr_lines", F.when(F.col("text").isNotNull(), lines))
+
+    @cached_property
+    def box_table(self) -> DataFrame:
+        return scale.staged(self.boxes)
+
     @cached_property
     def block_table(self) -> DataFrame:
         """The blocks as a written table, for work that reads them more than once."""

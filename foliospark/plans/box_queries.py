@@ -165,7 +165,7 @@ WHERE NOT EXISTS (SELECT 1 FROM v_frames f WHERE f.page_id = c.page_id AND f.box
    OR (SELECT count(*) FROM v_frames f WHERE f.page_id = c.page_id) >= c.n
 """)
 def _(t):
-    return boxes.prune_containers(t.boxes, F.lit(12000.0)).select("page_id", "box_id")
+    return boxes.prune_containers(t.box_table, F.lit(12000.0)).select("page_id", "box_id")
 
 
 @query("band_lookup", """
@@ -176,10 +176,10 @@ SELECT page_id, box_id, coalesce(first(fill) , 0.25) AS fill_ratio FROM (
   GROUP BY b.page_id, b.box_id) GROUP BY page_id, box_id, fill
 """.replace("coalesce(first(fill) , 0.25)", "coalesce(fill, 0.25)").replace(") GROUP BY page_id, box_id, fill", ")"))
 def _(t):
-    candidates = t.boxes.where(F.col("box_id") % 2 == 0).select(
+    candidates = t.box_table.where(F.col("box_id") % 2 == 0).select(
         "page_id", (F.col("left") - 0.5).alias("left"), "top", F.col("box_id").alias("candidate_no"), "fill_ratio"
     )
-    return boxes.band_lookup(t.boxes, candidates).select("page_id", "box_id", "fill_ratio")
+    return boxes.band_lookup(t.box_table, candidates).select("page_id", "box_id", "fill_ratio")
 
 
 @query("geometry_types", """
@@ -223,3 +223,19 @@ FROM (SELECT doc_id, CAST(n_chars * 97 - 5000 AS DOUBLE) AS n FROM documents)
 """)
 def _(t):
     return t.table("documents").select("doc_id", file_size_label(F.col("n_chars") * 97 - 5000).alias("label"))
+
+
+@query("merge_boxes")
+def _(t):
+    """Boxes of a page, one per line of a document, joined where they touch."""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    made = F.transform(
+        lines,
+        lambda s, i: F.struct(
+            ((i % 3) * 260).cast("double").alias("left"), ((F.floor(i / 3) * 120) + (F.length(s) % 17)).cast("double").alias("top"),
+            (F.length(s) % 150 + 20).cast("double").alias("width"), (F.length(s) % 40 + 10).cast("double").alias("height"),
+        ),
+    )
+    pages = t.spread("documents").select(F.col("doc_id").cast("string").alias("page_id"), made.alias("boxes"))
+    rows = boxes.merge_boxes(pages, gap_x=20.0, gap_y=5.0).select("page_id", F.posexplode("boxes").alias("box_no", "b"))
+    return rows.select("page_id", "box_no", "b.*")

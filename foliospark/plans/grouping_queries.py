@@ -12,15 +12,23 @@ from foliospark.plans.bindings import Tables
 from foliospark.plans.registry import query
 
 
+def tags(t: Tables):
+    """Tagged blocks as a table. Tagging looks at one row at a time, so texts are read once."""
+    return t.once("tags", lambda: scale.staged(grouping.tag_blocks(t.read_blocks).drop("text", "line", "display_title")))
+
+
+def titles(t: Tables):
+    return tags(t).select("page_id", "block_id", "display_title_text")
+
+
 def tagged(t: Tables):
-    """Blocks in reading order with their markers."""
-    numbers = grouping.line_numbers(t.lines, t.block_table)
-    return grouping.tag_blocks(ordering.reading_order(t.block_table), numbers)
+    """Tags in reading order; titles stay behind, so what is sorted and moved is narrow."""
+    return ordering.reading_order(tags(t).drop("display_title_text"))
 
 
 def grouped(t: Tables):
-    """Blocks with their problem. Tags and groups are written, as several steps read each."""
-    return scale.staged(grouping.group_problems(scale.staged(tagged(t).drop("text", "line"))))
+    """Blocks with their problem; written, as several steps read them."""
+    return t.once("grouped", lambda: scale.staged(grouping.group_problems(scale.staged(tagged(t)))))
 
 
 def layout(t: Tables):
@@ -53,7 +61,7 @@ SELECT page_id, block_id, block_type, number AS problem_number, number_source AS
 FROM v_tagged
 """)
 def _(t):
-    return tagged(t).select(
+    return tags(t).select(
         "page_id", "block_id", "block_type", "problem_number", "problem_number_source", "problem_marker",
         "choice_marker", "marker_conflict", "is_start", F.col("display_title_text").alias("title"),
     )
@@ -96,7 +104,7 @@ def _(t):
 
 @query("problems", "SELECT * FROM v_problems")
 def _(t):
-    return grouping.problems_of(grouped(t))
+    return grouping.problems_of(grouped(t), titles(t))
 
 
 @query("fallback_grouping", """
@@ -187,7 +195,7 @@ def _(t):
 
 @query("layout_inputs", "SELECT * FROM v_layout")
 def _(t):
-    return placement.layout_inputs(grouped(t))
+    return placement.layout_inputs(grouped(t), titles(t))
 
 
 o.cte("v_layout_heights", """

@@ -10,7 +10,7 @@ from foliospark.functions.numbers import to_bool, to_number, to_optional_float,
 from foliospark.operators import cache, grouping, ordering, repair, rollup, routing, session
 from foliospark.plans import oracle as o
 from foliospark.plans.bindings import Tables
-from foliospark.plans.grouping_queries import grouped, tagged
+from foliospark.plans.grouping_queries import grouped, tags
 from foliospark.plans.registry import query
 
 # ------------------------------------------------------------- diagnostics
@@ -40,10 +40,10 @@ def _(t):
     return made.withColumn("fallback_reasons", F.array_join("fallback_reasons", ","))
 
 
-def read_blocks(t: Tables):
+def read_blocks(t: Tables, blocks=None):
     """Blocks with recogniser facts."""
     n = F.col("pos")
-    return t.block_table.withColumns(
+    return (t.block_table if blocks is None else blocks).withColumns(
         {
             "ocr_backend": F.when(n % 4 == 1, "tesseract").when(n % 4 == 2, "paddle"),
             "ocr_cache_hit": n % 3 == 0, "ocr_cache_miss": n % 3 == 1, "ocr_line_count": (n % 5).cast("int"),
@@ -88,15 +88,15 @@ def _(t):
 
 def diagnostics(t: Tables):
     """All inputs of the risk score, one row per page."""
-    blocks = grouped(t)
-    read = read_blocks(t)
-    seg = routing.segmentation_stats(t.block_table, t.pages, threshold=0.05)
+    blocks, tagged = grouped(t), tags(t)
+    read = read_blocks(t, tagged)
+    seg = routing.segmentation_stats(tagged, t.pages, threshold=0.05)
     ocr = routing.ocr_diagnostics(read).select("page_id", "empty_text_ratio", "low_confidence_ratio", "avg_confidence")
     found = grouping.grouping_diagnostics(blocks).select(
         "page_id", "problem_count", "problem_marker_count", "marker_conflict_count",
         F.when(F.col("fallback_grouping"), F.col("problem_count")).otherwise(0).alias("fallback_problem_count"),
     )
-    image = routing.full_page_images(t.block_table)
+    image = routing.full_page_images(tagged)
     page = F.col("page_id").cast("bigint")
     return (
         seg.select("page_id", "block_count", "large_block_ratio", "max_block_area_ratio", "fallback_reasons")
@@ -250,8 +250,7 @@ FROM (SELECT page_id, count(*) AS n, max(problem_index) AS problems, bool_or(is_
       FROM v_grouped GROUP BY page_id)
 """)
 def _(t):
-    blocks = grouping.group_problems(scale.staged(tagged(t).drop("line")))
-    made = routing.repair_reasons(blocks, "none")
+    made = routing.repair_reasons(grouped(t), "none")
     return made.withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -9,7 +9,7 @@ from foliospark.functions import text as tx
 from foliospark.operators import grouping, placement, session
 from foliospark.plans import oracle as o
 from foliospark.plans.bindings import Tables
-from foliospark.plans.grouping_queries import grouped, layout
+from foliospark.plans.grouping_queries import grouped, layout, titles
 from foliospark.plans.registry import query
 from foliospark.plans.route_queries import statuses
 from foliospark.sources import pages as page_files
@@ -174,7 +174,7 @@ FROM v_problems p LEFT JOIN (SELECT * FROM v_board WHERE problem_index % 3 > 0)
 def feed(t: Tables):
     placed = placement.place(layout(t), ["page_id"], ["problem_index"]).where("problem_index % 3 > 0")
     boards = t.pages.where("doc_id % 2 = 0").select("page_id", F.concat(F.lit("board-"), "page_id").alias("board_path"))
-    units = grouping.problems_of(grouped(t)).select("page_id", "unit_id", "problem_index", "subject", "title")
+    units = grouping.problems_of(grouped(t), titles(t)).select("page_id", "unit_id", "problem_index", "subject", "title")
     return session.feed_titles(session.session_feed(units, placed, boards))
 
 

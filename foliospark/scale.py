@@ -114,6 +114,9 @@ def by_order(
     return (ranged if plain is None else ranged.unionByName(plain)), True
 
 
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -121,36 +124,41 @@ def running(
     measures: Mapping[str, Running],
     *,
     sliced: bool = True,
+    facts: Mapping[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Add running measures over each group's order, slice by slice if sliced."""
+    """Add running measures over each group's order, slice by slice if sliced.
+
+    ``facts`` adds group totals, as (sum, max or min, value). Carries and facts
+    come from the same one-row-per-slice table, joined on (keys, slice), which
+    is how the rows are partitioned for the running measures anyway.
+    """
+    facts = dict(facts or {})
     held = {f"_v_{name}": m.value for name, m in measures.items()}
     rows = df.withColumns(held)
     parts = [*keys, SLICE] if sliced else list(keys)
     window = Window.partitionBy(*parts).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     local = {}
     for name, m in measures.items():
-        fold = F.sum if m.kind == "sum" else F.max
-        value = fold(F.col(f"_v_{name}")).over(before if m.before else upto)
+        value = FOLDS[m.kind](F.col(f"_v_{name}")).over(before if m.before else upto)
         local[name] = F.coalesce(value, F.lit(0)) if m.kind == "sum" else value
-    out = rows.withColumns(local)
     if not sliced:
-        return out.drop(*held)
+        return rows.withColumns({**local, **{n: FOLDS[k](v).over(whole) for n, (k, v) in facts.items()}}).drop(*held)
 
     totals = rows.groupBy(*parts).agg(
-        *[(F.sum if m.kind == "sum" else F.max)(F.col(f"_v_{n}")).alias(f"_t_{n}") for n, m in measures.items()]
+        *[FOLDS[m.kind](F.col(f"_v_{n}")).alias(f"_t_{n}") for n, m in measures.items()],
+        *[FOLDS[k](v).alias(n) for n, (k, v) in facts.items()],
     )
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
         *parts,
-        *[
-            (F.sum if m.kind == "sum" else F.max)(F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}")
-            for n, m in measures.items()
-        ],
+        *[FOLDS[m.kind](F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n, m in measures.items()],
+        *[FOLDS[k](F.col(n)).over(whole).alias(n) for n, (k, _) in facts.items()],
     )
-    out = out.join(carries, parts)
+    out = rows.withColumns(local).join(carries, parts)
     return out.withColumns(
         {
             n: (F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)))
