@@ -72,8 +72,15 @@ def min_area_fallback(bounds: DataFrame) -> DataFrame:
 
 def bounded_members(members: DataFrame, bounds: DataFrame, blocks: DataFrame) -> DataFrame:
     """Members after R11: a whole-page problem has every block of its page."""
-    kept = members.join(bounds.where(~F.col("whole_page")).select("page_id", "unit_id"), ["page_id", "unit_id"])
-    grown = bounds.where("whole_page").select("page_id", "unit_id").join(blocks, "page_id")
+    units = bounds.select("page_id", "unit_id", "whole_page")
+    kept = scale.keyed_join(
+        members, units.where(~F.col("whole_page")).drop("whole_page"), ["page_id", "unit_id"], spread_by=F.col("block_id")
+    )
+    # Every such problem repeats its page's blocks; the join is split by stretches of the page.
+    grown = scale.by_position(blocks, "reading_order")
+    spread = grown.groupBy("page_id", scale.SLICE).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    spread = units.where("whole_page").drop("whole_page").join(spread, "page_id")
+    grown = grown.join(spread, ["page_id", scale.SLICE])
     columns = [c for c in kept.columns if c in grown.columns]
     return kept.select(*columns).unionByName(grown.select(*columns))
 

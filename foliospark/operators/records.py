@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark import scale
-from foliospark.functions import text as tx
 from foliospark.functions.geometry import Box, box
 from foliospark.functions.numbers import clamp
 from foliospark.settings import (
@@ -26,11 +25,11 @@ from foliospark.settings import (
 DEFAULT_TEMPLATE = Template()
 
 
-def record_mode(block_type: Column, text: Column, confidence: Column, threshold: float = TEXT_CONFIDENCE) -> Column:
-    """text or image; no confidence counts as 0."""
+def record_mode(block_type: Column, written: Column, confidence: Column, threshold: float = TEXT_CONFIDENCE) -> Column:
+    """text or image, given whether the block has text; no confidence counts as 0."""
     is_image = (
         block_type.isin(*IMAGE_RECORD_TYPES)
-        | ~tx.is_filled(text)
+        | ~written
         | ~block_type.isin(*TEXT_RECORD_TYPES)
         | (F.coalesce(confidence, F.lit(0.0)) < threshold)
     )

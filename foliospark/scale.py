@@ -29,6 +29,7 @@ GROUP_ROWS = 1_000_000  # most rows of one group that one task handles in order
 PART_ITEMS = 10_000  # most items folded into one array value
 MAX_BIG_GROUPS = 10_000  # most group keys that are broadcast
 SLICE = "_slice"
+_STAGED: dict[str, list[str]] = {}
 
 
 class Running(NamedTuple):
@@ -67,9 +68,20 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this application has staged; call it when their readers are done."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def slice_of(position: Column | str, rows: int | None = None) -> Column:
     """Slice number of an integer position."""
     position = F.col(position) if isinstance(position, str) else position
@@ -270,7 +282,7 @@ def folded(
 
 def keyed_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", *, spread_by: Column,
-    rows: int | None = None,
+    sized_by: DataFrame | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Join rows to one row per key when a key may hold a large share of the left rows.
 
@@ -279,7 +291,7 @@ def keyed_join(
     salt. Without such keys this is a plain join.
     """
     rows = rows or GROUP_ROWS
-    sizes = left.groupBy(*keys).count().where(F.col("count") > rows)
+    sizes = (left if sized_by is None else sized_by).groupBy(*keys).count().where(F.col("count") > rows)
     sizes = sizes.select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("_salts"))
     found = sizes.limit(MAX_BIG_GROUPS + 1).collect()
     if not found:

@@ -103,3 +103,13 @@ def test_group_facts_reach_every_slice(skewed):
         counts[r[0]] = counts.get(r[0], 0) + 1
     got = out.collect()
     assert len(got) == len(rows) and all(r.n == counts[r.k] for r in got)
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import pathlib
+
+    scale.drop_staged(spark)
+    df = scale.staged(spark.range(5))
+    path = pathlib.Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert path.exists() and df.count() == 5
+    assert scale.drop_staged(spark) == 1 and not path.exists()
