@@ -265,6 +265,9 @@ def recursive_splits(
     done = None
     for _ in range(rules.split_depth):
         live = scale.staged(live)
+        low_parts = live.where(F.col("high") - F.col("low") < rules.split_min_height)
+        done = low_parts if done is None else done.unionByName(low_parts)
+        live = live.where(F.col("high") - F.col("low") >= rules.split_min_height)
         rows_of = _part_rows(sized, live, rows)
         named = F.to_json(F.struct("series_id", "part"))
         local = rows_of.select(
@@ -287,7 +290,7 @@ def recursive_splits(
         fine = children.groupBy("series_id", "part").agg(F.count(F.when(F.col("ok"), 1)).alias("_ok")).where("_ok = 2")
         children = scale.staged(children.join(fine.select("series_id", "part"), ["series_id", "part"], "left_semi"))
         whole = live.join(children.select("series_id", "part"), ["series_id", "part"], "left_anti")
-        done = whole if done is None else done.unionByName(whole)
+        done = done.unionByName(whole)
         live = children.select(
             "series_id", F.concat("part", "s").alias("part"), F.col("new_low").alias("low"), F.col("new_high").alias("high")
         )

@@ -23,10 +23,10 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict = {}
 
-    def once(self, name: str, make) -> DataFrame:
-        """A frame that several parts of one query use, made once."""
+    def once(self, name: str, make):
+        """Something that several parts of a query use, made once."""
         if name not in self._made:
             self._made[name] = make()
         return self._made[name]

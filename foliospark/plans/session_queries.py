@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from foliospark import scale
 from foliospark.functions import text as tx
-from foliospark.operators import grouping, placement, session
+from foliospark.operators import flatten, grouping, placement, session
 from foliospark.plans import oracle as o
 from foliospark.plans.bindings import Tables
+from foliospark.plans.board_queries import order_boards
 from foliospark.plans.grouping_queries import grouped, layout, titles
 from foliospark.plans.registry import query
 from foliospark.plans.route_queries import statuses
+from foliospark.settings import Template
 from foliospark.sources import pages as page_files
 from foliospark.sources import sessions
+from foliospark.streaming import ingest
 
 # ------------------------------------------------------------------ sources
 
@@ -69,6 +72,59 @@ def _(t):
     return page_files.union_sources([first, rest]).select("page_id", "batch_source_index")
 
 
+def page_folder(t: Tables) -> str:
+    """Blocks and problems of all documents written as page files."""
+    def write() -> str:
+        path = scale.fresh_path(t.spark, "pages")
+        blocks = t.block_table.drop("doc_id", "source", "line")
+        page_files.write_pages(blocks, grouped(t), path)
+        return path
+
+    return t.once("page_folder", write)
+
+
+@query("page_files", """
+SELECT page_id, block_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS pos, text, "left", top, height,
+       column_index, display_title, page_width, page_height, page_subject FROM v_blocks
+""")
+def _(t):
+    """Written pages read back and flattened."""
+    return flatten.explode_blocks(page_files.read_page_lines(t.spark, page_folder(t))).select(
+        "page_id", "block_id", "pos", "text", "left", "top", "height", "column_index", "display_title", "page_width", "page_height",
+        "page_subject",
+    )
+
+
+@query("page_file_problems", """
+SELECT page_id, unit_id, subject, count(*) FILTER (role = 'stem') AS stems, count(*) FILTER (role = 'choice') AS choices,
+       count(*) FILTER (role = 'figure') AS figures FROM v_grouped GROUP BY page_id, unit_id, subject
+""")
+def _(t):
+    units = flatten.explode_problems(page_files.read_page_lines(t.spark, page_folder(t)))
+    return units.select(
+        "page_id", "unit_id", "subject", F.size("stem_block_ids").alias("stems"), F.size("choice_block_ids").alias("choices"),
+        F.size("figure_block_ids").alias("figures"),
+    )
+
+
+@query("ingest_stream", "SELECT page_id, block_id, text, reading_order FROM v_blocks")
+def _(t):
+    """The written page files taken in as a stream, each file once."""
+    out, log = scale.fresh_path(t.spark, "blocks"), scale.fresh_path(t.spark, "log")
+    ingest.ingest_stream(t.spark, page_folder(t), out, log, json_lines=True).awaitTermination()
+    return t.spark.read.parquet(out).select("page_id", "block_id", "text", "reading_order")
+
+
+@query("plan_files", """
+SELECT problem_id, start_y, next_start_y, slot_span FROM v_placed
+""")
+def _(t):
+    placed = scale.staged(order_boards(t))
+    path = scale.fresh_path(t.spark, "plan")
+    page_files.write_plan(placed, placement.placement_summary(placed, ["board_id"]), Template(), path)
+    return page_files.read_plan(t.spark, path).select("problem_id", "start_y", "next_start_y", "slot_span")
+
+
 # ----------------------------------------------------------------- sessions
 def raw_sessions(t: Tables):
     """One session per order, the even ones in one spelling and the odd ones in the other."""

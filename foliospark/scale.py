@@ -66,12 +66,18 @@ def staged(df: DataFrame) -> DataFrame:
     only the columns they need, and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stage")
     df.write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be deleted with the staged tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete the tables this application has staged; call it when their readers are done."""
     paths = _STAGED.pop(spark.sparkContext.applicationId, [])

@@ -150,6 +150,12 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/placements").drop("board_shelf")
 
 
+def write_feed(feed: DataFrame, header: DataFrame, path: str) -> None:
+    """Write a session feed and its header as JSON lines."""
+    feed.write.json(f"{path}/problems")
+    header.write.json(f"{path}/sessions")
+
+
 def redact(settings: DataFrame, column: str = "settings") -> DataFrame:
     """Settings maps without their secrets."""
     return settings.withColumn(column, tx.redact_settings(F.col(column)))

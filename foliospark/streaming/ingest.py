@@ -10,11 +10,11 @@ from foliospark.operators.flatten import explode_blocks
 from foliospark.schema import PAGE_DDL
 
 
-def page_stream(spark: SparkSession, folder: str, *, max_files: int = 1000) -> DataFrame:
+def page_stream(spark: SparkSession, folder: str, *, max_files: int = 1000, json_lines: bool = False) -> DataFrame:
     """New page files of a folder as a stream; schema given, files in bounded batches."""
     return (
         spark.readStream.schema(PAGE_DDL)
-        .option("multiLine", True)
+        .option("multiLine", not json_lines)
         .option("maxFilesPerTrigger", max_files)
         .json(folder)
         .select("*", F.col("_metadata.file_path").alias("file_path"))
@@ -22,14 +22,14 @@ def page_stream(spark: SparkSession, folder: str, *, max_files: int = 1000) -> D
 
 
 def ingest_stream(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_files: int = 1000
+    spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_files: int = 1000, json_lines: bool = False
 ) -> StreamingQuery:
     """Append the blocks of new page files to a table, each file once.
 
     Runs over what is there and stops. The checkpoint and the file sink's log
     make a restart neither lose nor repeat files.
     """
-    blocks = explode_blocks(page_stream(spark, folder, max_files=max_files)).drop("ocr_lines")
+    blocks = explode_blocks(page_stream(spark, folder, max_files=max_files, json_lines=json_lines)).drop("ocr_lines")
     return (
         blocks.writeStream.format("parquet")
         .option("path", out)
