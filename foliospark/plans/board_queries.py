@@ -245,14 +245,14 @@ def _(t):
 
 
 @query("place_blocks", """
-SELECT unit_id, block_id, record_mode, round((84 + greatest(0, "left" - bound_left) * k) / 1280, 8) AS x,
-       round((start_y * 590 + 20 + greatest(0, top - bound_top) * k) / (590 * 50), 8) AS y,
-       round(greatest(40, least(room, width * k)) / 1280, 8) AS w, round(greatest(22, height * k) / (590 * 50), 8) AS h
+SELECT unit_id, block_id, record_mode, (84 + greatest(0, "left" - bound_left) * k) / 1280 AS x,
+       (start_y * 590 + 20 + greatest(0, top - bound_top) * k) / (590 * 50) AS y,
+       greatest(40, least(room, width * k)) / 1280 AS w, greatest(22, height * k) / (590 * 50) AS h
 FROM v_records
 """)
 def _(t):
     placed = record_blocks(t)
-    return placed.select("unit_id", "block_id", "record_mode", *[F.round(c, 8).alias(c) for c in "xywh"])
+    return placed.select("unit_id", "block_id", "record_mode", *"xywh")
 
 
 @query("record_ids", """
@@ -311,8 +311,8 @@ def _(t):
 
 
 @query("page_records", """
-SELECT block_id, round((88 + "left" * k) / 1280, 8) AS x, round((start_y * 590 + 80 + top * k) / (590 * 50), 8) AS y,
-       round(greatest(16, width * k) / 1280, 8) AS w, round(greatest(16, b.height * k) / (590 * 50), 8) AS h,
+SELECT block_id, (88 + "left" * k) / 1280 AS x, (start_y * 590 + 80 + top * k) / (590 * 50) AS y,
+       greatest(16, width * k) / 1280 AS w, greatest(16, b.height * k) / (590 * 50) AS h,
        CAST(greatest(10, least(28, round_even(greatest(16, b.height * k) * 0.22::DOUBLE, 0))) AS INT) AS font_size
 FROM (SELECT *, 1280 * 0.52::DOUBLE / greatest(page_width, 1) AS k FROM v_blocks) b
 JOIN (SELECT page_id, start_y FROM (""" + o.placed(
@@ -322,7 +322,7 @@ JOIN (SELECT page_id, start_y FROM (""" + o.placed(
 def _(t):
     """Page export records; every page on its own board."""
     placed = records.place_page_blocks(t.blocks.withColumn("start_y", F.lit(0.0)))
-    return placed.select("block_id", *[F.round(c, 8).alias(c) for c in "xywh"], "font_size")
+    return placed.select("block_id", *"xywh", "font_size")
 
 
 @query("record_inventory", f"""

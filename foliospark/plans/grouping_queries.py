@@ -56,20 +56,20 @@ def _(t):
 
 
 @query("block_markers", """
-SELECT page_id, block_id, block_type, number AS problem_number, number_source AS problem_number_source,
+SELECT page_id, block_id, block_type, CAST(number AS DOUBLE) AS problem_number, number_source AS problem_number_source,
        problem_marker, choice_marker, marker_conflict, is_start, title
 FROM v_tagged
 """)
 def _(t):
     return tags(t).select(
-        "page_id", "block_id", "block_type", "problem_number", "problem_number_source", "problem_marker",
-        "choice_marker", "marker_conflict", "is_start", F.col("display_title_text").alias("title"),
+        "page_id", "block_id", "block_type", F.col("problem_number").cast("double").alias("problem_number"),
+        "problem_number_source", "problem_marker", "choice_marker", "marker_conflict", "is_start", F.col("display_title_text").alias("title"),
     )
 
 
 @query("text_markers", f"""
 SELECT block_id, line_no, {o.marker("text")} AS problem_marker, {o.choice("text")} AS choice_marker,
-       {o.number("text")} AS problem_number,
+       CAST({o.number("text")} AS DOUBLE) AS problem_number,
        coalesce(regexp_matches({o.strip("text")}, '^[1-9]\\)'), FALSE) AS overlap_marker
 FROM v_lines
 """)
@@ -77,7 +77,8 @@ def _(t):
     c = F.col("text")
     return t.lines.select(
         "block_id", "line_no", tx.has_problem_marker(c).alias("problem_marker"),
-        tx.has_choice_marker(c).alias("choice_marker"), tx.problem_number(c).alias("problem_number"),
+        tx.has_choice_marker(c).alias("choice_marker"),
+        tx.problem_number(c).cast("double").alias("problem_number"),
         tx.has_overlap_marker(c).alias("overlap_marker"),
     )
 
@@ -102,9 +103,10 @@ def _(t):
     )
 
 
-@query("problems", "SELECT * FROM v_problems")
+@query("problems", "SELECT * REPLACE (CAST(problem_number AS DOUBLE) AS problem_number) FROM v_problems")
 def _(t):
-    return grouping.problems_of(grouped(t), titles(t))
+    made = grouping.problems_of(grouped(t), titles(t))
+    return made.withColumn("problem_number", F.col("problem_number").cast("double"))
 
 
 @query("fallback_grouping", """

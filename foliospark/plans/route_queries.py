@@ -271,12 +271,14 @@ o.cte("v_cache", "SELECT cache_key, backend, min(doc_id) AS payload FROM v_keyed
 
 
 @query("cache_lookup", """
-SELECT k.doc_id, k.cache_key, k.backend, c.payload, c.payload IS NOT NULL AS cache_hit, c.payload IS NULL AS cache_miss
+SELECT k.doc_id, k.cache_key, k.backend, CAST(c.payload AS DOUBLE) AS payload, c.payload IS NOT NULL AS cache_hit, c.payload IS NULL AS cache_miss
 FROM v_keyed k LEFT JOIN v_cache c ON k.cache_key = c.cache_key AND k.backend = c.backend
 """)
 def _(t):
     found = cache.cache_lookup(keyed_documents(t), text_cache(t), spread_by=F.col("doc_id"))
-    return found.select("doc_id", "cache_key", "backend", "payload", "cache_hit", "cache_miss")
+    return found.select(
+        "doc_id", "cache_key", "backend", F.col("payload").cast("double").alias("payload"), "cache_hit", "cache_miss"
+    )
 
 
 @query("cache_fill", """
@@ -604,8 +606,8 @@ def _(t):
 
 @query("coerce_values", """
 SELECT event_id, CASE WHEN event_id % 4 = 0 THEN TRUE WHEN event_id % 4 = 1 THEN FALSE ELSE TRUE END AS flag,
-       CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS INT) END AS whole, CASE WHEN event_id % 3 <> 1 THEN value END AS number,
-       CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 5 = 1 THEN 7 ELSE value END AS finite
+       CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS DOUBLE) END AS whole, CASE WHEN event_id % 3 <> 1 THEN value END AS number,
+       CAST(CASE WHEN event_id % 5 = 0 THEN 0 WHEN event_id % 5 = 1 THEN 7 ELSE value END AS DOUBLE) AS finite
 FROM events
 """)
 def _(t):
@@ -614,7 +616,7 @@ def _(t):
     return t.table("events").select(
         "event_id",
         to_bool(F.when(n % 4 == 0, " Yes").when(n % 4 == 1, "OFF").when(n % 4 == 2, "maybe"), True).alias("flag"),
-        to_optional_int(F.when(n % 3 == 0, "").otherwise(F.col("user_id").cast("string"))).alias("whole"),
+        to_optional_int(F.when(n % 3 == 0, "").otherwise(F.col("user_id").cast("string"))).cast("double").alias("whole"),
         to_optional_float(F.when(n % 3 != 1, value)).alias("number"),
         to_number(F.when(n % 5 == 0, " ").when(n % 5 == 1, "many").otherwise(value), 7).alias("finite"),
     )

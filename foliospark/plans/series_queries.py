@@ -96,23 +96,25 @@ GROUP BY series_id, n
 
 
 @query("split_columns", f"""
-SELECT series_id, n AS length, CASE WHEN ok THEN 2 ELSE 1 END AS column_count, CASE WHEN ok THEN split END AS split_pos,
-       CASE WHEN ok THEN split - 15 ELSE n END AS left_width, CASE WHEN ok THEN n - split - 15 END AS right_width
+SELECT series_id, n AS length, CASE WHEN ok THEN 2 ELSE 1 END AS column_count, CASE WHEN ok THEN CAST(split AS DOUBLE) END AS split_pos,
+       CASE WHEN ok THEN split - 15 ELSE n END AS left_width, CASE WHEN ok THEN CAST(n - split - 15 AS DOUBLE) END AS right_width
 FROM (SELECT *, n > 1 AND peak > 0 AND v <= peak * 0.22::DOUBLE AND split - 15 >= n * 0.2::DOUBLE
              AND n - split - 15 >= n * 0.2::DOUBLE AS ok
       FROM ({lowest("v_smooth_cols", 0.3, 0.7)}))
 """)
 def _(t):
-    return series.split_columns(smoothed(t, 20))
+    made = series.split_columns(smoothed(t, 20))
+    return made.withColumns({n: F.col(n).cast("double") for n in ("split_pos", "right_width")})
 
 
 @query("split_board_rows", f"""
 SELECT series_id, n AS length, CASE WHEN peak > 0 AND v <= peak * 0.82::DOUBLE AND split >= 18 AND n - split >= 18
-       AND split >= n * 0.1::DOUBLE AND n - split >= n * 0.1::DOUBLE THEN split END AS split_pos
+       AND split >= n * 0.1::DOUBLE AND n - split >= n * 0.1::DOUBLE THEN CAST(split AS DOUBLE) END AS split_pos
 FROM ({lowest("v_smooth_rows", 0.15, 0.85)})
 """)
 def _(t):
-    return series.split_board_rows(smoothed(t, 7))
+    made = series.split_board_rows(smoothed(t, 7))
+    return made.withColumn("split_pos", F.col("split_pos").cast("double"))
 
 
 o.cte("v_valley_base", """

@@ -85,12 +85,13 @@ def page_folder(t: Tables) -> str:
 
 @query("page_files", """
 SELECT page_id, block_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INT) AS pos, text, "left", top, height,
-       column_index, display_title, page_width, page_height, page_subject FROM v_blocks
+       CAST(column_index AS DOUBLE) AS column_index, display_title, page_width, page_height, page_subject FROM v_blocks
 """)
 def _(t):
     """Written pages read back and flattened."""
     return flatten.explode_blocks(page_files.read_page_lines(t.spark, page_folder(t))).select(
-        "page_id", "block_id", "pos", "text", "left", "top", "height", "column_index", "display_title", "page_width", "page_height",
+        "page_id", "block_id", "pos", "text", "left", "top", "height",
+        F.col("column_index").cast("double").alias("column_index"), "display_title", "page_width", "page_height",
         "page_subject",
     )
 
@@ -165,11 +166,11 @@ def raw_sessions(t: Tables):
 
 @query("sessions", """
 SELECT 's' || o_orderkey AS session_name, CASE WHEN odd THEN 'page' ELSE 'question' END AS export_mode,
-       CASE WHEN odd THEN 0 ELSE 2 END AS input_file_count, CASE WHEN odd THEN 0 ELSE 2 END AS files,
-       CASE WHEN odd THEN '' ELSE 'file:///C:/out/b.edb' END AS board_file_uri, CASE WHEN odd THEN 1 ELSE 2 END AS detected_problem_count,
-       CASE WHEN NOT odd THEN 0.9 END AS slot_height, CASE WHEN NOT odd THEN 50 END AS board_page_count,
+       CAST(CASE WHEN odd THEN 0 ELSE 2 END AS DOUBLE) AS input_file_count, CASE WHEN odd THEN 0 ELSE 2 END AS files,
+       CASE WHEN odd THEN '' ELSE 'file:///C:/out/b.edb' END AS board_file_uri, CAST(CASE WHEN odd THEN 1 ELSE 2 END AS DOUBLE) AS detected_problem_count,
+       CAST(CASE WHEN NOT odd THEN 0.9 END AS DOUBLE) AS slot_height, CAST(CASE WHEN NOT odd THEN 50 END AS DOUBLE) AS board_page_count,
        CASE WHEN odd THEN 'off' ELSE 'force' END AS mode, CASE WHEN odd THEN 'openai' ELSE 'gemini' END AS provider,
-       CASE WHEN odd THEN 0.72 ELSE 1 END AS threshold, CASE WHEN odd THEN 25 ELSE 18 END AS max_regions,
+       CAST(CASE WHEN odd THEN 0.72 ELSE 1 END AS DOUBLE) AS threshold, CASE WHEN odd THEN 25 ELSE 18 END AS max_regions,
        CASE WHEN odd THEN 12000 ELSE 15000 END AS timeout_ms, NOT odd AS enabled
 FROM (SELECT *, o_orderkey % 2 = 1 AS odd FROM orders)
 """)
@@ -201,7 +202,7 @@ def _(t):
 
 
 @query("parse_titles", """
-SELECT block_id, CASE pos % 5 WHEN 0 THEN (pos // 5 + 1) % 1000 WHEN 1 THEN pos + 1 WHEN 2 THEN pos END AS number,
+SELECT block_id, CAST(CASE pos % 5 WHEN 0 THEN (pos // 5 + 1) % 1000 WHEN 1 THEN pos + 1 WHEN 2 THEN pos END AS DOUBLE) AS number,
        CASE pos % 5 WHEN 0 THEN 'tail' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'problem' ELSE 'x 3.' END AS rest
 FROM v_blocks WHERE pos < 900
 """)
@@ -214,7 +215,7 @@ def _(t):
         .when(n % 5 == 3, F.lit(" problem")).otherwise(F.lit("x 3. "))
     )
     number, rest = tx.parsed_title(raw)
-    return t.blocks.where("pos < 900").select("block_id", number.alias("number"), rest.alias("rest"))
+    return t.blocks.where("pos < 900").select("block_id", number.cast("double").alias("number"), rest.alias("rest"))
 
 
 o.cte("v_feed", """
