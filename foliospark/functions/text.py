@@ -153,6 +153,7 @@ def normalize_title(title: Column, index: Column, page_id: Column, number: Colum
     )
 
 
+# The three forms of a numbered session title.
 _TITLE_MARKER = r"(?U)^\s*(?:문항\s*)?([1-9][0-9]{0,2})[.)](?:\s+|$)"
 _TITLE_LABEL = r"(?U)^\s*문항\s*([1-9][0-9]{0,2})(?:\s*[·:\-].*)?$"
 _TITLE_GENERIC = r"(?Ui)(?:^|[\s_-])problem\s*([0-9]+)$"

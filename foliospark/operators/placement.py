@@ -90,6 +90,7 @@ def spread_height(top: Column, bottom: Column, page_height: Column, figure: Colu
                   minimum: float = 0.35) -> Column:
     """Height in pages from the blocks' spread and what they hold."""
     norm = F.greatest(F.lit(0.0), (bottom - top) / F.greatest(page_height, F.lit(1)))
+    # What figures, choices and language problems add.
     bonus = [F.when(c, v).otherwise(0.0) for c, v in ((figure, 0.18), (choice, 0.08), (language, 0.08))]
     estimate = norm * 1.2 + bonus[0] + bonus[1] + bonus[2]
     return F.bround(F.when(top.isNull(), max(minimum, 0.9)).otherwise(clamp(estimate, minimum, 2.4)), 6)

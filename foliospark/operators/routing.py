@@ -147,6 +147,7 @@ def page_risk(diagnostics: DataFrame, ocr_mode: Column | str) -> DataFrame:
     each = many & (c("problem_count") == c("block_count"))
     image = F.coalesce("full_page_image", no)
 
+    # The weight of each finding.
     scored = diagnostics.withColumns(
         {
             "segmentation_risk": _score(

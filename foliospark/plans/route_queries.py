@@ -164,8 +164,8 @@ def _(t):
 
 
 @query("page_risk_parity", """
-SELECT page_id, CASE WHEN block_count <= 1 THEN 0.48 ELSE 0 END AS segmentation_risk,
-       CASE WHEN block_count > 1 THEN 0.45 ELSE 0 END AS grouping_risk
+SELECT page_id, CAST(CASE WHEN block_count <= 1 THEN 0.48 ELSE 0 END AS DOUBLE) AS segmentation_risk,
+       CAST(CASE WHEN block_count > 1 THEN 0.45 ELSE 0 END AS DOUBLE) AS grouping_risk
 FROM v_seg
 """)
 def _(t):
