@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import simhash
+from foliospark.llm import chunks, packing, quality, rules, secrets, simhash, templates, urls
 from foliospark.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
 
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.close_groups(table(spark, folder, "documents"))
@@ -17,8 +21,52 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = quality.fold_of(F.col("doc_id"), 5) == 0
+    model = quality.train_on(docs.where(~held_out), table(spark, folder, "labels"))
+    found = quality.scored(docs, ["doc_id"], "text", model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = templates.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("mark")
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents"))
+    kinds = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")
+    ]
+    base = F.sha2(secrets.listed(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *kinds, base.alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    judged = urls.judge(pages.select("page_id", "url"), URL_RULES, urls.page_links(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeats(table(spark, folder, "documents")).drop("mark")
+
+
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.host_verdicts(table(spark, folder, "documents")).select("doc_id", *rules.COUNTS, "base_failed", "kept")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    f.__name__: f
+    for f in (
+        op2_simhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op6_secret_scan, op7_url_filter,
+        op8_substring_dedup, op9_quality_rules, op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}
