@@ -36,9 +36,10 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secrets(table(spark, folder, "documents"))
-    kinds = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")
-    ]
+    def of_kind(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    kinds = [of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.sha2(secrets.listed(F.col("base")).cast("binary"), 256)
     return found.select("doc_id", *kinds, base.alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
