@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, packing, quality, rules, secrets, simhash, templates, urls
+from foliospark.llm import chunks, classlm, html, packing, quality, rules, secrets, simhash, templates, urls
 from foliospark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.close_groups(table(spark, folder, "documents"))
     mark = F.lower(F.lpad(F.hex(F.col("bits").getItem(0)), 16, "0"))
@@ -34,6 +38,14 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.drop("mark")
 
 
+def op5_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = classlm.score(docs, quality.fold_of(F.col("doc_id"), 7) != 2)
+    return found.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secrets(table(spark, folder, "documents"))
     def of_kind(kind):
@@ -65,7 +77,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_simhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op6_secret_scan, op7_url_filter,
+        op1_html_extraction, op2_simhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_class_ngrams, op6_secret_scan, op7_url_filter,
         op8_substring_dedup, op9_quality_rules, op10_packing,
     )
 }
