@@ -149,16 +149,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, min_
 def repeats_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents with every repeat cut out of ``text``, except where it occurs first. Other columns pass through."""
     cuts = repeats(docs, doc_id, text, **settings).where("not stays").groupBy(
-        F.col("doc_id").alias("_cut_id"), F.col("mark").alias("_cut_mark")
+        F.col("doc_id").alias("__llm_id"), F.col("mark").alias("__llm_mark")
     )
-    cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = cuts.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__llm_cuts"))
     cuts = Stage(docs.sparkSession).keep(cuts, "cuts")
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_cut_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_cut_mark"))
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__llm_mark"))
     joined = docs.join(cuts, same, "left")
     body = F.col(text).cast("string")
-    begin = F.concat(F.array(F.lit(0).cast("bigint")), F.col("_cuts.end"))
-    end = F.concat(F.col("_cuts.start"), F.array(F.length(body).cast("bigint")))
+    begin = F.concat(F.array(F.lit(0).cast("bigint")), F.col("__llm_cuts.end"))
+    end = F.concat(F.col("__llm_cuts.start"), F.array(F.length(body).cast("bigint")))
     left = F.zip_with(begin, end, lambda a, b: body.substr((a + 1).cast("int"), (b - a).cast("int")))
-    return joined.withColumn(text, F.when(F.col("_cuts").isNull(), body).otherwise(F.concat_ws("", left))).drop(
-        "_cut_id", "_cut_mark", "_cuts"
+    return joined.withColumn(text, F.when(F.col("__llm_cuts").isNull(), body).otherwise(F.concat_ws("", left))).drop(
+        "__llm_id", "__llm_mark", "__llm_cuts"
     )

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import Stage, raw
 
 WINDOW = 2048
-OPEN_WINDOWS = 16
+OPEN_WINDOWS = 32
 END_ID = 1
 CACHE = 500_000  # words
 MERGE_FAN_IN = 64  # partitions whose leftovers meet in one task

@@ -30,6 +30,7 @@ from foliospark.llm.common import Stage, raw, words
 from foliospark.llm.graph import components
 
 SEED = 42
+KEY = "__llm_key"
 LANES = 20  # of 64 bits, for word overlap
 WIDTH = 20  # bits of one block of the wide fingerprint; log2(texts) + 2 or more keeps chance meetings few
 RATE = 0.155  # share of differing bits; 0.151 is expected at an overlap of 0.8
@@ -189,25 +190,28 @@ def close_groups(
 def similar_groups(
     docs: DataFrame, doc_id: str, text: str, *, size: int = 5, lanes: int = LANES, width: int = WIDTH, rate: float = RATE
 ) -> DataFrame:
-    """One row for each distinct (doc_id, text): doc_id, mark (hash of the text), group, first.
+    """One row for each distinct (doc_id, text): doc_id, row_key (hash of both), group, first.
 
     ``group`` is shared by texts whose word shingles overlap by about 0.8 or more, over chains of
     such pairs; ``first`` is true for the row to keep (smallest doc_id, null ids last, then smallest
-    mark). Texts without words form one group. Equal texts are one node before anything is compared.
+    hash of the text). Texts without words form one group. Equal texts are one node before anything is compared.
     """
     stage = Stage(docs.sparkSession)
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ids = ids.withColumn("mark", F.xxhash64("text"))
-    members = stage.keep(fingerprints(ids, ["doc_id", "mark"], "text", size, lanes), "prints")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    ids = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
+    ids = ids.withColumns({"mark": F.xxhash64("text"), "row_key": F.xxhash64("doc_id", "text")})
+    members = stage.keep(fingerprints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes), "prints")
     nodes = members.groupBy(F.col("mark").alias("node")).agg(F.count("*").alias("copies"), F.first("bits").alias("bits"))
     nodes = stage.keep(nodes, "nodes")
     groups = linked(nodes, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI)
-    rows = members.select("doc_id", "mark").distinct().join(groups.withColumnRenamed("node", "mark"), "mark", "left")
-    rows = stage.keep(rows.select("doc_id", "mark", F.coalesce("root", "mark").alias("group")), "members")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    winners = stage.keep(rows.groupBy("group").agg(best.alias("best")), "winners")
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
-    return rows.join(winners, "group").select("doc_id", "mark", "group", same.alias("first"))
+    groups = groups.withColumnRenamed("node", "mark")
+    rows = members.select("doc_id", "mark", "row_key").distinct().join(groups, "mark", "left")
+    rows = stage.keep(rows.select("doc_id", "mark", "row_key", F.coalesce("root", "mark").alias("group")), "members")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row_key"))
+    winners = stage.keep(rows.groupBy("group").agg(best.alias("best")).select("group", "best.row_key"), "winners")
+    winners = winners.withColumnRenamed("row_key", "winner")
+    stage.drop(members, nodes)
+    return rows.join(winners, "group").select("doc_id", "row_key", "group", (F.col("row_key") == F.col("winner")).alias("first"))
 
 
 def near_duplicates_removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -215,11 +219,7 @@ def near_duplicates_removed(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Extra columns of any name pass through. Empty and null texts count as equal texts.
     """
-    kept = similar_groups(docs, doc_id, text, **settings).where("first").select(
-        F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark")
-    )
+    kept = similar_groups(docs, doc_id, text, **settings).where("first").select(F.col("row_key").alias(KEY))
     kept = Stage(docs.sparkSession).keep(kept, "kept")
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = (F.col("_mark") == F.col("_keep_mark")) & F.col(doc_id).eqNullSafe(F.col("_keep_id"))
-    joined = marked.join(kept, same, "left_semi")
-    return joined.dropDuplicates(["_mark", doc_id]).drop("_mark")
+    keyed = docs.withColumn(KEY, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)

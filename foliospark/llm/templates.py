@@ -157,7 +157,7 @@ def _value(word: bytes) -> str:
 def key_map(keys: DataFrame) -> np.ndarray:
     """Bit map of 2 ** MAP_BITS bits with the low bits of every key; one row for each 64 bits is gathered."""
     low = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("bigint"))
-    bit = F.expr(f"shiftleft(1L, CAST(key & 63 AS INT))")
+    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
     rows = keys.select(F.shiftright(low, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for r in rows.collect():
@@ -216,7 +216,7 @@ def contaminated(
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, with all columns, that hold no benchmark item."""
-    bad = contaminated(docs, items, doc_id, text).select(F.col("doc_id").alias("_bad_id"), F.col("mark").alias("_bad_mark")).distinct()
+    bad = contaminated(docs, items, doc_id, text).select(F.col("doc_id").alias("__llm_bad_id"), F.col("mark").alias("__llm_bad_mark")).distinct()
     bad = Stage(docs.sparkSession).keep(bad, "leaks")
-    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & F.xxhash64(F.col(text).cast("string")).eqNullSafe(F.col("_bad_mark"))
+    same = F.col(doc_id).eqNullSafe(F.col("__llm_bad_id")) & F.xxhash64(F.col(text).cast("string")).eqNullSafe(F.col("__llm_bad_mark"))
     return docs.join(bad, same, "left_anti")

@@ -103,12 +103,12 @@ def judge(
         F.bool_or(F.col("own") == "allow").alias("let"), F.bool_or(F.col("own") == "block").alias("stop")
     )
     spread = F.when(F.col("let"), "allow").when(F.col("stop"), "block")
-    groups = stage.keep(groups.select("root", spread.alias("_spread")).where("_spread is not null"), "verdicts")
-    aliases = stage.keep(members.join(groups, "root").select(F.col("node").alias("_node"), "_spread"), "spread")
+    groups = stage.keep(groups.select("root", spread.alias("__llm_spread")).where("__llm_spread is not null"), "verdicts")
+    aliases = stage.keep(members.join(groups, "root").select(F.col("node").alias("__llm_node"), "__llm_spread"), "spread")
     link = F.col(url).cast("string")
-    found = pages.withColumns({"host": host_of(link), "path": path_of(link), "_node": node_of(link)})
-    found = found.withColumn("_fit", fitting_rule("host", "path", rules))
-    found = found.join(aliases, "_node", "left")
-    verdict = F.coalesce(F.col("_fit.verdict"), F.col("_spread"), F.lit(default))
-    rule = F.concat("_fit.host", "_fit.path")
-    return found.withColumns({"rule": rule, "verdict": verdict}).drop("_node", "_fit", "_spread")
+    found = pages.withColumns({"host": host_of(link), "path": path_of(link), "__llm_node": node_of(link)})
+    found = found.withColumn("__llm_fit", fitting_rule("host", "path", rules))
+    found = found.join(aliases, "__llm_node", "left")
+    verdict = F.coalesce(F.col("__llm_fit.verdict"), F.col("__llm_spread"), F.lit(default))
+    rule = F.concat("__llm_fit.host", "__llm_fit.path")
+    return found.withColumns({"rule": rule, "verdict": verdict}).drop("__llm_node", "__llm_fit", "__llm_spread")
