@@ -2,7 +2,7 @@
 
 Patterns give the base spans. Beyond them, every long run of encoding characters
 is read in the narrowest encoding that holds it, and tested: chi-squared
-uniformity over the alphabet, runs above and below its middle, and serial
+uniformity over the alphabet's parts and its symbols, runs above and below its middle, and serial
 correlation of neighbours, combined by Fisher's method. A structured string of
 length n passes the battery by luck with probability falling as 2 ** (-n / 2), so
 what passes is accepted from the length at which the false-discovery rate
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as HEX runs of 24 or more
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
-LEVEL = 0.001  # of the battery: share of truly random strings it rejects
+LEVEL = 0.01  # of the battery: share of truly random strings it rejects
 FDR = 0.01
 BITS = 0.5  # by which each further character lowers a structured string's chance to look random
 TOP = 512  # lengths from here on count as one
@@ -76,6 +77,9 @@ def randomness(token: str) -> float:
     n, size = len(token), len(values)
     chi = sum((sum(token.count(c) for c in p) - n * len(p) / size) ** 2 / (n * len(p) / size) for p in parts)
     uniform = _upper_tail(chi, len(parts) - 1)
+    single = sum(k * k for k in Counter(token).values()) * size / n - n  # chi-squared over single symbols, too few each
+    spread = 2 * (size - 1) * (n - 1) / n  # for the usual tail, so by its exact mean and variance
+    symbols = 0.5 * math.erfc((single - (size - 1)) / math.sqrt(2 * spread))
     at = [values[c] for c in token]
     high = [v * 2 >= size for v in at]
     up = sum(high)
@@ -89,8 +93,8 @@ def randomness(token: str) -> float:
     square = sum((v - middle) ** 2 for v in at)
     lag = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:])) / square if square else 1.0
     serial = math.erfc(abs(lag * n + 1) / math.sqrt(2 * n))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, alternate, serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, symbols, alternate, serial))
+    return math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], int, list[tuple[int, int]]]:

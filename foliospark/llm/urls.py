@@ -66,7 +66,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     Targets may be absolute, without scheme (//host/path) or start with /; others are no links. Null
     pages or URLs have none.
     """
-    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    tags = F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<(?:link|meta)\b(?:[^\x27\x22>]++|\x22[^\x22]*+\x22|\x27[^\x27]*+\x27)*+>"), 0)
     found = pages.select(F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     found = found.where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", F.explode(tags).alias("tag"))
     found = _computed(
