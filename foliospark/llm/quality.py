@@ -162,15 +162,6 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def fit(labelled: DataFrame, text: str, label: str, order: Column, *, max_rows: int = MAX_ROWS) -> Model:
-    """Train on at most ``max_rows`` rows with label 0 or 1, the first by a hash of ``order``."""
-    chosen = labelled.where(F.col(label).isin(0, 1)).select(
-        F.xxhash64(order).alias("_place"), F.col(text).cast("string").alias("_text"), F.col(label).cast("int").alias("_label")
-    )
-    chosen = chosen.orderBy("_place", "_text", "_label").limit(max_rows).select("_text", "_label").toArrow()
-    return train(raw(chosen.column("_text").combine_chunks()), chosen.column("_label").to_pylist())
-
-
 def scored(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFrame:
     """The kept columns and ``score``, row for row. Null text scores as empty text."""
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
@@ -185,13 +176,22 @@ def scored(docs: DataFrame, keep: list[str], text: str, model: Model) -> DataFra
     return source.mapInArrow(run, docs.select(*keep).schema.add("score", "double"))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **settings) -> Model:
-    """Join texts with their labels by id and fit. Ids that are null or labelled both ways are left out."""
-    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_quality")).where("_id is not null and _quality is not null")
-    marks = marks.groupBy("_id").agg(F.min("_quality").alias("_quality"), F.max("_quality").alias("_other"))
-    marks = marks.where("_quality = _other").select("_id", "_quality")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body")).join(marks, "_id")
-    return fit(rows, "_body", "_quality", F.col("_id"), **settings)
+def train_on(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", *,
+    max_rows: int = MAX_ROWS, **settings,
+) -> Model:
+    """Fit on the texts of at most ``max_rows`` labelled ids, the first by a hash of the id.
+
+    The ids are chosen from the labels alone, so that only their texts leave the scan. Ids that are null, labelled
+    both ways or with anything but 0 and 1 are left out. Of rows that repeat an id, at most ``max_rows`` in all count.
+    """
+    marks = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_mark")).where("_id is not null and _mark is not null")
+    marks = marks.groupBy("_id").agg(F.min("_mark").alias("_mark"), F.max("_mark").alias("_other"))
+    marks = marks.where("_mark = _other and _mark in (0, 1)").select("_id", "_mark", F.xxhash64("_id").alias("_place"))
+    marks = F.broadcast(marks.orderBy("_place", "_id").limit(max_rows))  # max_rows narrow rows
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(marks, "_id")
+    rows = rows.orderBy("_place", "_text").limit(max_rows).select("_text", "_mark").toArrow()
+    return train(raw(rows.column("_text").combine_chunks()), rows.column("_mark").to_pylist(), **settings)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", *, cut: float = CUT) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, classlm, html, packing, quality, rules, secrets, simhash, templates, urls
+from foliospark.llm import chunks, classlm, html, packing, quality, rules, secrets, simhash, sql, templates, urls
 from foliospark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,7 +28,7 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = quality.fold_of(F.col("doc_id"), 5) == 0
-    model = quality.train_on(docs.where(~held_out), table(spark, folder, "labels"))
+    model = quality.train_on(docs, table(spark, folder, "labels").where(~held_out))
     found = quality.scored(docs, ["doc_id"], "text", model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
@@ -82,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filter": sql.URLS, "op9_quality_rules": sql.RULES}
