@@ -63,6 +63,21 @@ def contains(outer: Box, inner: Box) -> Column:
     )
 
 
+def together(a: Box, b: Box, gap_x: float, gap_y: float) -> Column:
+    """Whether b belongs to a: their shadows on an axis overlap, their tops are level, or b follows closely below
+    or beside a. A box inside another of at least 1.4 times its area stays apart."""
+    across = F.least(a.right, b.right) - F.greatest(a.left, b.left)
+    down = F.least(a.bottom, b.bottom) - F.greatest(a.top, b.top)
+    below, beside = b.top - a.bottom, b.left - a.right
+    nested = (contains(a, b) | contains(b, a)) & (F.greatest(a.area, b.area) >= 1.4 * F.least(a.area, b.area))
+    return ~nested & (
+        (F.greatest(across, down) > 0)
+        | (F.abs(b.top - a.top) <= gap_y)
+        | (below.between(0, gap_y) & (across > -gap_x))
+        | (beside.between(0, gap_x) & (down > -gap_y))
+    )
+
+
 def polygon_box(points: Column) -> Box:
     """Axis-aligned box of an array of (x, y) points (P5)."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark import scale
+
 ROLES = ("stem", "choice", "explanation", "figure")
 
 
@@ -50,18 +52,27 @@ def problem_members(problems: DataFrame, blocks: DataFrame) -> DataFrame:
     """Ordered member ids of each problem: stem, choice, explanation, figure.
 
     An id counts once, where it comes first. A problem without ids has all
-    blocks of its page.
+    blocks of its page. A problem may come in several rows with a ``part``, as
+    ``assemble_problems`` gives a very large one; it is one problem all the same.
     """
-    ids = F.array_distinct(
-        F.concat(*[F.coalesce(F.col(f"{r}_block_ids"), F.array().cast("array<string>")) for r in ROLES])
-    )
-    held = problems.withColumn("_ids", ids)
-    named = held.select("page_id", "unit_id", F.posexplode("_ids").alias("member_pos", "block_id"))
-    whole = (
-        held.where(F.size("_ids") == 0)
-        .select("page_id", "unit_id")
-        .join(blocks.select("page_id", F.col("pos").alias("member_pos"), "block_id"), "page_id")
-    )
+    none = F.array().cast("array<string>")
+    lists = {r: F.coalesce(F.col(f"{r}_block_ids"), none) for r in ROLES}
+    if "part" in problems.columns:
+        unit = ["page_id", "unit_id"]
+        roles = F.array(*[F.struct(F.lit(i).alias("role"), ids.alias("ids")) for i, ids in enumerate(lists.values())])
+        listed = problems.select(*unit, "part", F.explode(roles).alias("r")).select(
+            *unit, "part", "r.role", F.posexplode("r.ids").alias("i", "block_id")
+        )
+        first = listed.groupBy(*unit, "block_id").agg(F.min(F.struct("role", "part", "i")).alias("_at"))
+        named = scale.rank(first, unit, [F.col("_at")], "_n")
+        named = named.select(*unit, (F.col("_n") - 1).cast("int").alias("member_pos"), "block_id")
+        sizes = problems.groupBy(*unit).agg(F.sum(sum((F.size(ids) for ids in lists.values()), F.lit(0))).alias("_size"))
+        bare = sizes.where("_size = 0").select(*unit)
+    else:
+        held = problems.withColumn("_ids", F.array_distinct(F.concat(*lists.values())))
+        named = held.select("page_id", "unit_id", F.posexplode("_ids").alias("member_pos", "block_id"))
+        bare = held.where(F.size("_ids") == 0).select("page_id", "unit_id")
+    whole = bare.join(blocks.select("page_id", F.col("pos").alias("member_pos"), "block_id"), "page_id")
     return named.unionByName(whole)
 
 

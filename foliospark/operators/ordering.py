@@ -18,9 +18,9 @@ def reading_order(blocks: DataFrame, rows: int | None = None) -> DataFrame:
     Otherwise: top, left, previous order. Source position settles ties.
     """
     cut = scale.by_position(blocks, "pos", rows)
-    paged = scale.with_group_facts(
-        cut, ["page_id"], [(F.count("column_index") == F.count(F.lit(1))).alias("_by_column")]
-    ).drop(scale.SLICE)
+    paged = scale.unsliced(
+        scale.with_group_facts(cut, ["page_id"], [(F.count("column_index") == F.count(F.lit(1))).alias("_by_column")])
+    )
     by_column = F.col("_by_column")
     order = [
         F.when(by_column, F.col("column_index")),
@@ -49,10 +49,9 @@ def enumerate_blocks(boxes: DataFrame, rows: int | None = None) -> DataFrame:
         banded, ["page_id", "column_index", "source_band_index"], [F.col("split_pos")], "band_split_index",
         sized_by=boxes, rows=rows,
     )
-    counts = boxes.groupBy("page_id", "column_index", "source_band_index").agg(
-        F.count(F.lit(1)).alias("band_split_count")
-    )
-    split = split.join(counts, ["page_id", "column_index", "source_band_index"])
+    band = F.struct(F.lit(0), "page_id", "column_index", "source_band_index").alias("_band")  # never null, so null bands stay
+    counts = boxes.groupBy(band).agg(F.count(F.lit(1)).alias("band_split_count"))
+    split = split.withColumn("_band", band).join(counts, "_band").drop("_band")
     numbered = scale.rank(split, ["page_id"], page_order, "_n", sized_by=boxes, rows=rows)
     return numbered.withColumns(
         {

@@ -97,14 +97,36 @@ def place_page_blocks(blocks: DataFrame, template: Template = DEFAULT_TEMPLATE)
     return placed.withColumn("font_size", page_font_size(target.height))
 
 
-def record_counts(records: DataFrame, unit: list[str]) -> DataFrame:
-    """Text and image records per placement; header flag 4 with images, else 3."""
+def image_records(placements: DataFrame, template: Template = DEFAULT_TEMPLATE) -> DataFrame:
+    """Board coordinates of one picture per placement, as wide as the content zone (P10).
+
+    All records of a board made of pictures only, and the one record of a
+    problem without blocks. Needs start_y and content_height.
+    """
+    target = Box(
+        F.lit(RECORD_LEFT_MARGIN).cast("double"), F.col("start_y") * CANVAS_PAGE_HEIGHT + RECORD_TOP_PADDING,
+        F.lit(template.content_width).cast("double"), F.col("content_height") * CANVAS_PAGE_HEIGHT,
+    )
+    return placements.withColumns(_normalised(target, template.board_page_count))
+
+
+def record_counts(records: DataFrame, unit: list[str], units: DataFrame | None = None) -> DataFrame:
+    """Text and image records per placement; header flag 4 with images, else 3.
+
+    With ``units``, all problems, one without records counts as its one fallback picture.
+    """
     image = F.count(F.when(F.col("record_mode") == "image", 1))
-    return records.groupBy(*unit).agg(
-        F.count(F.when(F.col("record_mode") == "text", 1)).alias("text_record_count"),
-        image.alias("image_record_count"),
-        F.when(image > 0, 4).otherwise(3).alias("header_flag"),
+    counted = records.groupBy(*unit).agg(
+        F.count(F.when(F.col("record_mode") == "text", 1)).alias("text_record_count"), image.alias("image_record_count")
     )
+    if units is not None:
+        counted = units.select(*unit).distinct().join(counted, unit, "left")
+        none = F.col("text_record_count").isNull()
+        counted = counted.withColumns({
+            "text_record_count": F.when(none, 0).otherwise(F.col("text_record_count")),
+            "image_record_count": F.when(none, 1).otherwise(F.col("image_record_count")),
+        })
+    return counted.withColumn("header_flag", F.when(F.col("image_record_count") > 0, 4).otherwise(3))
 
 
 def record_inventory(records: DataFrame, first: int = 5, rows: int | None = None) -> DataFrame:

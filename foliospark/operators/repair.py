@@ -73,11 +73,17 @@ def page_signature(blocks: DataFrame) -> DataFrame:
     pieces. Sums combine before the shuffle, so page size does not matter.
     """
     text_of = lambda c, f: F.coalesce(F.format_string(f, c), F.lit(""))
+
+    def held(name: str) -> Column:
+        """A column that may be absent; null is told from empty."""
+        return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("none")) if name in blocks.columns else F.lit("none")
+
     row = F.concat_ws(
         "\x1f", F.col("pos").cast("string"), F.col("block_id"), F.col("block_type"), F.coalesce("text", F.lit("")),
         text_of(half_even(F.col("confidence"), 4), "%.4f"),
         *[text_of(half_even(F.col(n), 1), "%.1f") for n in ("left", "top", "width", "height")],
         F.coalesce(F.col("fallback_reason"), F.lit("")), F.coalesce(F.col("display_title"), F.lit("")),
+        *[held(n) for n in ("column_index", "question_band_index", "ocr_mode", "ocr_backend")],
     )
     hashed = blocks.select("page_id", "page_width", "page_height", F.sha1(row.cast("binary")).alias("_h"))
     pieces = [F.sum(F.conv(F.substring("_h", s, 13), 16, 10).cast("decimal(20,0)")) for s in (1, 14, 27)]
@@ -163,6 +169,8 @@ def apply_repairs(blocks: DataFrame, repairs: DataFrame, rows: int | None = None
     held = held.join(named, ["page_id", "block_id"], "left").join(titles, ["page_id", "block_id"], "left")
 
     kind, rank, on = F.col("block_type"), F.col("_rank"), F.coalesce("_touched", F.lit(False))
+    kept = lambda n, d: F.col(n) if n in blocks.columns else F.lit(None).cast(d)
+    given = F.when(rank == 0, "problem_start").when(rank == 1, "choice").when(rank == 2, "figure")
     changed = (
         F.when(rank == 0, F.when(kind.isin(*FIGURE_TYPES), kind).otherwise("title"))
         .when(rank == 1, "choice")
@@ -174,10 +182,10 @@ def apply_repairs(blocks: DataFrame, repairs: DataFrame, rows: int | None = None
         {
             "block_type": F.when(on, changed).otherwise(kind),
             "force_problem_start": F.when(on, F.coalesce(rank == 0, F.lit(False))).otherwise(F.col("force_problem_start")),
-            "ai_grouping_role": F.when(rank == 0, "problem_start").when(rank == 1, "choice").when(rank == 2, "figure"),
+            "ai_grouping_role": F.when(on, given).otherwise(kept("ai_grouping_role", "string")),
             "display_title": F.coalesce(F.col("_title"), F.col("display_title")),
-            "grouping_source": F.when(on, "ai_fallback"),
-            "grouping_reason": F.when(on, F.col("trigger_reasons")),
+            "grouping_source": F.when(on, "ai_fallback").otherwise(kept("grouping_source", "string")),
+            "grouping_reason": F.when(on, F.col("trigger_reasons")).otherwise(kept("grouping_reason", "array<string>")),
         }
     ).drop("_rank", "_title", "_touched", "trigger_reasons")
 

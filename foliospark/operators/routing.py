@@ -74,8 +74,9 @@ def segmentation_stats(blocks: DataFrame, pages: DataFrame, threshold: float = L
 def ocr_diagnostics(blocks: DataFrame) -> DataFrame:
     """What recognition gave per page, over blocks that are not figures (A2).
 
-    Uses the columns ocr_line_count, ocr_backend, ocr_cache_hit, ocr_cache_miss
-    and ocr_latency_ms where present.
+    Uses the columns ocr_line_count, ocr_lines, ocr_backend, ocr_cache_hit,
+    ocr_cache_miss and ocr_latency_ms where present. A block without a line
+    count has as many lines as it holds.
     """
     names = blocks.columns
     has = lambda n, d: F.col(n) if n in names else F.lit(None).cast(d)
@@ -90,12 +91,14 @@ def ocr_diagnostics(blocks: DataFrame) -> DataFrame:
         }
     )
     n = _count_if(F.col("_written"))
+    own = F.when(F.col("ocr_lines").isNotNull(), F.size("ocr_lines")) if "ocr_lines" in names else F.lit(None).cast("int")
+    line_count = F.coalesce(has("ocr_line_count", "int"), own)
     stats = flagged.groupBy("page_id").agg(
         n.alias("text_block_count"), _count_if(F.col("_blank")).alias("empty_text_block_count"),
         share(_count_if(F.col("_blank")), n).alias("empty_text_ratio"),
         _count_if(F.col("_weak")).alias("low_confidence_block_count"),
         share(_count_if(F.col("_weak")), n).alias("low_confidence_ratio"), _exact_mean(F.col("_conf")).alias("avg_confidence"),
-        F.coalesce(F.sum(has("ocr_line_count", "int")), F.lit(0)).alias("recognized_line_count"),
+        F.coalesce(F.sum(line_count), F.lit(0)).alias("recognized_line_count"),
         _count_if(has("ocr_cache_hit", "boolean")).alias("ocr_cache_hit_count"),
         _count_if(has("ocr_cache_miss", "boolean")).alias("ocr_cache_miss_count"),
         F.avg(has("ocr_latency_ms", "double")).alias("latency_ms_avg"),

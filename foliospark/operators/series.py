@@ -60,7 +60,7 @@ def smooth(series: DataFrame, window: int, out: str = "smoothed", rows: int | No
 
 def with_series_facts(series: DataFrame, *facts: Column, rows: int | None = None) -> DataFrame:
     cut = scale.by_position(series, "pos", rows)
-    return scale.with_group_facts(cut, KEY, list(facts)).drop(scale.SLICE)
+    return scale.unsliced(scale.with_group_facts(cut, KEY, list(facts)))
 
 
 def active_runs(series: DataFrame, threshold: Column, column: str = "value", rows: int | None = None) -> DataFrame:

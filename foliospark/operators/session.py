@@ -104,9 +104,9 @@ def apply_edits(problems: DataFrame, edits: DataFrame, rows: int | None = None)
     An edit becomes a key between two old places; the keys are ranked anew. A
     board's last problem is not deleted.
     """
-    sized = scale.with_group_facts(
+    sized = scale.unsliced(scale.with_group_facts(
         scale.by_position(problems, "seq", rows), ["board_id"], [F.count(F.lit(1)).alias("_n")]
-    ).drop(scale.SLICE)
+    ))
     target = problems.select("board_id", F.col("problem_id").alias("target_id"), F.col("seq").alias("_to"))
     known = edits.select(
         "board_id", "problem_id", "edit_no", "action", "target_id", F.col("title").alias("_title"),
@@ -162,7 +162,9 @@ def run_summary(pages: DataFrame, blocks: DataFrame, problems: DataFrame) -> Dat
     """Counts per source and in total; the total has a null source (A4).
 
     ``pages`` has source, attempted, applied, cache_hit, route and tier;
-    ``blocks`` and ``problems`` have source.
+    ``blocks`` and ``problems`` have source, ``blocks`` also ocr_cache_hit and
+    ocr_cache_miss where known. Whatever routes and tiers occur are counted; a
+    missing one is "unknown".
     """
     def part(df: DataFrame, **columns: Column) -> DataFrame:
         names = [*PAGE_COUNTS, "problem_count", *BLOCK_COUNTS]
@@ -170,27 +172,42 @@ def run_summary(pages: DataFrame, blocks: DataFrame, problems: DataFrame) -> Dat
         zero = F.lit(0).cast("bigint")
         return held.select("source", *[F.col(n) if n in columns else zero.alias(n) for n in names])
 
-    routes = {f"route_{r}": _count_if(F.col("route") == r) for r in ("local_only", "ai_patch")}
-    tiers = {f"tier_{r}": _count_if(F.col("tier") == r) for r in ("green", "yellow", "red")}
     page_part = part(
         pages, page_count=F.count(F.lit(1)), ai_attempted_page_count=_count_if(F.col("attempted")),
-        ai_applied_page_count=_count_if(F.col("applied")), ai_cache_hit_count=_count_if(F.col("cache_hit")), **routes, **tiers,
+        ai_applied_page_count=_count_if(F.col("applied")), ai_cache_hit_count=_count_if(F.col("cache_hit")),
     )
     block_part = part(
         blocks, block_count=F.count(F.lit(1)), text_block_count=_count_if(F.coalesce(F.col("text") != "", F.lit(False))),
         image_block_count=_count_if(F.col("block_type") == "image"),
         fallback_block_count=_count_if(F.coalesce(F.col("fallback_reason") != "", F.lit(False))),
+        **{f"{n}_count": _count_if(F.col(n)) for n in OCR_CACHE if n in blocks.columns},
     )
     problem_part = part(problems, problem_count=F.count(F.lit(1)))
     parts = page_part.unionByName(block_part).unionByName(problem_part)
-    return parts.rollup("source").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "source"])
+    summary = parts.rollup("source").agg(
+        *[F.sum(c).alias(c) for c in parts.columns if c != "source"], F.grouping_id().cast("int").alias("_all")
+    )
+    named = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.coalesce(F.when(F.col(k) != "", F.col(k)), F.lit("unknown")).alias("name"))
+        for k in ("route", "tier")
+    ])
+    held = pages.select("source", F.explode(named).alias("e")).select("source", "e.kind", "e.name")
+    counted = held.groupBy("source", "kind", "name").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    whole = counted.groupBy("kind", "name").agg(F.sum("_n").alias("_n"))
+    counted = counted.unionByName(whole.withColumns({"source": F.lit(None).cast("string"), "_all": F.lit(1)}))
+    pairs = lambda k: F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "_n")))))
+    maps = counted.groupBy(F.col("source").alias("_source"), F.col("_all").alias("_level")).agg(
+        pairs("route").alias("route_counts"), pairs("tier").alias("tier_counts")
+    )
+    here = F.col("source").eqNullSafe(F.col("_source")) & (F.col("_all") == F.col("_level"))
+    return summary.join(maps, here, "left").drop("_source", "_level", "_all")
 
 
-PAGE_COUNTS = [
-    "page_count", "ai_attempted_page_count", "ai_applied_page_count", "ai_cache_hit_count", "route_local_only",
-    "route_ai_patch", "tier_green", "tier_yellow", "tier_red",
+OCR_CACHE = ["ocr_cache_hit", "ocr_cache_miss"]
+PAGE_COUNTS = ["page_count", "ai_attempted_page_count", "ai_applied_page_count", "ai_cache_hit_count"]
+BLOCK_COUNTS = [
+    "block_count", "text_block_count", "image_block_count", "fallback_block_count", *[f"{n}_count" for n in OCR_CACHE],
 ]
-BLOCK_COUNTS = ["block_count", "text_block_count", "image_block_count", "fallback_block_count"]
 
 
 def repair_usage(pages: DataFrame, by: Sequence[str]) -> DataFrame:

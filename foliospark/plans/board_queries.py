@@ -278,9 +278,22 @@ SELECT unit_id, count(*) FILTER (record_mode = 'text') AS text_record_count,
        count(*) FILTER (record_mode = 'image') AS image_record_count,
        CASE WHEN count(*) FILTER (record_mode = 'image') > 0 THEN 4 ELSE 3 END AS header_flag
 FROM v_records GROUP BY unit_id
+UNION ALL SELECT 'bare-' || s_suppkey, 0, 1, 4 FROM supplier
 """)
 def _(t):
-    return records.record_counts(record_blocks(t), ["unit_id"])
+    """Problems with records, and one without for each supplier."""
+    made = record_blocks(t)
+    bare = t.table("supplier").select(F.concat(F.lit("bare-"), "s_suppkey").alias("unit_id"))
+    return records.record_counts(made, ["unit_id"], made.select("unit_id").unionByName(bare))
+
+
+@query("image_records", """
+SELECT problem_id, 84 / 1280::DOUBLE AS x, (start_y * 590 + 20) / (590 * 50)::DOUBLE AS y, 527.6::DOUBLE / 1280 AS w,
+       content_height * 590 / (590 * 50)::DOUBLE AS h
+FROM v_placed
+""")
+def _(t):
+    return records.image_records(order_boards(t)).select("problem_id", "x", "y", "w", "h")
 
 
 @query("record_modes", f"""

@@ -111,13 +111,15 @@ def _(t):
 
 @query("fallback_grouping", """
 SELECT page_id, block_id, page_id || '-problem-' || row_number() OVER (PARTITION BY page_id
-           ORDER BY column_index, coalesce(question_band_index, reading_order), top, "left", pos) AS unit_id
-FROM v_blocks WHERE pos % 5 IN (1, 2, 4)
+           ORDER BY reading_order) AS unit_id
+FROM v_ordered
 QUALIFY count(question_band_index) OVER (PARTITION BY page_id) > 0 OR count(*) OVER (PARTITION BY page_id) > 1
 """)
 def _(t):
-    plain = t.block_table.where(F.col("pos") % 5 != 0).where(F.col("pos") % 5 != 3).withColumn(
-        "display_title", F.lit(None).cast("string")
+    """Every block counts; those that would start a problem have their text blanked."""
+    blank = (F.col("pos") % 5).isin(0, 3)
+    plain = t.block_table.withColumns(
+        {"display_title": F.lit(None).cast("string"), "text": F.when(~blank, F.col("text"))}
     )
     found = grouping.group_problems(scale.staged(grouping.tag_blocks(ordering.reading_order(plain))))
     return found.where("fallback_grouping").select("page_id", "block_id", "unit_id")

@@ -46,7 +46,8 @@ def read_blocks(t: Tables, blocks=None):
     return (t.block_table if blocks is None else blocks).withColumns(
         {
             "ocr_backend": F.when(n % 4 == 1, "tesseract").when(n % 4 == 2, "paddle"),
-            "ocr_cache_hit": n % 3 == 0, "ocr_cache_miss": n % 3 == 1, "ocr_line_count": (n % 5).cast("int"),
+            "ocr_cache_hit": n % 3 == 0, "ocr_cache_miss": n % 3 == 1, "ocr_line_count": F.when(n % 5 != 4, (n % 5).cast("int")),
+            "ocr_lines": F.when(n % 2 == 0, F.array_repeat(F.struct(F.lit("x").alias("text")), (n % 3).cast("int"))),
             "ocr_latency_ms": F.when(n % 2 == 0, n.cast("double")),
             "confidence": F.when(n % 9 != 8, F.col("confidence")),
         }
@@ -55,7 +56,8 @@ def read_blocks(t: Tables, blocks=None):
 
 o.cte("v_read", """
 SELECT * EXCLUDE (confidence), CASE WHEN pos % 4 = 1 THEN 'tesseract' WHEN pos % 4 = 2 THEN 'paddle' END AS ocr_backend,
-       pos % 3 = 0 AS ocr_cache_hit, pos % 3 = 1 AS ocr_cache_miss, pos % 5 AS ocr_line_count,
+       pos % 3 = 0 AS ocr_cache_hit, pos % 3 = 1 AS ocr_cache_miss,
+       coalesce(CASE WHEN pos % 5 <> 4 THEN pos % 5 END, CASE WHEN pos % 2 = 0 THEN pos % 3 END, 0) AS ocr_line_count,
        CASE WHEN pos % 2 = 0 THEN pos END AS ocr_latency_ms, CASE WHEN pos % 9 <> 8 THEN confidence END AS confidence
 FROM v_blocks
 """)
@@ -300,16 +302,18 @@ def _(t):
     return cache.cache_summary(read, ["source"])
 
 
-@query("rollup_lines", """
-SELECT page_id, block_id, CAST(0 AS BIGINT) AS part, count(*) AS line_confidence_count, round(avg(confidence), 6) AS line_confidence_mean,
+@query("rollup_lines", f"""
+SELECT page_id, block_id, count(*) AS line_confidence_count, round(avg(confidence), 6) AS line_confidence_mean,
        min(confidence) AS line_confidence_min, max(confidence) AS line_confidence_max,
        string_agg(text, chr(10) ORDER BY line_no) AS text, CAST(count(*) AS INT) AS line_count,
-       CAST(length(trim(string_agg(text, chr(10) ORDER BY line_no))) AS INT) AS text_length,
-       trim(string_agg(text, chr(10) ORDER BY line_no)) = '' AS empty_text
-FROM v_lines GROUP BY page_id, block_id
+       CAST(length({o.strip("string_agg(text, chr(10) ORDER BY line_no)")}) AS INT) AS text_length,
+       {o.strip("string_agg(text, chr(10) ORDER BY line_no)")} = '' AS empty_text
+FROM (SELECT * REPLACE (CASE WHEN line_no % 3 = 0 THEN chr(9) || ' ' ELSE text END AS text) FROM v_lines) GROUP BY page_id, block_id
 """)
 def _(t):
-    made = rollup.rollup_lines(t.lines, ["page_id", "block_id"])
+    """Every third line is white space only."""
+    lines = t.lines.withColumn("text", F.when(F.col("line_no") % 3 == 0, F.lit("\t ")).otherwise(F.col("text")))
+    made = rollup.rollup_lines(lines, ["page_id", "block_id"])
     return made.drop("confidence").withColumn("line_confidence_mean", F.round("line_confidence_mean", 6))
 
 
@@ -412,14 +416,22 @@ SELECT page_id, sha1(concat_ws('|', page_id, page_width, page_height, count(*),
        sum(('0x' || substr(h, 14, 13))::HUGEINT), sum(('0x' || substr(h, 27, 13))::HUGEINT))) AS page_signature
 FROM (SELECT page_id, page_width, page_height, sha1(concat_ws(chr(31), pos, block_id, block_type, coalesce(text, ''),
              printf('%.4f', confidence), printf('%.1f', "left"), printf('%.1f', top), printf('%.1f', width), printf('%.1f', height),
-             coalesce(fallback_reason, ''), coalesce(display_title, ''))) AS h FROM v_blocks)
+             coalesce(fallback_reason, ''), coalesce(display_title, ''), coalesce('=' || column_index, 'none'),
+             coalesce('=' || question_band_index, 'none'), '=auto',
+             CASE pos % 3 WHEN 0 THEN 'none' WHEN 1 THEN '=' ELSE '=paddle' END)) AS h FROM v_blocks)
 GROUP BY page_id, page_width, page_height
 """)
 
 
+def signed_blocks(t: Tables):
+    """Blocks of one mode, with a recogniser that is missing, empty or named."""
+    n = F.col("pos") % 3
+    return t.block_table.withColumns({"ocr_mode": F.lit("auto"), "ocr_backend": F.when(n == 1, "").when(n == 2, "paddle")})
+
+
 @query("page_signature", "SELECT * FROM v_signed")
 def _(t):
-    return repair.page_signature(t.block_table)
+    return repair.page_signature(signed_blocks(t))
 
 
 @query("repair_lookup", """
@@ -428,7 +440,7 @@ SELECT page_id, sha1('{"provider":"openai","model":"model-1","trigger_reasons":[
 """)
 def _(t):
     """Pages with a correction cached under the same signature and reasons."""
-    signed = repair.page_signature(t.block_table)
+    signed = repair.page_signature(signed_blocks(t))
     reasons = t.pages.select("page_id", F.array(F.lit("low_ocr_confidence")).alias("trigger_reasons"))
     keyed = scale.staged(repair.repair_key(reasons, signed, "openai", "model-1"))
     known = keyed.where(F.col("page_id").cast("bigint") % 3 == 0).select("repair_key", F.col("page_id").alias("payload"))

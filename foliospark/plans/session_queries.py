@@ -36,7 +36,7 @@ def _(t):
 
 o.cte("v_sources", """
 SELECT c_nationkey AS batch_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS source_index,
-       'scan' || c_custkey AS stem, c_custkey % 4 AS page_count FROM customer WHERE c_nationkey > 0 OR c_custkey < 1
+       'scan' || c_custkey AS stem, c_custkey % 4 AS page_count FROM customer
 UNION ALL SELECT 1000 + s_suppkey, 1, 'lone' || s_suppkey, 3 FROM supplier
 """)
 
@@ -50,7 +50,7 @@ SELECT batch_id, page_id, n + before AS page_number, batch_total_sources, origin
                      sum(page_count) OVER (PARTITION BY batch_id ORDER BY source_index) - page_count AS before FROM v_sources)))
 """)
 def _(t):
-    scans = t.table("customer").where("c_nationkey > 0 or c_custkey < 1").select(
+    scans = t.table("customer").select(
         F.col("c_nationkey").cast("bigint").alias("batch_id"), "c_custkey", F.concat(F.lit("scan"), F.col("c_custkey")).alias("stem"),
         (F.col("c_custkey") % 4).cast("int").alias("page_count"),
     )
@@ -134,7 +134,7 @@ def raw_sessions(t: Tables):
     name = F.concat(F.lit("s"), k.cast("string"))
     old = F.struct(
         name.alias("session_name"), F.lit(2).alias("input_file_count"), F.array(F.lit("a"), F.lit("b")).alias("input_files"),
-        F.lit("C:\\out\\b.edb").alias("edb_file_uri"), F.struct(F.lit(0.9).alias("base_slot_height_pages")).alias("template"),
+        F.lit("C:\\out\\b.brd").alias("edb_file_uri"), F.struct(F.lit(0.9).alias("base_slot_height_pages")).alias("template"),
         F.struct(F.lit(" FORCE ").alias("mode"), F.lit("Gemini").alias("provider"), F.lit(3.5).alias("threshold")).alias("ai_fallback"),
         F.array(
             F.struct(
@@ -167,7 +167,7 @@ def raw_sessions(t: Tables):
 @query("sessions", """
 SELECT 's' || o_orderkey AS session_name, CASE WHEN odd THEN 'page' ELSE 'question' END AS export_mode,
        CAST(CASE WHEN odd THEN 0 ELSE 2 END AS DOUBLE) AS input_file_count, CASE WHEN odd THEN 0 ELSE 2 END AS files,
-       CASE WHEN odd THEN '' ELSE 'file:///C:/out/b.edb' END AS board_file_uri, CAST(CASE WHEN odd THEN 1 ELSE 2 END AS DOUBLE) AS detected_problem_count,
+       CASE WHEN odd THEN '' ELSE 'file:///C:/out/b.brd' END AS board_file_uri, CAST(CASE WHEN odd THEN 1 ELSE 2 END AS DOUBLE) AS detected_problem_count,
        CAST(CASE WHEN NOT odd THEN 0.9 END AS DOUBLE) AS slot_height, CAST(CASE WHEN NOT odd THEN 50 END AS DOUBLE) AS board_page_count,
        CASE WHEN odd THEN 'off' ELSE 'force' END AS mode, CASE WHEN odd THEN 'openai' ELSE 'gemini' END AS provider,
        CAST(CASE WHEN odd THEN 0.72 ELSE 1 END AS DOUBLE) AS threshold, CASE WHEN odd THEN 25 ELSE 18 END AS max_regions,
@@ -202,20 +202,20 @@ def _(t):
 
 
 @query("parse_titles", """
-SELECT block_id, CAST(CASE pos % 5 WHEN 0 THEN (pos // 5 + 1) % 1000 WHEN 1 THEN pos + 1 WHEN 2 THEN pos END AS DOUBLE) AS number,
+SELECT block_id, CAST(CASE pos % 5 WHEN 0 THEN pos // 5 % 999 + 1 WHEN 1 THEN pos % 999 + 1 WHEN 2 THEN pos % 999 END AS DOUBLE) AS number,
        CASE pos % 5 WHEN 0 THEN 'tail' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'problem' ELSE 'x 3.' END AS rest
-FROM v_blocks WHERE pos < 900
+FROM v_blocks
 """)
 def _(t):
     n = F.col("pos")
     raw = (
-        F.when(n % 5 == 0, F.concat(F.lit(" 문항 "), (F.floor(n / 5) + 1).cast("string"), F.lit(") tail ")))
-        .when(n % 5 == 1, F.concat(F.lit("문항 "), (n + 1).cast("string"), F.lit(" - more")))
-        .when(n % 5 == 2, F.concat(F.lit("page_Problem "), n.cast("string")))
+        F.when(n % 5 == 0, F.concat(F.lit(" 문항 "), (F.floor(n / 5) % 999 + 1).cast("string"), F.lit(") tail ")))
+        .when(n % 5 == 1, F.concat(F.lit("문항 "), (n % 999 + 1).cast("string"), F.lit(" - more")))
+        .when(n % 5 == 2, F.concat(F.lit("page_Problem "), (n % 999).cast("string")))
         .when(n % 5 == 3, F.lit(" problem")).otherwise(F.lit("x 3. "))
     )
     number, rest = tx.parsed_title(raw)
-    return t.blocks.where("pos < 900").select("block_id", number.cast("double").alias("number"), rest.alias("rest"))
+    return t.blocks.select("block_id", number.cast("double").alias("number"), rest.alias("rest"))
 
 
 o.cte("v_feed", """
@@ -350,23 +350,31 @@ SELECT source, CAST(sum(page_count) AS BIGINT) AS page_count, CAST(sum(a) AS BIG
        CAST(sum(c) AS BIGINT) AS ai_cache_hit_count, CAST(sum(lo) AS BIGINT) AS route_local_only, CAST(sum(pa) AS BIGINT) AS route_ai_patch,
        CAST(sum(g) AS BIGINT) AS tier_green, CAST(sum(y) AS BIGINT) AS tier_yellow, CAST(sum(r) AS BIGINT) AS tier_red,
        CAST(sum(problems) AS BIGINT) AS problem_count, CAST(sum(blocks) AS BIGINT) AS block_count, CAST(sum(texts) AS BIGINT) AS text_block_count,
-       CAST(sum(images) AS BIGINT) AS image_block_count, CAST(sum(fallbacks) AS BIGINT) AS fallback_block_count
+       CAST(sum(images) AS BIGINT) AS image_block_count, CAST(sum(fallbacks) AS BIGINT) AS fallback_block_count,
+       CAST(sum(un) AS BIGINT) AS route_unknown, CAST(sum(hits) AS BIGINT) AS ocr_cache_hit_count, CAST(sum(misses) AS BIGINT) AS ocr_cache_miss_count
 FROM (SELECT p.source, 1 AS page_count, CAST(s.status IN ('error', 'invalid_response', 'applied') AS INT) AS a,
              CAST(s.status IN ('cache_hit', 'applied') AS INT) AS b, CAST(s.status = 'cache_hit' AS INT) AS c,
-             CAST(s.route = 'local_only' AS INT) AS lo, CAST(s.route = 'ai_patch' AS INT) AS pa, CAST(s.tier = 'green' AS INT) AS g,
+             CAST(s.route = 'local_only' AND s.p % 10 > 0 AS INT) AS lo, CAST(s.route = 'ai_patch' AND s.p % 10 > 0 AS INT) AS pa,
+             CAST(s.p % 10 = 0 AS INT) AS un, coalesce(b.hits, 0) AS hits, coalesce(b.misses, 0) AS misses, CAST(s.tier = 'green' AS INT) AS g,
              CAST(s.tier = 'yellow' AS INT) AS y, CAST(s.tier = 'red' AS INT) AS r, coalesce(u.n, 0) AS problems, coalesce(b.n, 0) AS blocks,
              coalesce(b.texts, 0) AS texts, coalesce(b.images, 0) AS images, coalesce(b.fallbacks, 0) AS fallbacks
       FROM v_pages p JOIN v_status s ON p.page_id = s.page_id
       LEFT JOIN (SELECT page_id, count(*) AS n FROM v_problems GROUP BY 1) u ON p.page_id = u.page_id
-      LEFT JOIN (SELECT page_id, count(*) AS n, count(text) AS texts, count(*) FILTER (block_type = 'image') AS images, count(fallback_reason) AS fallbacks
+      LEFT JOIN (SELECT page_id, count(*) AS n, count(text) AS texts, count(*) FILTER (block_type = 'image') AS images, count(fallback_reason) AS fallbacks,
+                        count(*) FILTER (pos % 3 = 0) AS hits, count(*) FILTER (pos % 3 = 1) AS misses
                  FROM v_blocks GROUP BY 1) b ON p.page_id = b.page_id)
 GROUP BY ROLLUP (source)
 """)
 def _(t):
     source = t.pages.select("page_id", "source")
     routed = statuses(t).join(source, "page_id")
+    routed = routed.withColumn("route", F.when(F.col("page_id").cast("bigint") % 10 != 0, F.col("route")))
+    blocks = t.block_table.withColumns({"ocr_cache_hit": F.col("pos") % 3 == 0, "ocr_cache_miss": F.col("pos") % 3 == 1})
     units = grouping.problems_of(grouped(t)).select("page_id").join(source, "page_id")
-    return session.run_summary(routed, t.block_table, units)
+    made = session.run_summary(scale.staged(routed), blocks, units)
+    of = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)).alias(f"{m.split('_')[0]}_{k}")
+    flat = [of("route_counts", k) for k in ("local_only", "ai_patch", "unknown")] + [of("tier_counts", k) for k in ("green", "yellow", "red")]
+    return made.select(*[c for c in made.columns if not c.endswith(("route_counts", "tier_counts"))], *flat)
 
 
 @query("repair_usage", """

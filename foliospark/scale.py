@@ -8,11 +8,16 @@ far fewer than rows; a running total over them gives every slice its carry-in.
 Slices come from one of two places:
 
 * ``by_position``: the rows carry an integer position (a page's reading order,
-  a series index). The slice is ``position div rows``. Nothing is measured.
+  a series index). The slice is ``position div rows``; rows without a position
+  are in slice 0. Nothing is measured.
 * ``by_order``: the order is arbitrary columns. Group sizes are counted first
   (partial aggregation). Groups above ``rows`` are range-partitioned by their
-  order; the partition number is the slice. Other groups are left alone, so a
-  data set without oversized groups pays one count and no further shuffle.
+  order into as many partitions as their counts ask for; the partition number
+  is the slice. Other groups are left alone, so a data set without oversized
+  groups pays one count and no further shuffle.
+
+A null key is a group like any other, at every size. Where slices are joined,
+the keys stand in one struct, in which nulls are equal.
 """
 
 from __future__ import annotations
@@ -88,10 +93,25 @@ def drop_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
+def _group(keys: Sequence[str]) -> tuple[str, Column]:
+    """Name and value of one column that holds the keys and is never null."""
+    return "_group_" + "_".join(keys), F.struct(F.lit(0).alias("_"), *keys)
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, str]:
+    name, value = _group(keys)
+    return (df if name in df.columns else df.withColumn(name, value)), name
+
+
+def unsliced(df: DataFrame) -> DataFrame:
+    """Without the columns that slicing adds."""
+    return df.drop(SLICE, *[c for c in df.columns if c.startswith("_group_")])
+
+
 def slice_of(position: Column | str, rows: int | None = None) -> Column:
-    """Slice number of an integer position."""
+    """Slice number of an integer position; 0 where it is null."""
     position = F.col(position) if isinstance(position, str) else position
-    position = position.cast("bigint")
+    position = F.coalesce(position.cast("bigint"), F.lit(0).cast("bigint"))
     rows = rows or GROUP_ROWS
     return ((position - F.pmod(position, F.lit(rows))) / rows).cast("bigint")
 
@@ -115,19 +135,25 @@ def by_order(
     group and always sliced.
     """
     rows = rows or GROUP_ROWS
-    plain = None
-    large = df
+    source = sized_by if sized_by is not None else df
+    plain, large = None, df
     if keys:
-        big = (sized_by if sized_by is not None else df).groupBy(*keys).count()
-        big = big.where(F.col("count") > rows).select(*keys)
+        big = source.groupBy(*keys).count().where(F.col("count") > rows)
         found = big.limit(MAX_BIG_GROUPS + 1).collect()
         if not found:
             return df, False
         if len(found) <= MAX_BIG_GROUPS:
-            known = F.broadcast(df.sparkSession.createDataFrame(found, big.schema))
-            large = df.join(known, list(keys), "left_semi")
-            plain = df.join(known, list(keys), "left_anti").withColumn(SLICE, F.lit(0).cast("bigint"))
-    ranged = large.repartitionByRange(*[F.col(k) for k in keys], *order)
+            slices = sum(-(-r["count"] // rows) for r in found)
+            df, name = _grouped(df, keys)
+            known = df.sparkSession.createDataFrame(found, big.schema)
+            known = F.broadcast(known.select(_group(keys)[1].alias(name)))
+            large = df.join(known, name, "left_semi")
+            plain = df.join(known, name, "left_anti").withColumn(SLICE, F.lit(0).cast("bigint"))
+        else:
+            slices = -(-big.agg(F.sum("count")).first()[0] // rows)
+    else:
+        slices = -(-source.count() // rows) or 1
+    ranged = large.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     ranged = checkpointed(ranged.withColumn(SLICE, F.spark_partition_id().cast("bigint")))
     return (ranged if plain is None else ranged.unionByName(plain)), True
 
@@ -153,6 +179,9 @@ def running(
     facts = dict(facts or {})
     held = {f"_v_{name}": m.value for name, m in measures.items()}
     rows = df.withColumns(held)
+    if sliced:
+        rows, name = _grouped(rows, keys)
+        keys = [name]
     parts = [*keys, SLICE] if sliced else list(keys)
     window = Window.partitionBy(*parts).orderBy(*order)
     upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -184,7 +213,7 @@ def running(
             else F.greatest(F.col(n), F.col(f"_c_{n}"))
             for n, m in measures.items()
         }
-    ).drop(*held, *[f"_c_{n}" for n in measures])
+    ).drop(*held, *[f"_c_{n}" for n in measures], *keys)
 
 
 def rank(
@@ -206,10 +235,12 @@ def with_group_facts(df: DataFrame, keys: Sequence[str], facts: Sequence[Column]
 
     The aggregates are repeated once per slice of their group, so the join runs
     on (keys, slice) and keeps the partitioning that ``running`` needs.
+    ``unsliced`` takes the helper columns away.
     """
-    totals = df.groupBy(*keys).agg(*facts, F.max(SLICE).alias("_last"))
+    df, name = _grouped(df, keys)
+    totals = df.groupBy(name).agg(*facts, F.max(SLICE).alias("_last"))
     spread = totals.withColumn(SLICE, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
-    return df.join(spread, [*keys, SLICE])
+    return df.join(spread, [name, SLICE])
 
 
 def islands(
@@ -229,6 +260,9 @@ def islands(
     """
     sums = dict(sums or {})
     cut = by_position(active.select(*keys, position, *[v.alias(n) for n, v in sums.items()]), position, rows)
+    given = list(keys)
+    cut, name = _grouped(cut, keys)
+    keys = [name]
     parts = [*keys, SLICE]
     window = Window.partitionBy(*parts).orderBy(position)
     step = F.col(position) - F.lag(position).over(window)
@@ -255,7 +289,7 @@ def islands(
         merged.withColumn("_start", F.coalesce("_origin", "first"))
         .groupBy(*keys, "_start")
         .agg(F.max("last").alias("last"), *[F.sum(n).alias(n) for n in sums])
-        .withColumnRenamed("_start", "first")
+        .select(*[F.col(name)[k].alias(k) for k in given], F.col("_start").alias("first"), "last", *sums)
     )
 
 
@@ -302,9 +336,9 @@ def keyed_join(
     found = sizes.limit(MAX_BIG_GROUPS + 1).collect()
     if not found:
         return left.join(right, list(keys), how)
-    spark = left.sparkSession
-    if len(found) <= MAX_BIG_GROUPS:
-        sizes = F.broadcast(spark.createDataFrame(found, sizes.schema))
+    if len(found) > MAX_BIG_GROUPS:  # no few keys stand out; the adaptive skew join splits what is uneven
+        return left.join(right, list(keys), how)
+    sizes = F.broadcast(left.sparkSession.createDataFrame(found, sizes.schema))
     one = F.lit(1)
     salted = left.join(sizes, list(keys), "left").withColumn("_salts", F.coalesce("_salts", one))
     salted = salted.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).drop("_salts")

@@ -113,3 +113,45 @@ def test_staged_tables_can_be_dropped(spark):
     path = pathlib.Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
     assert path.exists() and df.count() == 5
     assert scale.drop_staged(spark) == 1 and not path.exists()
+
+
+@pytest.fixture(scope="module")
+def with_nulls(spark):
+    """A hot key, a null key and null positions, with ties in the order."""
+    rows = [("hot", i, i % 7) for i in range(60)] + [(None, i, i % 3) for i in range(40)] + [("k", i, 1) for i in range(5)]
+    rows += [("hot", None, 9), (None, None, 9)]
+    return rows, spark.createDataFrame(rows, "k string, pos bigint, v int")
+
+
+@pytest.mark.parametrize("size", [2, 50, None])
+def test_null_keys_are_groups_at_every_size(with_nulls, size):
+    rows, df = with_nulls
+    place = F.coalesce("pos", F.lit(-1))
+    ranked = scale.rank(df, ["k"], [F.col("v"), place], "n", rows=size).collect()
+    expected = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r[2], -1 if r[1] is None else r[1]) for r in rows if r[0] == key)
+        expected += [(str(key), v, p, i) for i, (v, p) in enumerate(mine, 1)]
+    assert sorted((str(r.k), r.v, -1 if r.pos is None else r.pos, r.n) for r in ranked) == sorted(expected)
+    total = scale.running(
+        scale.by_position(df, "pos", size), ["k"], [place], {"sum": Running("sum", F.col("v"))}, facts={"all": ("sum", F.col("v"))}
+    )
+    assert total.count() == len(rows) and set(total.columns) == {"k", "pos", "v", scale.SLICE, "sum", "all"}
+    for key in ("hot", None, "k"):
+        mine = sorted((-1 if r[1] is None else r[1], r[2]) for r in rows if r[0] == key)
+        found = sorted((-1 if r.pos is None else r.pos, r["sum"], r["all"]) for r in total.collect() if r.k == key)
+        assert found == [(p, sum(v for _, v in mine[: i + 1]), sum(v for _, v in mine)) for i, (p, _) in enumerate(mine)]
+    facts = scale.unsliced(scale.with_group_facts(scale.by_position(df, "pos", size), ["k"], [F.count(F.lit(1)).alias("n")]))
+    assert facts.count() == len(rows) and set(facts.columns) == {"k", "pos", "v", "n"}
+    runs = scale.islands(df.where("pos is not null"), ["k"], "pos", 1, sums={"v": F.col("v")}, rows=size).collect()
+    assert sorted((str(r.k), r["first"], r["last"]) for r in runs) == [("None", 0, 39), ("hot", 0, 59), ("k", 0, 4)]
+
+
+def test_large_groups_are_cut_into_as_many_slices_as_they_need(with_nulls):
+    rows, df = with_nulls
+    cut, sliced = scale.by_order(df, ["k"], [F.col("v"), F.col("pos")], rows=10)
+    sizes = {(r.k, r[scale.SLICE]): r["count"] for r in cut.groupBy("k", scale.SLICE).count().collect()}
+    assert sliced and sum(sizes.values()) == len(rows)
+    assert sum(k == "hot" for k, _ in sizes) >= 4 and sum(k is None for k, _ in sizes) >= 3 and ("k", 0) in sizes
+    whole, _ = scale.by_order(df, [], [F.col("v")], rows=10)
+    assert whole.select(scale.SLICE).distinct().count() >= 5
