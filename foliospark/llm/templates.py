@@ -50,7 +50,7 @@ class Vocabulary(dict):
     """word -> row of the property arrays, filled on demand."""
 
     def __init__(self):
-        self.literal, self.kind, self.ends = [], [], []
+        self.literal, self.kind, self.ends = np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool)
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -66,11 +66,13 @@ class Vocabulary(dict):
             kind = 3
         else:
             kind = 0
-        self.literal.append(xxhash.xxh64_intdigest(low.encode()))
-        self.kind.append(kind)
-        self.ends.append(word == LINE or text[-1] in ".!?:" or text[-2:-1] in (".", "!", "?"))
-        self[word] = len(self.kind) - 1
-        return self[word]
+        self[word] = row = len(self)
+        if row == len(self.kind):
+            self.literal, self.kind, self.ends = (np.resize(a, 2 * row) for a in (self.literal, self.kind, self.ends))
+        self.literal[row] = xxhash.xxh64_intdigest(low.encode())
+        self.kind[row] = kind
+        self.ends[row] = word == LINE or text[-1] in ".!?:" or text[-2:-1] in (".", "!", "?")
+        return row
 
 
 class Canonical:
@@ -79,22 +81,22 @@ class Canonical:
     def __init__(self):
         self.known = Vocabulary()
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Token hashes, slot kinds (0 where literal) and the words. A unit is one only after a number,
-        a name only inside a sentence."""
+    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Token hashes, slot kinds (0 where literal), and the words with each token's place among them. A unit is
+        one only after a number, a name only inside a sentence."""
         if len(self.known) > CACHE:
             self.known = Vocabulary()
         found = text.replace(LINE, b" ").replace(b"\n", b" \x00 ").split()
         rows = np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
-        kind = np.array(self.known.kind, np.int8)[rows]
+        kind = self.known.kind[rows]
         before = np.ones(len(rows), bool)
-        before[1:] = np.array(self.known.ends, bool)[rows][:-1]
+        before[1:] = self.known.ends[rows][:-1]
         counted = np.zeros(len(rows), bool)
         counted[1:] = kind[:-1] == 1
         slot = np.where((kind == 1) | ((kind == 2) & counted) | ((kind == 3) & ~before), kind, 0)
-        hashes = np.where(slot > 0, slot.astype(np.uint64), np.array(self.known.literal, np.uint64)[rows])
-        real = kind != 4
-        return hashes[real], slot[real], [w for w, r in zip(found, real) if r] if not real.all() else found
+        hashes = np.where(slot > 0, slot.astype(np.uint64), self.known.literal[rows])
+        real = np.flatnonzero(kind != 4)
+        return hashes[real], slot[real], found, real
 
 
 def window_keys(hashes: np.ndarray, slots: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +129,7 @@ def windows(docs: DataFrame, keep: list[str], text: str, seen: np.ndarray | None
         for batch in batches:
             row, position, total, found, slots = [], [], [], [], []
             for i, data in enumerate(raw(batch.column("_text"))):
-                hashes, kinds, read = reader.tokens(data)
+                hashes, kinds, read, places = reader.tokens(data)
                 keys, good = window_keys(hashes, kinds)
                 if bits is not None:
                     low = keys & np.uint64((1 << MAP_BITS) - 1)
@@ -139,7 +141,7 @@ def windows(docs: DataFrame, keep: list[str], text: str, seen: np.ndarray | None
                 found += keys[at].astype(np.int64).tolist() if at else []
                 for p in at:
                     values = [(p + j, k) for j, k in enumerate(kinds[p : p + WINDOW].tolist()) if k]
-                    slots.append([{"at": q, "kind": SLOTS[k], "value": _value(read[q])} for q, k in values])
+                    slots.append([{"at": q, "kind": SLOTS[k], "value": _value(read[places[q]])} for q, k in values])
             columns = [batch.column(k).take(pa.array(row, pa.int32())) for k in keep]
             columns += [pa.array(position, pa.int32()), pa.array(total, pa.int32()), pa.array(found, pa.int64()), pa.array(slots, slot_type)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "position", "windows", "key", "slots"])
