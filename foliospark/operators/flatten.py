@@ -11,20 +11,27 @@ ROLES = ("stem", "choice", "explanation", "figure")
 
 
 def explode_blocks(pages: DataFrame) -> DataFrame:
-    """One row per block, with its source position and the page's size."""
+    """One row per block, with its source position and the page's size.
+
+    Everything a block holds comes along: its style, picture, labels, children
+    and lines, and its metadata as a whole. Pages without blocks have no rows
+    here; ``nest_pages`` restores them from the pages.
+    """
     rows = pages.select(
         "page_id",
         F.col("width_px").alias("page_width"),
         F.col("height_px").alias("page_height"),
         F.col("subject").alias("page_subject"),
-        F.posexplode("blocks").alias("pos", "b"),
-    )
+        F.coalesce("block_offset", F.lit(0)).alias("_offset") if "block_offset" in pages.columns else F.lit(0).alias("_offset"),
+        F.posexplode("blocks").alias("_pos", "b"),
+    ).withColumn("pos", F.col("_offset") + F.col("_pos"))
     meta = ["column_index", "question_band_index", "fallback_reason", "display_title", "force_problem_start",
             "ocr_backend", "ocr_cache_hit", "ocr_cache_miss", "ocr_line_count", "ocr_latency_ms"]
     return rows.select(
         "page_id", "page_width", "page_height", "page_subject", "pos",
         "b.block_id", "b.block_type", "b.bbox.left", "b.bbox.top", "b.bbox.width", "b.bbox.height",
         "b.reading_order", "b.text", "b.confidence", F.col("b.style.font_size").alias("font_size"), "b.ocr_lines",
+        "b.style", "b.asset", "b.labels", "b.children", F.col("b.metadata").alias("block_meta"),
         *[f"b.metadata.{m}" for m in meta],
     )
 
@@ -44,7 +51,7 @@ def explode_problems(pages: DataFrame) -> DataFrame:
     return rows.select(
         "page_id", "problem_pos", "p.unit_id", "p.subject", "p.title",
         *[f"p.{r}_block_ids" for r in ROLES],
-        F.col("p.metadata.problem_number").alias("problem_number"),
+        F.col("p.metadata.problem_number").alias("problem_number"), F.col("p.metadata").alias("problem_meta"),
     )
 
 

@@ -73,13 +73,14 @@ def record_ids(members: DataFrame, problem_order: Sequence[str], block_order: Se
 
 
 def attempt_budget(
-    blocks: DataFrame, run: str, order: Sequence[str], max_attempts: int, min_confidence: float | None,
+    blocks: DataFrame, run: str, order: Sequence[str], max_attempts: int | None, min_confidence: float | None,
     rows: int | None = None,
 ) -> DataFrame:
     """Which rows of a run are sent for enrichment and which come too late.
 
     Image rows take no part. A row is due if it has no text or too little
-    confidence. Once ``max_attempts`` rows were due, every later row is skipped.
+    confidence. Once ``max_attempts`` rows were due, every later row is skipped;
+    None sets no limit.
     """
     from foliospark.functions.text import is_filled
 
@@ -87,6 +88,8 @@ def attempt_budget(
     weak = ~is_filled(F.col("text"))
     if min_confidence is not None:
         weak = weak | F.coalesce(F.col("confidence") < min_confidence, F.lit(False))
+    if max_attempts is None:
+        return blocks.withColumn("attempt", F.when(eligible & weak, "due").otherwise("none"))
     keys = [F.col(c) for c in order]
     cut, sliced = scale.by_order(blocks, [run], keys, rows=rows)
     due = F.when(eligible & weak, 1).otherwise(0)

@@ -191,7 +191,11 @@ def apply_repairs(blocks: DataFrame, repairs: DataFrame, rows: int | None = None
 
 
 # --------------------------------------------------------------- enrichment
-RESULT_DDL = "page_id string, block_id string, result_text string, result_confidence double, result_error string"
+RESULT_LINES = "array<struct<text:string,confidence:double>>"
+RESULT_DDL = (
+    "page_id string, block_id string, result_text string, result_confidence double, result_error string, "
+    f"result_lines {RESULT_LINES}"
+)
 
 
 def enrich_blocks(
@@ -204,16 +208,23 @@ def enrich_blocks(
     """Let a user function read the blocks that are due.
 
     ``blocks`` comes from ``attempt_budget``. ``fn`` maps batches of due rows to
-    batches with page_id, block_id, result_text, result_confidence and
-    result_error; it is called once per partition, so it can load a model once.
-    Only the due rows reach Python.
+    batches with page_id, block_id, result_text, result_confidence,
+    result_error and result_lines; it is called once per partition, so it can
+    load a model once. Only the due rows reach Python and the join; all others
+    are put beside them as they are. What was read replaces text, lines, font
+    size and type; ``ai_error`` holds a failed call's message, ``became_image``
+    tells rows that end as images for want of text.
     """
     due = F.col("attempt") == "due"
+    nothing = {n: F.lit(None).cast(d) for n, d in (
+        ("result_text", "string"), ("result_confidence", "double"), ("result_error", "string"), ("result_lines", RESULT_LINES),
+    )}
     if requested and fn is not None:
         results = blocks.where(due).mapInPandas(fn, RESULT_DDL)
+        asked_rows = blocks.where(due).join(results, ["page_id", "block_id"], "left")
+        held = asked_rows.unionByName(blocks.where(~due | due.isNull()).withColumns(nothing))
     else:
-        results = blocks.sparkSession.createDataFrame([], RESULT_DDL)
-    held = blocks.join(results, ["page_id", "block_id"], "left")
+        held = blocks.withColumns(nothing)
     asked = due & F.lit(requested)
     text = tx.strip(F.coalesce(F.col("result_text"), F.lit("")))
     failed = F.col("result_error").isNotNull()
@@ -236,16 +247,30 @@ def enrich_blocks(
         .when(empty, "ai_fallback_unavailable")
         .otherwise(F.col("fallback_reason"))
     )
+    own_lines = F.col("ocr_lines").cast(RESULT_LINES) if "ocr_lines" in blocks.columns else F.lit(None).cast(RESULT_LINES)
+    own_size = F.col("font_size") if "font_size" in blocks.columns else F.lit(None).cast("double")
+    new_size = F.greatest(F.lit(10.0), F.col("height") * 0.35) if "height" in blocks.columns else own_size
     weak = F.when(asked, F.when(tx.is_filled(F.col("text")), "ocr_low_confidence").otherwise("ocr_empty"))
     return held.withColumns(
         {
-            "ai_reason": weak,
+            "ai_reason": weak, "ai_error": F.when(asked, F.col("result_error")), "became_image": F.coalesce(empty, F.lit(False)),
+            "ocr_lines": F.when(F.col("_got"), F.col("result_lines")).otherwise(own_lines),
+            "font_size": F.when(F.col("_got"), new_size).otherwise(own_size),
             "fallback_reason": reason,
             "confidence": F.when(F.col("_got"), F.col("result_confidence")).otherwise(F.col("confidence")),
             "block_type": F.when(F.col("_got"), tx.text_block_type(F.col("_t"))).when(empty, "image").otherwise(F.col("block_type")),
             "text": merged,
         }
-    ).drop("result_text", "result_confidence", "result_error", "_got", "_t")
+    ).drop(*nothing, "_got", "_t")
+
+
+def enrich_totals(enriched: DataFrame, by: list[str]) -> DataFrame:
+    """Attempts, successes and rows that became images for want of text, per run."""
+    count = lambda c: F.count(F.when(c, 1))
+    return enriched.groupBy(*by).agg(
+        count(F.col("ai_reason").isNotNull()).alias("attempt_count"), count(F.col("ai_status") == "applied").alias("success_count"),
+        count(F.col("became_image")).alias("image_fallback_count"),
+    )
 
 
 def resolve_block_types(blocks: DataFrame, backend: str) -> DataFrame:

@@ -493,6 +493,7 @@ def read_again(batches):
         out["result_confidence"] = 0.9
         out["result_error"] = None
         out.loc[place % 6 == 2, "result_error"] = "no answer"
+        out["result_lines"] = [[{"text": text, "confidence": 0.5}] for text in out["result_text"]]
         yield out
 
 
@@ -503,13 +504,43 @@ SELECT block_id, ai_status, CASE WHEN ai_status = 'applied' THEN 'read ' || bloc
             CASE ai_status WHEN 'failed' THEN 'ai_fallback_failed' WHEN 'skipped_limit' THEN 'ai_fallback_limit_reached' ELSE 'ai_fallback_unavailable' END
             ELSE fallback_reason END AS fallback_reason,
        CASE WHEN ai_status = 'applied' THEN 0.9 ELSE confidence END AS confidence,
-       CASE WHEN attempt = 'due' THEN CASE WHEN coalesce(trim(text), '') = '' THEN 'ocr_empty' ELSE 'ocr_low_confidence' END END AS ai_reason
+       CASE WHEN attempt = 'due' THEN CASE WHEN coalesce(trim(text), '') = '' THEN 'ocr_empty' ELSE 'ocr_low_confidence' END END AS ai_reason,
+       CASE WHEN attempt = 'due' AND pos % 6 = 2 THEN 'no answer' END AS ai_error,
+       CASE WHEN ai_status = 'applied' THEN 'read ' || block_id END AS read_lines,
+       CASE WHEN ai_status = 'applied' THEN greatest(10, height * 0.35::DOUBLE) END AS read_size
 FROM (SELECT *, CASE WHEN attempt = 'skipped_limit' THEN 'skipped_limit' WHEN attempt = 'due' AND pos % 6 <> 2 AND pos % 4 <> 1 THEN 'applied'
                      WHEN attempt = 'due' AND pos % 6 = 2 THEN 'failed' WHEN attempt = 'due' THEN 'unavailable' END AS ai_status FROM v_due)
 """)
 def _(t):
-    made = repair.enrich_blocks(scale.staged(budgeted(t)), read_again)
-    return made.select("block_id", "ai_status", "text", "block_type", "fallback_reason", "confidence", "ai_reason")
+    made = enriched(t)
+    got = F.col("ai_status") == "applied"
+    lines = F.when(got, F.array_join(F.transform("ocr_lines", lambda e: e["text"]), "|")).alias("read_lines")
+    size = F.when(got, F.col("font_size")).alias("read_size")
+    return made.select(
+        "block_id", "ai_status", "text", "block_type", "fallback_reason", "confidence", "ai_reason", "ai_error", lines, size
+    )
+
+
+def enriched(t: Tables):
+    return repair.enrich_blocks(scale.staged(budgeted(t)), read_again)
+
+
+@query("enrich_totals", """
+SELECT source, count(*) FILTER (attempt = 'due') AS attempt_count,
+       count(*) FILTER (attempt = 'due' AND pos % 6 <> 2 AND pos % 4 <> 1) AS success_count,
+       count(*) FILTER (block_type <> 'image' AND coalesce(text, '') = '' AND NOT (attempt = 'due' AND pos % 6 <> 2 AND pos % 4 <> 1)) AS image_fallback_count
+FROM v_due GROUP BY source
+""")
+def _(t):
+    return repair.enrich_totals(enriched(t), ["source"])
+
+
+@query("attempts_unlimited", """
+SELECT block_id, CASE WHEN block_type <> 'image' AND weak THEN 'due' ELSE 'none' END AS attempt FROM v_due
+""")
+def _(t):
+    rows = t.block_table.withColumn("text", F.when(F.col("pos") % 5 != 2, F.col("text")))
+    return ordering.attempt_budget(rows, "source", ["doc_id", "pos"], None, 0.3).select("block_id", "attempt")
 
 
 # --------------------------------------------------------------- text rules

@@ -76,7 +76,12 @@ def page_folder(t: Tables) -> str:
     """Blocks and problems of all documents written as page files."""
     def write() -> str:
         path = scale.fresh_path(t.spark, "pages")
-        blocks = t.block_table.drop("doc_id", "source", "line")
+        lines = t.lines.groupBy("page_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+        lines = lines.withColumn("ocr_lines", F.transform("l", lambda e: F.struct(
+            e["text"].alias("text"), F.lit(None).cast("double").alias("confidence"),
+            F.lit(None).cast("struct<left:double,top:double,width:double,height:double>").alias("bbox"),
+        ))).drop("l")
+        blocks = t.block_table.drop("doc_id", "source", "line", "ocr_lines").join(lines, ["page_id", "block_id"], "left")
         page_files.write_pages(blocks, grouped(t), path)
         return path
 
@@ -108,6 +113,44 @@ def _(t):
     )
 
 
+@query("page_array_files", """
+SELECT page_id, CAST(n_chars AS INT) AS width_px, 3 AS n_blocks, 'b-' || page_id || '-2' AS last_id, source AS source_path
+FROM (SELECT CAST(doc_id AS VARCHAR) AS page_id, n_chars, source FROM documents)
+""")
+def _(t):
+    """Files that hold one JSON array of a hundred pages each, read back."""
+    page_id = F.col("doc_id").cast("string")
+    page = F.struct(
+        page_id.alias("page_id"), F.col("n_chars").cast("int").alias("width_px"), F.col("source").alias("source_path"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("b-"), page_id, F.lit("-"), i.cast("string")).alias("block_id"))).alias("blocks"),
+    )
+    path = scale.fresh_path(t.spark, "arrays")
+    shelf = F.expr("doc_id div 100").alias("shelf")
+    arrays = t.table("documents").groupBy(shelf).agg(F.to_json(F.collect_list(page), {"pretty": "true"}).alias("value"))
+    arrays.write.partitionBy("shelf").text(path)
+    found = page_files.read_pages(t.spark, path)
+    return found.select(
+        "page_id", "width_px", F.size("blocks").alias("n_blocks"), F.element_at("blocks", -1)["block_id"].alias("last_id"), "source_path"
+    )
+
+
+LINES_SQL = "SELECT page_id, block_id, CAST(line_no - 1 AS INT) AS line_no, text FROM v_lines"
+
+
+@query("explode_lines", LINES_SQL.replace("line_no - 1", "line_no"))
+def _(t):
+    pages = page_files.read_page_lines(t.spark, page_folder(t))
+    return flatten.explode_lines(flatten.explode_blocks(pages)).select("page_id", "block_id", "line_no", "text")
+
+
+@query("ingest_lines", LINES_SQL.replace("line_no - 1", "line_no"))
+def _(t):
+    """The lines of the written page files taken in as a stream."""
+    out, log = scale.fresh_path(t.spark, "lines"), scale.fresh_path(t.spark, "log")
+    ingest.ingest_stream(t.spark, page_folder(t), out, log, table="lines", json_lines=True).awaitTermination()
+    return t.spark.read.parquet(out).select("page_id", "block_id", "line_no", "text")
+
+
 @query("ingest_stream", "SELECT page_id, block_id, text, reading_order FROM v_blocks")
 def _(t):
     """The written page files taken in as a stream, each file once."""

@@ -43,10 +43,12 @@ _PAGE_META = (
     "route_decision:struct<route:string,should_use_ai:boolean,next_best_action:string,"
     "trigger_reasons:array<string>,profile:struct<tier:string,overall_risk:double>>"
 )
+# block_offset is the library's own: the place of the first block where a page is written in several rows.
 PAGE_DDL = (
     "page_id string, width_px int, height_px int, subject string, source_path string, "
-    f"blocks array<{BLOCK}>, problems array<{PROBLEM}>, metadata struct<{_PAGE_META}>"
+    f"blocks array<{BLOCK}>, problems array<{PROBLEM}>, metadata struct<{_PAGE_META}>, block_offset int"
 )
+BLOCK_META = {n: t for n, t in (field.split(":", 1) for field in _BLOCK_META.split(","))}
 
 REPAIR_DDL = (
     "problem_start_block_ids array<string>, choice_block_ids array<string>, figure_block_ids array<string>, "

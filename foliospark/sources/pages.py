@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliospark import scale
 from foliospark.functions import text as tx
 from foliospark.scale import Running
-from foliospark.schema import PAGE_DDL
+from foliospark.schema import ASSET, BLOCK_META, LINE, PAGE_DDL, STYLE
 from foliospark.settings import IMAGE_EXTENSIONS, Template
 
 
@@ -31,17 +31,30 @@ def read_page_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
     return spark.read.schema(PAGE_DDL).json(paths).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def nest_pages(blocks: DataFrame, grouped: DataFrame, part_items: int | None = None) -> DataFrame:
+def nest_pages(
+    blocks: DataFrame, grouped: DataFrame, part_items: int | None = None, *, pages: DataFrame | None = None,
+    titles: DataFrame | None = None,
+) -> DataFrame:
     """Blocks and their problems back to page rows.
 
     A page of very many blocks becomes several rows with the same page_id, each
-    a bounded part; reading them again gives the same blocks and problems.
+    a bounded part that knows the place of its first block; reading them again
+    gives the same blocks, positions and problems. Block columns that are absent
+    are written as null; a metadata column beside ``block_meta`` replaces its
+    entry. ``pages`` adds source path, page metadata and pages without blocks;
+    ``titles`` (page_id, unit_id, title, problem_meta) adds what a problem knows.
     """
-    box = F.struct("left", "top", "width", "height")
+    size = part_items or scale.PART_ITEMS
+    held = lambda n, d: F.col(n).cast(d).alias(n) if n in blocks.columns else F.lit(None).cast(d).alias(n)
+    box = F.struct(*[F.col(n).cast("double").alias(n) for n in ("left", "top", "width", "height")])
+    old = lambda n, d: F.col("block_meta")[n].cast(d).alias(n) if "block_meta" in blocks.columns else F.lit(None).cast(d).alias(n)
+    style = F.struct(F.col("font_size").cast("double").alias("font_size")).cast("struct<font_size:double>") if "font_size" in blocks.columns else None
+    known_style = held("style", STYLE) if "style" in blocks.columns or style is None else F.from_json(F.to_json(style), STYLE).alias("style")
     block = F.struct(
         "block_id", "block_type", box.alias("bbox"), F.col("reading_order").cast("int").alias("reading_order"), "text",
-        "confidence",
-        F.struct("column_index", "question_band_index", "fallback_reason", "display_title", "force_problem_start").alias("metadata"),
+        known_style, held("confidence", "double"), held("asset", ASSET), held("ocr_lines", f"array<{LINE}>"),
+        held("labels", "array<string>"), held("children", "array<string>"),
+        F.struct(*[held(n, d) if n in blocks.columns else old(n, d) for n, d in BLOCK_META.items()]).alias("metadata"),
     )
     keys = ["page_id", "page_width", "page_height", "page_subject"]
     rows = scale.folded(blocks, keys, F.col("reading_order"), {"blocks": block}, part_items=part_items)
@@ -51,21 +64,38 @@ def nest_pages(blocks: DataFrame, grouped: DataFrame, part_items: int | None = N
     units = scale.folded(
         grouped, ["page_id", "unit_id", "problem_index", "subject"], F.col("reading_order"), lists, part_items=part_items
     )
-    unit = F.struct("unit_id", "subject", *lists)
-    held = scale.folded(
+    known = ["title", "problem_meta"] if titles is not None else []
+    if titles is not None:
+        units = units.join(titles.select("page_id", "unit_id", *known), ["page_id", "unit_id"], "left")
+    unit = F.struct("unit_id", "subject", *[F.col("problem_meta").alias("metadata") if n == "problem_meta" else F.col(n) for n in known], *lists)
+    held_units = scale.folded(
         units.withColumn("_at", F.col("problem_index")).withColumnRenamed("part", "_unit_part"),
         ["page_id"], F.col("_at"), {"problems": unit}, part_items=part_items,
     )
-    pages = rows.join(held, ["page_id", "part"], "full")
-    return pages.select(
-        "page_id", F.col("page_width").cast("int").alias("width_px"), F.col("page_height").cast("int").alias("height_px"),
-        F.col("page_subject").alias("subject"), "blocks", "problems",
+    made = rows.join(held_units, ["page_id", "part"], "full")
+    offset = (F.col("part") * size).cast("int").alias("block_offset")
+    width, height, subject = F.col("page_width").cast("int"), F.col("page_height").cast("int"), F.col("page_subject")
+    if pages is None:
+        return made.select(
+            "page_id", width.alias("width_px"), height.alias("height_px"), subject.alias("subject"), "blocks", "problems", offset
+        )
+    once = pages.where("coalesce(block_offset, 0) = 0") if "block_offset" in pages.columns else pages
+    facts = once.select("page_id", "width_px", "height_px", F.col("subject").alias("_subject"), "source_path", "metadata")
+    facts = facts.dropDuplicates(["page_id"])
+    none = lambda n: F.coalesce(n, F.expr(f"filter({n}, x -> false)"), F.array().cast(made.schema[n].dataType)).alias(n)
+    return made.join(facts, "page_id", "full").select(
+        "page_id", F.coalesce(width, "width_px").alias("width_px"), F.coalesce(height, "height_px").alias("height_px"),
+        F.coalesce(subject, "_subject").alias("subject"), "source_path", none("blocks"), none("problems"), "metadata",
+        F.coalesce(offset, F.lit(0)).alias("block_offset"),
     )
 
 
-def write_pages(blocks: DataFrame, grouped: DataFrame, path: str, *, format: str = "json", mode: str = "error") -> None:
+def write_pages(
+    blocks: DataFrame, grouped: DataFrame, path: str, *, format: str = "json", mode: str = "error",
+    pages: DataFrame | None = None, titles: DataFrame | None = None,
+) -> None:
     """Write page rows as JSON lines or parquet."""
-    nest_pages(blocks, grouped).write.format(format).mode(mode).save(path)
+    nest_pages(blocks, grouped, pages=pages, titles=titles).write.format(format).mode(mode).save(path)
 
 
 def classify_sources(files: DataFrame) -> DataFrame:

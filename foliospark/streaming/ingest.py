@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliospark.operators.flatten import explode_blocks
+from foliospark.operators.flatten import explode_blocks, explode_lines, explode_problems
 from foliospark.schema import PAGE_DDL
 
 
@@ -22,16 +22,24 @@ def page_stream(spark: SparkSession, folder: str, *, max_files: int = 1000, json
 
 
 def ingest_stream(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_files: int = 1000, json_lines: bool = False
+    spark: SparkSession, folder: str, out: str, checkpoint: str, *, table: str = "blocks", max_files: int = 1000,
+    json_lines: bool = False,
 ) -> StreamingQuery:
-    """Append the blocks of new page files to a table, each file once.
+    """Append the blocks, lines or problems of new page files to a table, each file once.
 
     Runs over what is there and stops. The checkpoint and the file sink's log
-    make a restart neither lose nor repeat files.
+    make a restart neither lose nor repeat files; each table has a checkpoint of
+    its own.
     """
-    blocks = explode_blocks(page_stream(spark, folder, max_files=max_files, json_lines=json_lines)).drop("ocr_lines")
+    pages = page_stream(spark, folder, max_files=max_files, json_lines=json_lines)
+    if table == "blocks":
+        rows = explode_blocks(pages)
+    elif table == "lines":
+        rows = explode_lines(explode_blocks(pages))
+    else:
+        rows = explode_problems(pages)
     return (
-        blocks.writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

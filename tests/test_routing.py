@@ -112,6 +112,7 @@ def test_budget_and_enrichment(spark):
             b["result_text"] = ["1) q" if i == "b0" else "" for i in b["block_id"]]
             b["result_confidence"] = 0.5
             b["result_error"] = [None if i != "b4" else "x" for i in b["block_id"]]
+            b["result_lines"] = None
             yield b
 
     got = {r.block_id: r for r in repair.enrich_blocks(due, reader).collect()}

@@ -60,6 +60,53 @@ def test_round_trip(spark, folder, part):
     assert sorted(r.block_id for r in members.collect()) == ["p1-block-001", "p1-block-002"]
 
 
+def test_nothing_is_lost_on_the_way(spark, tmp_path):
+    """Every field of a page, also of one without blocks, is the same after flattening, nesting, writing and reading."""
+    box = {"left": 1.0, "top": 2.0, "width": 3.0, "height": 4.0}
+    block = {
+        "block_id": "b0", "block_type": "stem", "bbox": box, "reading_order": 0, "text": "1. a", "confidence": 0.5, "labels": ["x"],
+        "style": {"font_size": 11.0, "weight": "bold", "italic": True, "color": "#000", "align": "left", "math_like": False},
+        "asset": {"asset_id": "a", "asset_type": "crop", "source_path": "s.png", "crop_box": box, "width_px": 3, "height_px": 4, "mime_type": "image/png"},
+        "ocr_lines": [{"text": "1. a", "confidence": 0.5, "bbox": box}], "children": ["c"],
+        "metadata": {"column_index": 1, "ocr_backend": "t", "fill_ratio": 0.25, "grouping_reason": ["r"], "ocr_cache_hit": True},
+    }
+    pages = [
+        {"page_id": "p", "width_px": 10, "height_px": 20, "subject": "math", "source_path": "in.pdf", "blocks": [block], "problems": [],
+         "metadata": {"ocr_mode": "auto", "column_count": 2}},
+        {"page_id": "empty", "width_px": 1, "height_px": 2, "subject": "unknown", "source_path": "e.pdf", "blocks": [], "problems": [], "metadata": {"block_count": 0}},
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(pages, indent=2))
+    read = files.read_pages(spark, str(tmp_path / "in"))
+    blocks = flatten.explode_blocks(read)
+    grouped = grouping.group_problems(grouping.tag_blocks(blocks))
+    files.write_pages(blocks, grouped, str(tmp_path / "out"), pages=read)
+    back = {r.page_id: r for r in files.read_page_lines(spark, str(tmp_path / "out")).collect()}
+    for r in read.collect():
+        for name in ("width_px", "height_px", "subject", "source_path", "blocks", "metadata"):
+            assert back[r.page_id][name] == r[name], name
+    assert [u.unit_id for u in back["p"].problems] == ["p-problem-1"] and back["empty"].problems == []
+
+
+def test_positions_survive_parts(spark, folder):
+    blocks = spark.range(25).select(
+        F.lit("p").alias("page_id"), F.lit(9).alias("page_width"), F.lit(9).alias("page_height"), F.lit("math").alias("page_subject"),
+        F.col("id").cast("int").alias("reading_order"), F.concat(F.lit("b"), "id").alias("block_id"), F.lit("stem").alias("block_type"),
+        *[F.lit(1.0).alias(n) for n in ("left", "top", "width", "height")], F.lit("t").alias("text"), F.lit(0.5).alias("confidence"),
+        F.col("id").cast("int").alias("pos"), F.lit(None).cast("int").alias("column_index"), F.lit(None).cast("int").alias("question_band_index"),
+        F.lit(None).cast("string").alias("display_title"), F.lit(False).alias("force_problem_start"), F.lit(None).cast("string").alias("fallback_reason"),
+    )
+    grouped = grouping.group_problems(grouping.tag_blocks(blocks))
+    for size in (2, 7, None):
+        again = flatten.explode_blocks(files.nest_pages(blocks, grouped, size))
+        assert sorted((r.pos, r.block_id) for r in again.collect()) == [(i, f"b{i}") for i in range(25)]
+        units = grouping.assemble_problems(grouped, size)
+        members = flatten.problem_members(units, blocks)
+        found = sorted((r.unit_id, r.member_pos, r.block_id) for r in members.collect())
+        whole = sorted((r.unit_id, r.member_pos, r.block_id) for r in flatten.problem_members(grouping.assemble_problems(grouped), blocks).collect())
+        assert found == whole and len(found) == 25
+
+
 def test_problem_without_ids_has_the_page(spark, folder):
     blocks = flatten.explode_blocks(files.read_pages(spark, str(folder / "in")))
     none = F.array().cast("array<string>")
