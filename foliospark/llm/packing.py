@@ -32,7 +32,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 32
 END_ID = 1
 CACHE = 500_000  # words
-MERGE_FAN_IN = 64  # partitions whose leftovers meet in one task
+MERGE_PIECES = 4096  # leftover pieces, under a window each, that meet in one task
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 # Fixed values of the tokenizer: its pattern, here for Latin letters only, and the signs that stand for bytes.
@@ -238,6 +238,6 @@ def pack(
 
     packed = stage.keep(source.mapInArrow(first, PIECE), "packed")
     left = packed.where("ids is not null").select("doc_id", "start", "ids", "doc_tokens")
-    tasks = -(-source.rdd.getNumPartitions() // MERGE_FAN_IN)
+    tasks = -(-left.count() // MERGE_PIECES) or 1
     merged = stage.keep(left.repartition(tasks, "doc_id", "start").mapInArrow(second, PIECE), "merged")
     return packed.where("ids is null").unionByName(merged).drop("ids")
