@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import raw
 
-MAX_ROWS = 6_000
+MAX_ROWS = 3_000
 MIN_DOCUMENTS = 3  # rows that must hold an n-gram
 COST = 0.1
 EPOCHS = 15
@@ -136,10 +136,12 @@ def train(texts: list[bytes], labels: list[int], *, cost: float = COST, epochs:
     y = np.array(labels, int)
     if len(set(labels)) < 2:
         return Model({}, 0.0, 1.0, 0.0 if not labels else (4.0 if labels[0] else -4.0))
-    sets = [features(t) for t in texts]
-    times = Counter(f for s in sets for f in s)
+    times: Counter = Counter()
+    for t in texts:  # the n-grams of all rows are never held at once
+        times.update(features(t))
     index = {f: i for i, f in enumerate(sorted((f for f, n in times.items() if n >= MIN_DOCUMENTS), key=repr))}
-    rows = [np.array(sorted(index[f] for f in s if f in index), np.int64) for s in sets]
+    del times
+    rows = [np.array(sorted(index[f] for f in features(t) if f in index), np.int64) for t in texts]
 
     def fitted(chosen: list[int]) -> tuple[np.ndarray, float]:
         part, own = [rows[i] for i in chosen], y[chosen]

@@ -4,8 +4,8 @@ A fingerprint of 64 bits is cut into blocks. Two fingerprints that differ in at
 most d bits agree in all but d blocks, so every choice of ``blocks - d`` blocks
 is a join key and no close pair is missed (``close_groups``). Word overlap of 0.8
 moves about 15 % of the bits, too many for that; ``similar_groups`` uses a
-wider fingerprint of many 20-bit blocks, of which such pairs share at least one
-with 94 % probability at 0.8 exactly and 99.4 % at 0.85, and checks all bits.
+wider fingerprint of many 22-bit blocks, of which such pairs share at least one
+with 91 % probability at 0.8 exactly and 98.7 % at 0.85, and checks all bits.
 
 Groups of copies are never expanded into pairs. Equal fingerprints are one node.
 In each bucket (rows with one key) every node is first checked against the
@@ -31,9 +31,9 @@ from foliospark.llm.graph import components
 
 SEED = 42
 KEY = "__llm_key"
-LANES = 24  # of 64 bits, for word overlap
-WIDTH = 20  # bits of one block of the wide fingerprint; log2(texts) + 2 or more keeps chance meetings few
-RATE = 0.166  # share of differing bits; 0.151 is expected at an overlap of 0.8, with a deviation of 0.009
+LANES = 30  # of 64 bits, for word overlap
+WIDTH = 22  # bits of one block of the wide fingerprint; log2(texts) + 4 or so keeps chance meetings few
+RATE = 0.160  # share of differing bits; 0.151 is expected at an overlap of 0.8, with a deviation of 0.008
 MINI = 20  # differing bits of the first lane beyond which a pair can't be similar
 
 
@@ -67,9 +67,12 @@ def _mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.uint8)
 
 
-def fingerprint(text: bytes, size: int, lanes: int = 1) -> bytes:
-    """A bit is 1 if it is set in more than half the shingle hashes; no words give zero."""
+def fingerprint(text: bytes, size: int, lanes: int = 1, distinct: bool = False) -> bytes:
+    """A bit is 1 if it is set in more than half the shingle hashes; no words give zero. ``distinct`` counts
+    a repeated shingle once, as overlap of shingle sets does."""
     hashes = shingle_hashes(text, size)
+    if distinct:
+        hashes = np.unique(hashes.view(">u8").ravel()).view(np.uint8).reshape(-1, 8)
     total = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(hashes), 255):
         bits = np.unpackbits(_mixed(hashes[at : at + 255], lanes), axis=1)
@@ -77,13 +80,15 @@ def fingerprint(text: bytes, size: int, lanes: int = 1) -> bytes:
     return np.packbits(total * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str, size: int, lanes: int = 1) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, keep: list[str], text: str, size: int, lanes: int = 1, distinct: bool = False
+) -> DataFrame:
     """The kept columns and ``bits``, an array of one long for each lane. Null text: as if empty."""
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = b"".join([fingerprint(t, size, lanes) for t in raw(batch.column("_text"))])
+            found = b"".join([fingerprint(t, size, lanes, distinct) for t in raw(batch.column("_text"))])
             longs = pa.array(np.frombuffer(found, ">i8").astype(np.int64))
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * lanes)
             columns = [batch.column(k) for k in keep]
@@ -132,12 +137,14 @@ def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | N
     stage = Stage(nodes.sparkSession)
     first = F.col("bits").getItem(0).alias("lane")
     keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"))
-    member, weight = F.struct("node", "lane"), F.struct("copies", "node")
-    buckets = keyed.groupBy("key").agg(F.max_by(member, weight).alias("rep"), F.count("*").alias("members"))
-    buckets = stage.keep(buckets.where("members > 1"), "buckets")
+    # Most rows are alone under their key and go at once, by the narrowest rows there are.
+    several = stage.keep(keyed.groupBy("key").count().where("count > 1").select("key"), "several")
+    shared = stage.keep(keyed.join(several.hint("merge"), "key"), "shared")
+    buckets = shared.groupBy("key").agg(F.max(F.struct("copies", "node", "lane")).alias("rep"), F.count("*").alias("members"))
+    buckets = stage.keep(buckets, "buckets")
 
     near = F.bit_count(F.col("lane").bitwiseXOR(F.col("rep.lane"))) <= (limit if mini is None else mini)
-    star = keyed.join(buckets, (keyed.key == buckets.key) & (F.col("node") != F.col("rep.node")) & near)
+    star = shared.join(buckets, (shared.key == buckets.key) & (F.col("node") != F.col("rep.node")) & near)
     star = star.select(F.col("node").alias("a"), F.col("rep.node").alias("b")).distinct()
     if lanes > 1:
         left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits"))
@@ -147,13 +154,12 @@ def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | N
     merged = stage.keep(components(star, "a", "b"), "merged")
 
     # Buckets of two are settled by now. Larger ones matter only if they hold several groups.
-    grouped = nodes.join(merged, "node", "left").withColumn("grp", F.coalesce("root", "node"))
-    grouped = grouped.select("node", "grp", "bits", F.explode(keys).alias("key"))
-    open_keys = buckets.where("members > 2").select("key")
-    sizes = grouped.select("key", "grp").join(open_keys, "key").groupBy("key", "grp").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("grp", F.struct("count", "grp")).alias("main"), F.count("*").alias("n"))
+    crowded = shared.select("key", "node").join(buckets.where("members > 2").select("key"), "key")
+    grouped = stage.keep(crowded.join(merged, "node", "left").select("key", "node", F.coalesce("root", "node").alias("grp")), "grouped")
+    sizes = grouped.groupBy("key", "grp").count()
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "grp"))["grp"].alias("main"), F.count("*").alias("n"))
     mixed = stage.keep(mixed.where("n > 1").drop("n"), "mixed")
-    rows = stage.keep(grouped.join(mixed, "key"), "rows")
+    rows = stage.keep(grouped.join(mixed, "key").join(nodes.select("node", "bits"), "node"), "rows")
     s, r = rows.alias("s"), rows.alias("r")
     other = (F.col("s.grp") != F.col("r.grp")) & ((F.col("r.grp") == F.col("r.main")) | (F.col("s.node") < F.col("r.node")))
     close = differing(F.col("s.bits"), F.col("r.bits"), lanes) <= limit
@@ -162,7 +168,7 @@ def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | N
     late = late.select(F.col("node").alias("root"), F.col("root").alias("last"))
     every = merged.unionByName(late.select(F.col("root").alias("node"), "root")).distinct()
     out = stage.keep(every.join(late, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "groups")
-    stage.drop(buckets, merged, mixed, rows)
+    stage.drop(several, shared, buckets, merged, grouped, mixed, rows)
     return out.distinct()
 
 
@@ -200,7 +206,7 @@ def similar_groups(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     ids = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     ids = ids.withColumns({"mark": F.xxhash64("text"), "row_key": F.xxhash64("doc_id", "text")})
-    members = stage.keep(fingerprints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes), "prints")
+    members = stage.keep(fingerprints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes, distinct=True), "prints")
     nodes = members.groupBy(F.col("mark").alias("node")).agg(F.count("*").alias("copies"), F.first("bits").alias("bits"))
     nodes = stage.keep(nodes, "nodes")
     groups = linked(nodes, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI)
