@@ -4,8 +4,8 @@ A fingerprint of 64 bits is cut into blocks. Two fingerprints that differ in at
 most d bits agree in all but d blocks, so every choice of ``blocks - d`` blocks
 is a join key and no close pair is missed (``close_groups``). Word overlap of 0.8
 moves about 15 % of the bits, too many for that; ``similar_groups`` uses a
-wider fingerprint of many 22-bit blocks, of which such pairs share at least one
-with 91 % probability at 0.8 exactly and 98.7 % at 0.85, and checks all bits.
+wider fingerprint of many 24-bit blocks, of which such pairs share at least one
+with 87 % probability at 0.8 exactly and 98 % at 0.85, and checks all bits.
 
 Groups of copies are never expanded into pairs. Equal fingerprints are one node.
 In each bucket (rows with one key) every node is first checked against the
@@ -31,9 +31,9 @@ from foliospark.llm.graph import components
 
 SEED = 42
 KEY = "__llm_key"
-LANES = 30  # of 64 bits, for word overlap
-WIDTH = 22  # bits of one block of the wide fingerprint; log2(texts) + 4 or so keeps chance meetings few
-RATE = 0.160  # share of differing bits; 0.151 is expected at an overlap of 0.8, with a deviation of 0.008
+LANES = 39  # of 64 bits, for word overlap
+WIDTH = 24  # bits of one block of the wide fingerprint; log2(texts) + 6 or so keeps chance meetings few
+RATE = 0.160  # share of differing bits; 0.151 is expected at an overlap of 0.8, with a deviation of 0.007
 MINI = 20  # differing bits of the first lane beyond which a pair can't be similar
 
 
