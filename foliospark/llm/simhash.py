@@ -4,8 +4,10 @@ A fingerprint of 64 bits is cut into blocks. Two fingerprints that differ in at
 most d bits agree in all but d blocks, so every choice of ``blocks - d`` blocks
 is a join key and no close pair is missed (``close_groups``). Word overlap of 0.8
 moves about 15 % of the bits, too many for that; ``similar_groups`` uses a
-wider fingerprint of many 24-bit blocks, of which such pairs share at least one
-with 87 % probability at 0.8 exactly and 98 % at 0.85, and checks all bits.
+wider fingerprint of many blocks, of which such pairs share at least one with more than
+99 % probability, and checks all bits. Bits only propose a pair: the overlap of the
+two shingle sets decides. Texts of few shingles, whose bits say little, meet in
+their rarest shingles instead, which misses no pair.
 
 Groups of copies are never expanded into pairs. Equal fingerprints are one node.
 In each bucket (rows with one key) every node is first checked against the
@@ -28,13 +30,16 @@ from pyspark.sql import types as T
 
 from foliospark.llm.common import Stage, raw, words
 from foliospark.llm.graph import components
+from foliospark.llm.templates import MAP_BITS, key_map
 
 SEED = 42
 KEY = "__llm_key"
 LANES = 39  # of 64 bits, for word overlap
-WIDTH = 24  # bits of one block of the wide fingerprint; log2(texts) + 6 or so keeps chance meetings few
-RATE = 0.160  # share of differing bits; 0.151 is expected at an overlap of 0.8, with a deviation of 0.007
-MINI = 20  # differing bits of the first lane beyond which a pair can't be similar
+WIDTH = 24  # bits of one block of the wide fingerprint
+RATE = 0.160  # share of differing bits beyond which a pair isn't looked at; at an overlap of 0.8, 0.151 to 0.161 is expected (by parity), with a deviation of 0.006
+MINI = 20  # differing bits of the first lane, likewise
+FEW = 32  # a text of so many shingles or fewer is compared by its shingles, as is its partner, which has at most 5 / 4 as many
+MANY = FEW * 5 // 4
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -98,6 +103,70 @@ def fingerprints(
     return source.mapInArrow(run, schema)
 
 
+def word_prints(docs: DataFrame, keep: list[str], text: str, size: int, lanes: int) -> DataFrame:
+    """The kept columns, ``n`` (distinct shingles), ``bits`` (none up to ``FEW`` shingles) and ``few`` (the sorted
+    distinct shingles, none beyond ``MANY``)."""
+    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, bits, few = [], [], []
+            for data in raw(batch.column("_text")):
+                found = distinct_hashes(data, size)
+                n.append(len(found))
+                few.append(found.astype(np.int64) if len(found) <= MANY else found[:0].astype(np.int64))
+                longs = fingerprint(data, size, lanes, distinct=True) if len(found) > FEW else b""
+                bits.append(np.frombuffer(longs, ">i8").astype(np.int64))
+            columns = [batch.column(k) for k in keep] + [pa.array(n, pa.int32()), _lists(bits), _lists(few)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n", "bits", "few"])
+
+    schema = docs.select(*keep).schema.add("n", T.IntegerType())
+    return source.mapInArrow(run, schema.add("bits", T.ArrayType(T.LongType())).add("few", T.ArrayType(T.LongType())))
+
+
+def distinct_hashes(text: bytes, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size).view(">u8").ravel().astype(np.uint64))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """node and ``set`` (distinct shingles), once for each ``mark`` of ``texts`` that is a wanted node, and for few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(key_map(wanted.select(F.col("node").alias("key"))).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint64)
+        for batch in batches:
+            marks, at = np.unique(batch.column("mark").to_numpy(), return_index=True)
+            low = marks.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+            hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+            found = raw(batch.column("text").take(pa.array(at[hit], pa.int64())))
+            sets = _lists([distinct_hashes(t, size).astype(np.int64) for t in found])
+            yield pa.RecordBatch.from_arrays([pa.array(marks[hit], pa.int64()), sets], ["node", "set"])
+
+    return texts.select("mark", "text").mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def overlapping(a: Column, b: Column) -> Column:
+    """Whether two sets share 4 / 5 of their union."""
+    return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
+
+
+def rare_keys(nodes: DataFrame) -> DataFrame:
+    """node, copies, bits, keys: of the n shingles in ``bits``, the n - 4 / 5 n + 1 rarest, without those no other
+    text has. Two texts with an overlap of 0.8 have one of these in common."""
+    stage = Stage(nodes.sparkSession)
+    each = nodes.select("node", F.size("bits").alias("n"), F.explode("bits").alias("shingle"))
+    common = stage.keep(each.groupBy("shingle").count().where("count > 1"), "common")
+    held = each.join(common, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("held"))
+    places = F.expr("greatest(0, n - (4 * n + 4) div 5 + 1 - (n - size(held)))").cast("int")
+    keys = held.select("node", F.transform(F.slice("held", F.lit(1), places), lambda x: x["shingle"]).alias("keys"))
+    return nodes.join(keys.where(F.size("keys") > 0), "node")
+
+
 def block_keys(bits: Column, blocks: int, distance: int) -> Column:
     """For each choice of ``blocks - distance`` blocks of one lane, a hash of their bits."""
     edge = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -128,12 +197,17 @@ def differing(a: Column, b: Column, lanes: int) -> Column:
     return total
 
 
-def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | None = None) -> DataFrame:
+def linked(
+    nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | None = None,
+    test: Callable[[Column, Column], Column] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(node, root) for nodes with a link; ``nodes`` is a written table of node, copies, bits.
 
-    A link is a pair that shares a key and differs in at most ``limit`` bits. With ``mini``, the
+    A link is a pair that shares a key and differs in at most ``limit`` bits, or passes ``test`` of both
+    ``bits``, and that ``exact``, which takes and returns rows with a and b, leaves in. With ``mini``, the
     first lane alone is compared before the other lanes are fetched.
     """
+    test = test or (lambda a, b: differing(a, b, lanes) <= limit)
     stage = Stage(nodes.sparkSession)
     first = F.col("bits").getItem(0).alias("lane")
     keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"))
@@ -150,7 +224,9 @@ def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | N
         left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits"))
         right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
         star = stage.keep(star, "star").join(left, "a").join(right, "b")
-        star = star.where(differing(F.col("a_bits"), F.col("b_bits"), lanes) <= limit).select("a", "b")
+        star = star.where(test(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
+    if exact is not None:
+        star = exact(star)
     merged = stage.keep(components(star, "a", "b"), "merged")
 
     # Buckets of two are settled by now. Larger ones matter only if they hold several groups.
@@ -162,9 +238,14 @@ def linked(nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | N
     rows = stage.keep(grouped.join(mixed, "key").join(nodes.select("node", "bits"), "node"), "rows")
     s, r = rows.alias("s"), rows.alias("r")
     other = (F.col("s.grp") != F.col("r.grp")) & ((F.col("r.grp") == F.col("r.main")) | (F.col("s.node") < F.col("r.node")))
-    close = differing(F.col("s.bits"), F.col("r.bits"), lanes) <= limit
+    close = test(F.col("s.bits"), F.col("r.bits"))
     late = s.where("grp <> main").join(r, (F.col("s.key") == F.col("r.key")) & other & close)
-    late = components(late.select(F.col("s.grp").alias("a"), F.col("r.grp").alias("b")).distinct(), "a", "b")
+    if exact is not None:
+        pair = [F.col("s.node").alias("a"), F.col("r.node").alias("b"), F.col("s.grp").alias("a_grp"), F.col("r.grp").alias("b_grp")]
+        late = exact(late.select(*pair).distinct()).select("a_grp", "b_grp")
+    else:
+        late = late.select(F.col("s.grp").alias("a_grp"), F.col("r.grp").alias("b_grp"))
+    late = components(late.distinct(), "a_grp", "b_grp")
     late = late.select(F.col("node").alias("root"), F.col("root").alias("last"))
     every = merged.unionByName(late.select(F.col("root").alias("node"), "root")).distinct()
     out = stage.keep(every.join(late, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "groups")
@@ -198,7 +279,7 @@ def similar_groups(
 ) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, row_key (hash of both), group, first.
 
-    ``group`` is shared by texts whose word shingles overlap by about 0.8 or more, over chains of
+    ``group`` is shared by texts whose distinct word shingles overlap by 0.8 or more, over chains of
     such pairs; ``first`` is true for the row to keep (smallest doc_id, null ids last, then smallest
     hash of the text). Texts without words form one group. Equal texts are one node before anything is compared.
     """
@@ -206,10 +287,27 @@ def similar_groups(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     ids = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     ids = ids.withColumns({"mark": F.xxhash64("text"), "row_key": F.xxhash64("doc_id", "text")})
-    members = stage.keep(fingerprints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes, distinct=True), "prints")
-    nodes = members.groupBy(F.col("mark").alias("node")).agg(F.count("*").alias("copies"), F.first("bits").alias("bits"))
-    nodes = stage.keep(nodes, "nodes")
-    groups = linked(nodes, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI)
+    members = stage.keep(word_prints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes), "prints")
+    firsts = [F.first(k).alias(k) for k in ("n", "bits", "few")]
+    nodes = stage.keep(members.groupBy(F.col("mark").alias("node")).agg(F.count("*").alias("copies"), *firsts), "nodes")
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        pairs = stage.keep(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+        sets = stage.keep(shingle_sets(ids, wanted, size), "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
+        near = pairs.join(left, "a").join(right, "b").where(overlapping(F.col("a_set"), F.col("b_set")))
+        return stage.keep(near.drop("a_set", "b_set"), "near")
+
+    many = nodes.where(F.col("n") > FEW).select("node", "copies", "bits")
+    groups = linked(many, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI, exact=exact)
+    few = nodes.where((F.col("n") > 0) & (F.col("n") <= MANY)).select("node", "copies", F.col("few").alias("bits"))
+    few = stage.keep(rare_keys(few), "few")
+    groups = groups.unionByName(linked(few, F.col("keys"), MANY, 0, 64, test=overlapping))
+    blank = nodes.where("n = 0").select("node")
+    groups = groups.unionByName(blank.crossJoin(blank.agg(F.min("node").alias("root"))))
+    groups = components(groups, "node", "root")
     groups = groups.withColumnRenamed("node", "mark")
     rows = members.select("doc_id", "mark", "row_key").distinct().join(groups, "mark", "left")
     rows = stage.keep(rows.select("doc_id", "mark", "row_key", F.coalesce("root", "mark").alias("group")), "members")

@@ -109,3 +109,26 @@ def test_removal_on_odd_rows(odd, empty):
     assert sorted(i for i, _ in kept if i is not None) == [1, 1, 3, 6, 7, 8]
     assert sum(i is None for i, _ in kept) == 1
     assert simhash.near_duplicates_removed(empty).count() == 0
+
+
+def run_of(seed, n):
+    """``n`` words that no other text has."""
+    return [f"w{seed}x{i}" for i in range(n)]
+
+
+def halves(spark, cases):
+    """For each (shared, own of one, own of the other) of shingles, whether the two texts are in one group."""
+    rows = []
+    for i, (shared, a, b) in enumerate(cases):
+        common = run_of(f"c{i}", shared + 4)
+        rows += [(2 * i, " ".join(run_of(f"a{i}", a) + common)), (2 * i + 1, " ".join(run_of(f"b{i}", b) + common))]
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    group = {r.doc_id: r.group for r in found.collect()}
+    assert len(set(group.values())) >= len(cases)
+    return [group[2 * i] == group[2 * i + 1] for i in range(len(cases))]
+
+
+def test_overlap_below_the_contract_is_never_a_link(spark):
+    """The bits of many such pairs differ in less than the rate."""
+    assert not any(halves(spark, [(s, a, b) for s in (79, 158, 316, 395) for a in range(s * 21 // 79, s * 21 // 79 + 20) for b in (0,)]))
+    assert not any(halves(spark, [(399, 50, 51)] * 40 + [(3, 1, 0), (7, 1, 1), (31, 4, 4)]))
