@@ -34,10 +34,10 @@ from foliospark.llm.templates import MAP_BITS, key_map
 
 SEED = 42
 KEY = "__llm_key"
-LANES = 39  # of 64 bits, for word overlap
-WIDTH = 24  # bits of one block of the wide fingerprint
-RATE = 0.160  # share of differing bits beyond which a pair isn't looked at; at an overlap of 0.8, 0.151 to 0.161 is expected (by parity), with a deviation of 0.006
-MINI = 20  # differing bits of the first lane, likewise
+LANES = 52  # of 64 bits, for word overlap
+WIDTH = 20  # bits of one block of the wide fingerprint
+RATE = 0.185  # share of differing bits beyond which a pair isn't looked at; at an overlap of 0.8, 0.151 to 0.161 is expected (by parity), with a deviation of 0.006
+MINI = 24  # differing bits of the first lane, likewise
 FEW = 32  # a text of so many shingles or fewer is compared by its shingles, as is its partner, which has at most 5 / 4 as many
 MANY = FEW * 5 // 4
 

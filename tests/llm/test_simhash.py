@@ -132,3 +132,27 @@ def test_overlap_below_the_contract_is_never_a_link(spark):
     """The bits of many such pairs differ in less than the rate."""
     assert not any(halves(spark, [(s, a, b) for s in (79, 158, 316, 395) for a in range(s * 21 // 79, s * 21 // 79 + 20) for b in (0,)]))
     assert not any(halves(spark, [(399, 50, 51)] * 40 + [(3, 1, 0), (7, 1, 1), (31, 4, 4)]))
+
+
+def test_overlap_of_the_contract_is_a_link(spark):
+    """Exactly 4 / 5, in long texts and where one of the texts is the shorter."""
+    found = halves(spark, [(400, 50, 50)] * 100 + [(400, 100, 0)] * 100 + [(36, 9, 0)] * 100 + [(48, 6, 6)] * 100)
+    assert sum(found) >= 396
+
+
+def test_short_texts_meet_in_their_shingles(spark):
+    """Every length at which an overlap of 4 / 5 is possible, and lines that many texts have."""
+    cases = [(s, own, 0) for s in range(4, 41) for own in range(1, s // 4 + 1)]
+    cases += [(s, 1, own) for s in range(8, 41) for own in range(1, s // 4)]
+    assert all(halves(spark, cases))
+    line = " ".join(run_of("line", 9))
+    texts = [f"{line} {' '.join(run_of(i // 2, 25))}{' and one' * (i % 2)}" for i in range(400)]
+    found = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    assert found.select("group").distinct().count() == 200
+
+
+def test_texts_without_words_are_one_group(spark):
+    rows = [(1, ""), (2, " "), (3, None), (4, "\n\t"), (5, "a")]
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    group = {r.doc_id: r.group for r in found.collect()}
+    assert len({group[i] for i in (1, 2, 3, 4)}) == 1 and group[5] != group[1]
