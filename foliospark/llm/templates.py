@@ -2,7 +2,8 @@
 
 Numbers, units and names become typed placeholders, so a question with other
 values has the same template. Windows of ``WINDOW`` template tokens of documents
-and benchmark items are joined by hash. Where windows of a document and an item
+and benchmark items are joined by hash; an item of fewer tokens is one window, and
+documents have windows of its length too. Where windows of a document and an item
 line up, their slots must agree: one value of the item stands for one value
 of the document throughout. That tells a re-parameterised question from chance.
 
@@ -81,9 +82,9 @@ class Canonical:
     def __init__(self):
         self.known = Vocabulary()
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Token hashes, slot kinds (0 where literal), and the words with each token's place among them. A unit is
-        one only after a number, a name only inside a sentence."""
+    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Word hashes, slot kinds (0 where literal), the kinds where sentence openers may be names, and the words with
+        each token's place among them. A unit is one only after a number."""
         if len(self.known) > CACHE:
             self.known = Vocabulary()
         found = text.replace(LINE, b" ").replace(b"\n", b" \x00 ").split()
@@ -93,31 +94,45 @@ class Canonical:
         before[1:] = self.known.ends[rows][:-1]
         counted = np.zeros(len(rows), bool)
         counted[1:] = kind[:-1] == 1
-        slot = np.where((kind == 1) | ((kind == 2) & counted) | ((kind == 3) & ~before), kind, 0)
-        hashes = np.where(slot > 0, slot.astype(np.uint64), self.known.literal[rows])
+        opened = np.where((kind == 1) | ((kind == 2) & counted) | (kind == 3), kind, 0)
+        slot = np.where((kind == 3) & before, 0, opened)
         real = np.flatnonzero(kind != 4)
-        return hashes[real], slot[real], found, real
+        return self.known.literal[rows[real]], slot[real], opened[real], found, real
 
 
-def window_keys(hashes: np.ndarray, slots: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window and whether it has enough literals; a short text is one window."""
-    n = len(hashes)
-    size = min(window, n)
-    if not n:
-        return np.empty(0, np.uint64), np.empty(0, bool)
-    keys = np.full(n - size + 1, size, np.uint64)
-    literal = np.zeros(n - size + 1, np.int32)
+def _sums(flags: np.ndarray, size: int) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[size:] - total[:-size]
+
+
+def _hashed(hashes: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    keys = np.full(len(at), seed, np.uint64)
     for j in range(size):
-        keys = keys * BASE + hashes[j : n - size + 1 + j]
-        literal += slots[j : n - size + 1 + j] == 0
+        keys = keys * BASE + hashes[at + j]
     keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return keys ^ (keys >> np.uint64(32)), literal >= min(MIN_LITERAL, size)
+    return keys ^ (keys >> np.uint64(32))
+
 
+def window_keys(words: np.ndarray, slot: np.ndarray, opened: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(positions, keys, slot kinds) of the windows by template, and
+    by exact words (no kinds) where that has too few literals."""
+    need = min(MIN_LITERAL, size)
+    plain = _sums(slot == 0, size)
+    out = []
+    for kinds, good in ((slot, plain >= need),):
+        at = np.flatnonzero(good)
+        out.append((at, _hashed(np.where(kinds > 0, kinds.astype(np.uint64), words), at, size, size), kinds))
+    return out
 
-def windows(docs: DataFrame, keep: list[str], text: str, seen: np.ndarray | None = None) -> DataFrame:
-    """One row for each window: kept columns, position, windows of the text, key, slots (at, kind, value).
 
-    ``seen`` is a bit map by the key's low bits; windows outside it are left out.
+def windows(
+    docs: DataFrame, keep: list[str], text: str, seen: np.ndarray | None = None, sizes: list[int] | None = None
+) -> DataFrame:
+    """One row for each key of a window: kept columns, position, size, windows of the text, and how many of them have a
+    template, key, exact (by words), slots (at, kind, value; none if exact).
+
+    ``seen`` is a bit map by the key's low bits; windows outside it are left out. ``sizes`` are the windows' lengths;
+    without it ``WINDOW``, and a shorter text is one window.
     """
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     shared = None if seen is None else docs.sparkSession.sparkContext.broadcast(seen.tobytes())
@@ -127,28 +142,38 @@ def windows(docs: DataFrame, keep: list[str], text: str, seen: np.ndarray | None
         bits = None if shared is None else np.frombuffer(shared.value, np.uint64)
         slot_type = pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            row, position, total, found, slots = [], [], [], [], []
+            row, position, length, total, usable, found, exact, slots = [], [], [], [], [], [], [], []
             for i, data in enumerate(raw(batch.column("_text"))):
-                hashes, kinds, read, places = reader.tokens(data)
-                keys, good = window_keys(hashes, kinds)
-                if bits is not None:
-                    low = keys & np.uint64((1 << MAP_BITS) - 1)
-                    good &= (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
-                at = np.flatnonzero(good).tolist()
-                row += [i] * len(at)
-                position += at
-                total += [len(keys)] * len(at)
-                found += keys[at].astype(np.int64).tolist() if at else []
-                for p in at:
-                    values = [(p + j, k) for j, k in enumerate(kinds[p : p + WINDOW].tolist()) if k]
-                    slots.append([{"at": q, "kind": SLOTS[k], "value": _value(read[places[q]])} for q, k in values])
+                hashes, slot, opened, read, places = reader.tokens(data)
+                n = len(hashes)
+                for size in sizes or [min(WINDOW, n)]:
+                    if not 0 < size <= n:
+                        continue
+                    every = window_keys(hashes, slot, opened, size)
+                    with_template = len(every[0][0]) if bits is None else 0
+                    for at, keys, kinds in every:
+                        if bits is not None:
+                            low = keys & np.uint64((1 << MAP_BITS) - 1)
+                            good = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+                            at, keys = at[good], keys[good]
+                        row += [i] * len(at)
+                        position += at.tolist()
+                        length += [size] * len(at)
+                        total += [n - size + 1] * len(at)
+                        usable += [with_template] * len(at)
+                        found += keys.astype(np.int64).tolist()
+                        exact += [kinds is None] * len(at)
+                        for p in at.tolist():
+                            values = [] if kinds is None else [(p + j, k) for j, k in enumerate(kinds[p : p + size].tolist()) if k]
+                            slots.append([{"at": q, "kind": SLOTS[k], "value": _value(read[places[q]])} for q, k in values])
             columns = [batch.column(k).take(pa.array(row, pa.int32())) for k in keep]
-            columns += [pa.array(position, pa.int32()), pa.array(total, pa.int32()), pa.array(found, pa.int64()), pa.array(slots, slot_type)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "position", "windows", "key", "slots"])
+            columns += [pa.array(x, pa.int32()) for x in (position, length, total, usable)]
+            columns += [pa.array(found, pa.int64()), pa.array(exact, pa.bool_()), pa.array(slots, slot_type)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "position", "size", "windows", "usable", "key", "exact", "slots"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return source.mapInArrow(
-        run, f"{kept}, position int, windows int, key bigint, slots array<struct<at:int,kind:string,value:string>>"
+        run, f"{kept}, position int, size int, windows int, usable int, key bigint, exact boolean, slots array<struct<at:int,kind:string,value:string>>"
     )
 
 
@@ -175,17 +200,18 @@ def contaminated(
     in the document), item_windows, n_slots, consistent_slots, changed_slots (value differs from the item's).
 
     Only pairs that convict are returned: ``MIN_WINDOWS`` windows, or ``MIN_SHARE`` of the item's, whose slots are
-    consistent. Null and empty texts, and an empty benchmark, give no pairs. Rows equal in id and text are one document.
+    consistent; or as many by template, of those of the item that have one. Null and empty texts, and an empty benchmark, give no pairs. Rows equal in id and text are one document.
     """
     stage = Stage(docs.sparkSession)
     bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).distinct()
     bench = stage.keep(windows(bench, ["item_id"], "text"), "bench")
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     ids = ids.withColumn("mark", F.xxhash64("text"))
-    mine = windows(ids, ["doc_id", "mark"], "text", key_map(bench))
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
+    mine = windows(ids, ["doc_id", "mark"], "text", key_map(bench), sizes or [WINDOW]).select("doc_id", "mark", "position", "key", "slots")
     known = bench.select(
         "item_id", "key", F.col("position").alias("item_at"), F.col("windows").alias("item_windows"),
-        F.col("slots").alias("item_slots"),
+        F.col("usable").alias("item_usable"), "exact", F.col("slots").alias("item_slots"),
     )
     hits = stage.keep(mine.join(known, "key").withColumn("shift", F.col("position") - F.col("item_at")), "hits")
 
@@ -202,18 +228,21 @@ def contaminated(
     slots = usual.groupBy(*pair, "shift").agg(
         F.sum("n").alias("n_slots"), F.sum("most").alias("consistent_slots"), F.sum("changed").alias("changed_slots")
     )
-    lined = hits.groupBy(*pair, "item_windows", "shift").agg(F.count_distinct("item_at").alias("n_windows"))
+    lined = hits.groupBy(*pair, "item_windows", "item_usable", "shift").agg(
+        F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n_templates")
+    )
     same = [lined[k].eqNullSafe(slots[k]) for k in [*pair, "shift"]]
     joined = lined.join(slots, same[0] & same[1] & same[2] & same[3], "left").select(
-        *[lined[k] for k in pair], "item_windows", "n_windows", *[F.coalesce(slots[k], F.lit(0)).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")]
+        *[lined[k] for k in pair], "item_windows", "item_usable", "n_windows", "n_templates", *[F.coalesce(slots[k], F.lit(0)).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")]
     )
     good = joined.where(F.col("consistent_slots") >= MIN_CONSISTENT * F.col("n_slots"))
-    found = good.groupBy(*pair, "item_windows").agg(
+    found = good.groupBy(*pair, "item_windows", "item_usable").agg(
+        F.sum("n_templates").alias("n_templates"),
         F.least(F.sum("n_windows"), F.col("item_windows")).cast("long").alias("n_windows"),
         *[F.sum(k).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")],
     )
     need = F.least(F.lit(MIN_WINDOWS), F.ceil(F.col("item_windows") * MIN_SHARE))
-    return found.where(F.col("n_windows") >= need)
+    return found.where(F.col("n_windows") >= need).drop("item_usable", "n_templates")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,3 +50,14 @@ def test_odd_rows(spark, odd, empty):
     assert left.columns == odd.columns and left.count() == odd.count() - 2
     assert templates.contaminated(empty, bench).count() == templates.clean(empty, bench).count() == 0
     assert templates.clean(odd, bench.limit(0)).count() == odd.count()
+
+
+def caught(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in templates.contaminated(rows(spark, texts), bench).collect()}
+
+
+def test_short_items_are_found_inside_longer_texts(spark):
+    items = ["What is the capital of France?", "Name three large rivers", prose(9, 40)]
+    texts = [f"{prose(1, 40)}. {items[0]} {prose(2, 30)}", f"{prose(3, 30)} {items[1]} {prose(4, 9)}", items[0], prose(5, 60), "What is"]
+    assert caught(spark, texts, items) == {(0, 0), (2, 0), (1, 1)}
