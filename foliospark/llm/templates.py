@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so a question with other
 values has the same template. Windows of ``WINDOW`` template tokens of documents
 and benchmark items are joined by hash; an item of fewer tokens is one window, and
-documents have windows of its length too. Where windows of a document and an item
+documents have windows of its length too. Windows with few tokens that are no
+placeholders are joined by their exact words. Where windows of a document and an item
 line up, their slots must agree: one value of the item stands for one value
 of the document throughout. That tells a re-parameterised question from chance.
 
@@ -122,6 +123,8 @@ def window_keys(words: np.ndarray, slot: np.ndarray, opened: np.ndarray, size: i
     for kinds, good in ((slot, plain >= need),):
         at = np.flatnonzero(good)
         out.append((at, _hashed(np.where(kinds > 0, kinds.astype(np.uint64), words), at, size, size), kinds))
+    at = np.flatnonzero(plain < need)
+    out.append((at, _hashed(words, at, size, size + 64), None))
     return out
 
 
@@ -241,8 +244,9 @@ def contaminated(
         F.least(F.sum("n_windows"), F.col("item_windows")).cast("long").alias("n_windows"),
         *[F.sum(k).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")],
     )
-    need = F.least(F.lit(MIN_WINDOWS), F.ceil(F.col("item_windows") * MIN_SHARE))
-    return found.where(F.col("n_windows") >= need).drop("item_usable", "n_templates")
+    need, least = (F.least(F.lit(MIN_WINDOWS), F.ceil(F.col(k) * MIN_SHARE)) for k in ("item_windows", "item_usable"))
+    convicted = (F.col("n_windows") >= need) | ((F.col("item_usable") > 0) & (F.col("n_templates") >= least))
+    return found.where(convicted).drop("item_usable", "n_templates")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

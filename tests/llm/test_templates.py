@@ -61,3 +61,13 @@ def test_short_items_are_found_inside_longer_texts(spark):
     items = ["What is the capital of France?", "Name three large rivers", prose(9, 40)]
     texts = [f"{prose(1, 40)}. {items[0]} {prose(2, 30)}", f"{prose(3, 30)} {items[1]} {prose(4, 9)}", items[0], prose(5, 60), "What is"]
     assert caught(spark, texts, items) == {(0, 0), (2, 0), (1, 1)}
+
+
+def test_items_poor_in_literals_are_found_verbatim(spark):
+    items = [
+        "Die Frau Müller kauft im Supermarkt Äpfel, Birnen, Orangen, Bananen, Milch, Butter, Brot und Käse für 12 Euro.",
+        "Which of Paris, London, Berlin, Madrid, Rome, Vienna, Warsaw, Lisbon, Dublin, Oslo and Athens lies furthest north?",
+    ]
+    texts = [f"{prose(1, 40)}. {items[0]} {prose(2, 30)}", f"{prose(3, 30)} {items[1]} {prose(4, 9)}", items[1]]
+    texts += [items[0].replace("Birnen", "Pflaumen").replace("Milch", "Sahne").replace("Käse", "Quark").replace("Orangen", "Feigen"), prose(5, 60)]
+    assert caught(spark, texts, items) == {(0, 0), (1, 1), (2, 1)}
