@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so a question with other
 values has the same template. Windows of ``WINDOW`` template tokens of documents
 and benchmark items are joined by hash; an item of fewer tokens is one window, and
-documents have windows of its length too. Windows with few tokens that are no
+documents have windows of its length too. A sentence may open with a name or a plain
+word, so windows with a capitalised opener have two templates. Windows with few tokens that are no
 placeholders are joined by their exact words. Where windows of a document and an item
 line up, their slots must agree: one value of the item stands for one value
 of the document throughout. That tells a re-parameterised question from chance.
@@ -115,15 +116,15 @@ def _hashed(hashes: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndar
 
 
 def window_keys(words: np.ndarray, slot: np.ndarray, opened: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(positions, keys, slot kinds) of the windows by template, and
-    by exact words (no kinds) where that has too few literals."""
+    """(positions, keys, slot kinds) of the windows by template, by template with openers as names where that
+    differs, and by exact words (no kinds) where the second template has too few literals."""
     need = min(MIN_LITERAL, size)
-    plain = _sums(slot == 0, size)
+    plain, other, literal = _sums(slot == 0, size), _sums(slot != opened, size), _sums(opened == 0, size)
     out = []
-    for kinds, good in ((slot, plain >= need),):
+    for kinds, good in ((slot, plain >= need), (opened, (other > 0) & (literal >= need))):
         at = np.flatnonzero(good)
         out.append((at, _hashed(np.where(kinds > 0, kinds.astype(np.uint64), words), at, size, size), kinds))
-    at = np.flatnonzero(plain < need)
+    at = np.flatnonzero(literal < need)
     out.append((at, _hashed(words, at, size, size + 64), None))
     return out
 
@@ -153,7 +154,7 @@ def windows(
                     if not 0 < size <= n:
                         continue
                     every = window_keys(hashes, slot, opened, size)
-                    with_template = len(every[0][0]) if bits is None else 0
+                    with_template = len(np.union1d(every[0][0], every[1][0])) if bits is None else 0
                     for at, keys, kinds in every:
                         if bits is not None:
                             low = keys & np.uint64((1 << MAP_BITS) - 1)

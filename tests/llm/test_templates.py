@@ -71,3 +71,12 @@ def test_items_poor_in_literals_are_found_verbatim(spark):
     texts = [f"{prose(1, 40)}. {items[0]} {prose(2, 30)}", f"{prose(3, 30)} {items[1]} {prose(4, 9)}", items[1]]
     texts += [items[0].replace("Birnen", "Pflaumen").replace("Milch", "Sahne").replace("Käse", "Quark").replace("Orangen", "Feigen"), prose(5, 60)]
     assert caught(spark, texts, items) == {(0, 0), (1, 1), (2, 1)}
+
+
+def test_names_that_open_sentences_are_slots(spark):
+    item = "Anna has 5 apples. Anna gives 3 to Ben. Anna then buys 4 more apples. Ben eats 2 of his apples at home. Anna counts what is left."
+    other = item.replace("Anna", "Maria").replace("Ben", "Tom").replace("5", "9").replace("4", "7")
+    mixed = item.replace("Anna has", "Maria has").replace("Anna gives", "Tom gives").replace("Anna then", "Eve then")
+    mixed = mixed.replace("Ben eats", "Paul eats").replace("Anna counts", "Kim counts").replace("to Ben", "to Sue")
+    texts = [f"{prose(1, 40)}. {other} {prose(2, 30)}", f"{prose(3, 40)}. {mixed}", prose(5, 60), item]
+    assert caught(spark, texts, [item]) == {(0, 0), (3, 0)}
