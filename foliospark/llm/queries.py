@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import chunks, classlm, html, packing, quality, rules, secrets, simhash, sql, templates, urls
+from foliospark.llm import (
+    chunks, classlm, html, idfile, packing, prefixes, quality, rules, secrets, simhash, sql, templates, urls, whitening,
+)
 from foliospark.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -74,12 +77,32 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_token_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = idfile.write(table(spark, folder, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    return idfile.read(spark, manifest)
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, folder, "embeddings"), ["vec_id"])
+    error = model.identity_error if model else 0.0
+    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.sizes] if model else []).cast("array<double>")
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+        shares[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(prefixes.regrouped(prefixes.turn_rows(table(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_simhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_class_ngrams, op6_secret_scan, op7_url_filter,
-        op8_substring_dedup, op9_quality_rules, op10_packing,
+        op8_substring_dedup, op9_quality_rules, op10_packing, op11_token_id_files, op12_embedding_whitening, op13_conversation_trie,
     )
 }
 
-ORACLES: dict[str, str] = {"op7_url_filter": sql.URLS, "op9_quality_rules": sql.RULES}
+ORACLES: dict[str, str] = {"op7_url_filter": sql.URLS, "op9_quality_rules": sql.RULES, "op13_conversation_trie": sql.TRIE}

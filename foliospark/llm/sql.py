@@ -105,3 +105,53 @@ WITH RECURSIVE tags AS (
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN let THEN 'allow' WHEN stop THEN 'block' END, 'allow') AS verdict
 FROM (SELECT *, {_judged("host", "path")} FROM cut) LEFT JOIN groups USING (node)
 """
+
+
+def _nibble(i: int) -> int:
+    for _ in range(4):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+def _crc32(ascii_text: str) -> str:
+    """crc32 of a text of ASCII signs, half a byte at a time."""
+    table = f"[{', '.join(str(_nibble(i)) for i in range(16))}]"
+    step = "xor(a, b)"
+    for _ in range(2):
+        step = f"xor(({step}) >> 4, {table}[1 + (({step}) & 15)])"
+    codes = f"list_transform(string_split({ascii_text}, ''), lambda s: CAST(ord(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: {step}), 4294967295)"
+
+
+TRIE = rf"""
+WITH own AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS n, digest, words
+    FROM (SELECT conv_id, turn, md5(length(r) || ':' || r || t) AS digest, len(regexp_extract_all(t, '{WORD}')) AS words
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL))
+), convs AS (
+    SELECT c, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM own)
+), ordered AS (
+    SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, n) AS depth, digest, words FROM (
+        SELECT convs.c, 0 AS part, n, digest, words FROM convs JOIN own ON own.c = convs.c - convs.c % 20 AND n <= h
+        UNION ALL SELECT convs.c, 1, n, digest, words FROM convs JOIN own ON own.c = convs.c AND n > h)
+), prefixes AS (
+    SELECT c, depth, string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth) AS p, words FROM ordered
+    UNION ALL SELECT c, 0, '', 0 FROM convs
+), linked AS (
+    SELECT *, lag(p) OVER (PARTITION BY c ORDER BY depth) AS above, depth = max(depth) OVER (PARTITION BY c) AS ends FROM prefixes
+), nodes AS (
+    SELECT p, any_value(above) AS above, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends) AS members
+    FROM linked GROUP BY p
+), children AS (
+    SELECT above AS p, count(*) AS n_children FROM nodes GROUP BY above
+), counted AS (
+    SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (p)
+), sums AS (
+    SELECT a.p, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (n.n_children = 0) AS n_leaves
+    FROM counted n JOIN prefixes a ON a.c = n.conv_id AND a.depth <= n.depth GROUP BY a.p
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.members, '')) AS ends_sha256
+FROM counted n JOIN sums USING (p) LEFT JOIN nodes up ON up.p = n.above
+"""
