@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from foliospark import scale
 from foliospark.llm.common import Stage, raw
-from foliospark.llm.packing import BYTE_SIGNS, Recent
+from foliospark.llm.packing import BYTE_SIGNS, CACHE
 
 END_ID = 2
 FILE_IDS = 1 << 28  # ids after which a file is closed; the document at hand is finished first
@@ -57,17 +59,35 @@ UNIT = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 PLAIN = re.compile(rf"[\t-\r\x20-\x7e{LATIN}]*")
 BLANK = re.compile(rf"[{SPACES}]")
 SPECIAL = b"<|endoftext|>"
+SPACE_SIGN = chr(BYTE_SIGNS[32])
 CUT = re.compile(rb"[!-~] [!-~]")
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+class Table(dict):
+    """What ``make`` gives for a key, kept for the ``CACHE`` to twice ``CACHE`` keys used last."""
+
+    def __init__(self, make: Callable[[Any], Any]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts by a byte-level tokenizer, looked up word by word in a bounded table.
 
     A single space before a word belongs to it, so a text cut at its spaces falls into words whose ids do not depend
     on their neighbours. Where a word is empty or begins with other white space (several spaces in a row), the
-    text goes through the pattern instead; a text with the special token goes to the tokenizer whole.
+    text goes through the pattern instead; a text with the special token goes to the tokenizer whole. Words of Latin
+    letters, digits and signs are cut by the tokenizer's pattern here and each part is put to its merge model; any
+    other word goes to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -75,55 +95,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.words, self.parts = Recent(), Recent()
+        self.words, self.parts, self.units = Table(self._word), Table(self._part), Table(self._whole)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4" if self.wide else "<u2").tobytes()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, keys: set[bytes]) -> None:
-        """Ids of words; a key with a space in front is the first word of a text, any other follows a space."""
-        plain, other = {}, {}
-        for key in self.words.settle(keys):
-            text = key.decode("utf-8", "replace")
-            if not key.startswith(b" ") and (not text or BLANK.match(text)):
-                self.words.young[key] = None
-                continue
-            text = text[1:] if key.startswith(b" ") else " " + text
-            if PLAIN.fullmatch(text):
-                plain[key] = PART.findall(text)
-            else:
-                other[key] = text
-        model = self.tokenizer.model
-        for part in self.parts.settle(set().union(*plain.values())):
+        out = array("I" if self.wide else "H", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():
+            mapped = part.replace(" ", SPACE_SIGN)
+        else:
             mapped = part.encode().decode("latin-1").translate(BYTE_SIGNS)
-            self.parts.young[part] = self.packed([t.id for t in model.tokenize(mapped)])
-        ids = self.parts.young.__getitem__
-        self.words.young.update((k, b"".join(map(ids, found))) for k, found in plain.items())
-        self.words.young.update(zip(other, self._whole(list(other.values()))))
-
-    def _units(self, text: bytes) -> bytes:
-        found = UNIT.findall(text.decode("utf-8", "replace"))
-        new = dict.fromkeys(found)
-        return b"".join(map(dict(zip(new, self._whole(list(new)))).__getitem__, found))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text, as bytes; the texts are looked up together."""
-        special = [SPECIAL in t for t in texts]
-        split = [[] if own else t.split(b" ") for t, own in zip(texts, special)]
-        for found in split:
-            if found:
-                found[0] = b" " + found[0]
-        self.learn(set().union(*split))
-        known = self.words.young.__getitem__
-        for text, found, own in zip(texts, split, special):
-            if own:
-                yield self._whole([text.decode("utf-8", "replace")])[0]
-                continue
-            ids = list(map(known, found))
-            yield self._units(text) if None in ids else b"".join(ids)
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def _word(self, key: bytes) -> bytes | None:
+        """A key with a space in front is the first word of a text, any other follows a space; None: no word of its own."""
+        text = key.decode("utf-8", "replace")
+        if text.startswith(" "):
+            text = text[1:]
+        elif not text or BLANK.match(text):
+            return None
+        else:
+            text = " " + text
+        if not PLAIN.fullmatch(text):
+            return self._whole(text)
+        return b"".join(map(self.parts.__getitem__, PART.findall(text)))
+
+    def encode(self, text: bytes) -> bytes:
+        if SPECIAL in text:
+            return self._whole(text.decode("utf-8", "replace"))
+        found = text.split(b" ")
+        found[0] = b" " + found[0]
+        try:
+            return b"".join(map(self.words.__getitem__, found))
+        except TypeError:  # a None among the words
+            return b"".join(map(self.units.__getitem__, UNIT.findall(text.decode("utf-8", "replace"))))
 
 
 def encoder(path: str) -> Encoder:
@@ -308,7 +319,7 @@ def write(
     held on the driver (a row for every task and ``file_ids`` ids). A null text is empty: the end id alone. Null ids
     come first; rows with one id stand side by side, each a document of its own, equal texts too. An empty table
     gives no files. Other columns are not read. ``folder`` is one that driver and executors share; by default
-    a new one among the staged tables.
+    a new one among the staged tables. ``end_id`` must fit the width of the tokenizer's ids.
     """
     spark = docs.sparkSession
     folder = folder or scale.fresh_path(spark, "ids")
@@ -327,12 +338,12 @@ def write(
             rows.append((task.partitionId(), len(rows), path, len(writer.ends), writer.n_ids))
 
         for batch in batches:
-            for number, ids in _encoded(known, batch):
+            for number, text in zip(batch.column("doc_id").to_pylist(), raw(batch.column("text"))):
                 if writer is None:
                     path = f"{folder}/{task.partitionId():06d}-{len(rows):04d}-{uuid.uuid4().hex}.ids"
-                    writer = Writer(path, known.wide or end_id >= 1 << 16)
-                for piece in ids:
-                    writer.add(piece)
+                    writer = Writer(path, known.wide)
+                for piece in pieces(text):
+                    writer.add(known.encode(piece))
                 writer.add(end)
                 writer.end(number)
                 if writer.n_ids >= file_ids:
@@ -353,30 +364,6 @@ def write(
     return spark.createDataFrame(rows, "path string, n_docs bigint, n_ids bigint, start bigint")
 
 
-def _encoded(known: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, Iterator[bytes]]]:
-    """(doc_id, ids in pieces) in order; short texts are looked up together, long ones piece by piece."""
-    numbers, texts = batch.column("doc_id").to_pylist(), raw(batch.column("text"))
-    held: list[int] = []
-    size = 0
-
-    def together() -> Iterator[tuple[int | None, list[bytes]]]:
-        for i, ids in zip(held, known.encode([texts[i] for i in held])):
-            yield numbers[i], [ids]
-
-    for i, text in enumerate(texts):
-        if len(text) > PIECE:
-            yield from together()
-            held, size = [], 0
-            yield numbers[i], (ids for piece in pieces(text) for ids in known.encode([piece]))
-            continue
-        held.append(i)
-        size += len(text)
-        if size > PIECE:
-            yield from together()
-            held, size = [], 0
-    yield from together()
-
-
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
 

@@ -33,7 +33,7 @@ def test_words_alone_give_the_tokenizers_ids():
     dealer = random.Random(3)
     made = ["".join(dealer.choice(["a", "B", " ", " ", "  ", "\n", "\t", "é", "9", "'s", ",", " ", "字", "word"]) for _ in range(30)) for _ in range(3000)]
     texts = TEXTS + made
-    found = [np.frombuffer(i, "<u2").tolist() for i in mine.encode([t.encode() for t in texts])]
+    found = [np.frombuffer(mine.encode(t.encode()), "<u2").tolist() for t in texts]
     assert found == [e.ids for e in known.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -43,7 +43,7 @@ def test_pieces_of_long_texts_tokenise_alone(monkeypatch):
     text = "One line of  words,\n\n and über another; " * 30
     cut = list(idfile.pieces(text.encode()))
     assert len(cut) > 10 and b"".join(cut).decode() == text
-    found = np.frombuffer(b"".join(i for p in cut for i in mine.encode([p])), "<u2").tolist()
+    found = np.frombuffer(b"".join(map(mine.encode, cut)), "<u2").tolist()
     assert found == known.encode(text, add_special_tokens=False).ids
 
 
@@ -113,3 +113,10 @@ def test_wide_ids_and_other_files(tmp_path):
     (tmp_path / "c").write_bytes(bytes(200))
     with pytest.raises(ValueError):
         idfile.IdFile(str(tmp_path / "c"))
+
+
+def test_tables_stay_bounded(monkeypatch):
+    monkeypatch.setattr(idfile, "CACHE", 10)
+    found = idfile.Table(lambda k: k * 2)
+    assert [found[i % 35] for i in range(200)] == [i % 35 * 2 for i in range(200)]
+    assert len(found) <= 10 and len(found.old) <= 10
