@@ -15,7 +15,10 @@ def cte(name: str, body: str) -> None:
 
 
 def sql(body: str) -> str:
-    """Put the views a query names, and those they name, in front of it."""
+    """Put the views a query names, and those they name, in front of it.
+
+    A query that begins with a comma goes on with views of its own, which may be recursive.
+    """
     needed: list[str] = []
 
     def visit(text: str) -> None:
@@ -29,7 +32,7 @@ def sql(body: str) -> str:
     if not needed:
         return body
     head = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in needed)
-    return f"WITH {head}\n{body}"
+    return f"WITH {'RECURSIVE ' if body.lstrip().startswith(',') else ''}{head}\n{body}"
 
 
 SUBJECT = (

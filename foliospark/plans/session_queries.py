@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark import scale
 from foliospark.functions import text as tx
-from foliospark.operators import flatten, grouping, placement, session
+from foliospark.operators import editlog, flatten, grouping, placement, session
 from foliospark.plans import oracle as o
 from foliospark.plans.bindings import Tables
 from foliospark.plans.board_queries import order_boards
@@ -387,6 +387,79 @@ def _(t):
     return session.apply_edits(listed.drop("number"), scale.staged(edits))
 
 
+EDIT_ACTIONS = ("up", "down", "drop", "duplicate", "delete", "toggle", "patch", "down", "drop", "up")
+o.cte("v_edit_log", f"""
+SELECT board_id, row_number() OVER (PARTITION BY board_id ORDER BY (number * 31 + k * 17) % 101, number, k) AS edit_no, problem_id,
+       {list(EDIT_ACTIONS)}[1 + (number + k * k) % {len(EDIT_ACTIONS)}] AS action, target_id, title, height_pages
+FROM (SELECT board_id, CAST(problem_id AS VARCHAR) AS problem_id, problem_id AS number, unnest(range(1, 1 + problem_id % 6)) AS k,
+             CAST(first_value(problem_id) OVER w AS VARCHAR) AS lowest, CAST(lead(problem_id, 2) OVER w AS VARCHAR) AS later FROM v_heights
+      WINDOW w AS (PARTITION BY board_id ORDER BY problem_id)),
+     LATERAL (SELECT CASE WHEN k % 2 = 0 THEN lowest ELSE later END AS target_id, 'edit ' || k AS title, k / 4 AS height_pages)
+UNION ALL SELECT DISTINCT board_id, 1000000, 'extra', 'append', NULL, 'new', 1.58 FROM v_heights
+UNION ALL SELECT DISTINCT board_id, 1000001, 'extra', 'up', NULL, NULL, NULL FROM v_heights
+""")
+_AT = "list_position(list_transform(l, lambda x: x.problem_id), e.problem_id)"
+_TO = "list_position(list_transform(l, lambda x: x.problem_id), e.target_id)"
+
+
+@query("apply_edit_log", f"""
+, logged AS (
+    SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY edit_no) AS step FROM v_edit_log
+), lists AS (
+    SELECT board_id, list(struct_pack(problem_id := CAST(problem_id AS VARCHAR), origin_id := CAST(problem_id AS VARCHAR), title := title,
+                                      height_pages := CAST(height_pages AS DOUBLE), excluded := excluded) ORDER BY seq) AS l
+    FROM v_list GROUP BY board_id
+), states AS (
+    SELECT board_id, CAST(0 AS BIGINT) AS step, l FROM lists
+    UNION ALL
+    SELECT board_id, step, CASE
+        WHEN action = 'append' THEN l || [struct_pack(problem_id := pid, origin_id := CAST(NULL AS VARCHAR), title := title, height_pages := CAST(height AS DOUBLE), excluded := FALSE)]
+        WHEN i IS NULL THEN l
+        WHEN action = 'up' AND i > 1 THEN list_slice(l, 1, i - 2) || [l[i], l[i - 1]] || list_slice(l, i + 1, len(l))
+        WHEN action = 'down' AND i < len(l) THEN list_slice(l, 1, i - 1) || [l[i + 1], l[i]] || list_slice(l, i + 2, len(l))
+        WHEN action = 'drop' AND j > i THEN list_slice(l, 1, i - 1) || list_slice(l, i + 1, j) || [l[i]] || list_slice(l, j + 1, len(l))
+        WHEN action = 'drop' AND j < i THEN list_slice(l, 1, j - 1) || [l[i]] || list_slice(l, j, i - 1) || list_slice(l, i + 1, len(l))
+        WHEN action = 'duplicate' THEN list_slice(l, 1, i) || [struct_pack(problem_id := pid || '-copy-' || edit_no, origin_id := l[i].origin_id,
+             title := l[i].title || ' 복제본', height_pages := l[i].height_pages, excluded := l[i].excluded)] || list_slice(l, i + 1, len(l))
+        WHEN action = 'delete' AND len(l) > 1 THEN list_slice(l, 1, i - 1) || list_slice(l, i + 1, len(l))
+        WHEN action IN ('toggle', 'patch') THEN list_slice(l, 1, i - 1) || [struct_pack(problem_id := pid, origin_id := l[i].origin_id,
+             title := CASE WHEN action = 'patch' THEN title ELSE l[i].title END,
+             height_pages := CASE WHEN action = 'patch' THEN CAST(height AS DOUBLE) ELSE l[i].height_pages END,
+             excluded := CASE WHEN action = 'toggle' THEN NOT l[i].excluded ELSE l[i].excluded END)] || list_slice(l, i + 1, len(l))
+        ELSE l END
+    FROM (SELECT s.board_id, e.step, e.action, e.problem_id AS pid, e.edit_no, e.title, e.height_pages AS height, s.l, {_AT} AS i, {_TO} AS j
+          FROM states s JOIN logged e ON e.board_id = s.board_id AND e.step = s.step + 1)
+), ended AS (
+    SELECT board_id, arg_max(l, step) AS l FROM states GROUP BY board_id
+)
+SELECT board_id, p.problem_id, p.origin_id, seq, p.title, p.height_pages, p.excluded
+FROM (SELECT board_id, unnest(l) AS p, unnest(range(len(l))) AS seq FROM ended)
+""")
+def _(t):
+    """Up to five edits of each problem, those of a board mixed, and an appended problem that moves up."""
+    k, number = F.col("k"), F.col("problem_id")
+    listed = scale.rank(t.heights.select("board_id", "problem_id", "height_pages"), ["board_id"], [number], "seq")
+    listed = scale.staged(listed.withColumn("seq", F.col("seq") - 1))
+    lowest = listed.where("seq = 0").select("board_id", F.col("problem_id").alias("_lowest"))
+    later = listed.select("board_id", (F.col("seq") - 2).alias("seq"), F.col("problem_id").alias("_later"))
+    each = listed.where("problem_id % 6 > 0").join(lowest, "board_id").join(later, ["board_id", "seq"], "left")
+    each = each.withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), number % 6)))
+    each = scale.rank(each, ["board_id"], [F.pmod(number * 31 + k * 17, F.lit(101)), number, k], "edit_no")
+    actions = F.array(*map(F.lit, EDIT_ACTIONS))
+    edits = each.select(
+        "board_id", "edit_no", number.cast("string").alias("problem_id"), F.element_at(actions, (1 + (number + k * k) % len(EDIT_ACTIONS)).cast("int")).alias("action"),
+        F.when(k % 2 == 0, F.col("_lowest")).otherwise(F.col("_later")).cast("string").alias("target_id"), F.concat(F.lit("edit "), k).alias("title"), (k / 4).alias("height_pages"),
+    )
+    boards = listed.select("board_id").distinct()
+    for no, action, title, height in ((1_000_000, "append", "new", 1.58), (1_000_001, "up", None, None)):
+        edits = edits.unionByName(boards.select(
+            "board_id", F.lit(no).alias("edit_no"), F.lit("extra").alias("problem_id"), F.lit(action).alias("action"), F.lit(None).cast("string").alias("target_id"),
+            F.lit(title).cast("string").alias("title"), F.lit(height).cast("double").alias("height_pages"),
+        ))
+    titled = listed.select("board_id", "problem_id", "seq", F.concat(F.lit("p"), number).alias("title"), "height_pages", (number % 6 == 0).alias("excluded"))
+    return editlog.apply_edit_log(titled, scale.staged(edits))
+
+
 # ---------------------------------------------------------------- summaries
 @query("run_summary", """
 SELECT source, CAST(sum(page_count) AS BIGINT) AS page_count, CAST(sum(a) AS BIGINT) AS ai_attempted_page_count, CAST(sum(b) AS BIGINT) AS ai_applied_page_count,

@@ -17,6 +17,7 @@ TEXT_RECORD_TYPES = ("title", "section", "stem", "choice", "explanation", "note"
 IMAGE_RECORD_TYPES = ("image", "diagram", "table", "decoration", "formula")
 LANGUAGE_SUBJECTS = ("korean", "english")
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp")
+COPY_SUFFIX = " 복제본"
 SECRET_WORDS = ("key", "token", "secret", "password")
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "no", "n", "off")

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SMALL
+from given_tables import SMALL
 
 import __spark_entry__ as entry
 from check import TABLES, canonical
