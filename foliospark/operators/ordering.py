@@ -61,15 +61,46 @@ def enumerate_blocks(boxes: DataFrame, rows: int | None = None) -> DataFrame:
     ).drop("_n")
 
 
-def record_ids(members: DataFrame, problem_order: Sequence[str], block_order: Sequence[str]) -> DataFrame:
+def record_ids(
+    members: DataFrame, problem_order: Sequence[str], block_order: Sequence[str], rows: int | None = None
+) -> DataFrame:
     """Consecutive record ids from 0 over problems and their blocks.
 
-    ``members`` has one row per record; a problem without blocks has one row
-    with a null block id, its fallback record.
+    ``members`` has one row per record; a problem without blocks has one row with a null block id, its fallback record.
+    The first column of ``problem_order`` is the board. Records are counted by problem, and a record's id is
+    the count of all boards before its own, of the problems before its own on the board, and of the records before it in the
+    problem. Only counts are put in an overall order: a row per board, a row per problem inside its board. Records
+    move once, to their problem. Nulls come first and are keys like any other.
     """
-    order: list[Column] = [F.col(c) for c in [*problem_order, *block_order]]
-    ranked = scale.rank(members, [], order, "_rank")
-    return ranked.withColumn("record_id", F.col("_rank") - 1).drop("_rank")
+    board, problem, one = problem_order[0], list(problem_order), F.lit(1).cast("bigint")
+    counted = scale.staged(members.groupBy(*problem).agg(F.count("*").alias("_n")))
+    boards = counted.groupBy(board).agg(F.sum("_n").alias("_n"))
+    cut, _ = scale.by_order(boards, [], [F.col(board)], rows=rows)
+    boards = scale.running(cut, [], [F.col(board)], {"_boards": Running("sum", F.col("_n"), before=True)}).drop(scale.SLICE, "_n")
+    rest = [F.col(c) for c in problem[1:]]
+    if rest:
+        cut, sliced = scale.by_order(counted, [board], rest, rows=rows)
+        counted = scale.running(cut, [board], rest, {"_problems": Running("sum", F.col("_n"), before=True)}, sliced=sliced)
+        counted = scale.unsliced(counted)
+    else:
+        counted = counted.withColumn("_problems", F.lit(0).cast("bigint"))
+
+    def named(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+        return df.withColumn(name, F.struct(one.alias("_"), *keys))  # nulls inside a struct are equal
+
+    boards = named(boards, [board], "_board").select("_board", "_boards")
+    offsets = named(named(counted, [board], "_board").join(boards, "_board"), problem, "_problem")
+    offsets = scale.staged(offsets.select("_problem", "_n", (F.col("_boards") + F.col("_problems")).alias("_offset")))
+    records = named(members, problem, "_problem")
+    ranked = scale.rank(records, ["_problem"], [F.col(c) for c in block_order], "_rank", sized_by=records.select("_problem"), rows=rows)
+    sizes = offsets.where(F.col("_n") > (rows or scale.GROUP_ROWS))
+    if sizes.isEmpty():
+        placed = ranked.join(offsets.drop("_n"), "_problem")
+    else:
+        placed = scale.keyed_join(
+            ranked, offsets.drop("_n"), ["_problem"], spread_by=F.col("_rank"), sized_by=records.select("_problem"), rows=rows
+        )
+    return placed.withColumn("record_id", F.col("_offset") + F.col("_rank") - 1).drop("_rank", "_offset", "_problem")
 
 
 def attempt_budget(

@@ -266,9 +266,10 @@ def _(t):
     blocks, placed = exported(t)
     slim = blocks.select("page_id", "unit_id", "block_id", "reading_order", "role")
     members = placement.bounded_members(slim.where("role is not null"), placed, slim.drop("unit_id"))
-    rows = placed.select("board_id", "doc_id", "problem_index", "unit_id").join(
-        members.select("unit_id", "block_id", "reading_order"), "unit_id", "left"
-    )
+    members = scale.staged(members.select("unit_id", "block_id", "reading_order"))
+    units = placed.select("board_id", "doc_id", "problem_index", "unit_id")
+    bare = units.join(members.select("unit_id").distinct(), "unit_id", "left_anti")
+    rows = scale.keyed_join(members, units, ["unit_id"], spread_by=F.col("block_id")).unionByName(bare, allowMissingColumns=True)
     numbered = ordering.record_ids(rows, ["board_id", "doc_id", "problem_index"], ["reading_order", "block_id"])
     return numbered.select("unit_id", "block_id", "record_id")
 
