@@ -7,11 +7,11 @@ series is spread over tasks like many short ones.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark import scale
+from foliospark.operators.bandmerge import merge_small_bands  # noqa: F401
 from foliospark.scale import Running
 from foliospark.settings import BandRules
 
@@ -195,59 +195,6 @@ def valley_splits(series: DataFrame, width: Column, rules: BandRules = RULES, ro
     return best.select(*KEY, F.col("_best.split_pos").alias("split_pos"), (-F.col("_best.s")).alias("score"))
 
 
-def merge_small_bands(bands_frame: DataFrame, rules: BandRules = RULES, part_bands: int | None = None) -> DataFrame:
-    """Low bands join their nearer neighbour if it is near enough (G1).
-
-    Bands are taken from the top; after each merge the search starts over. That
-    order only matters within a chain of bands: a border never closes if it is
-    wider than ``near_gap`` or if both its bands are tall. Chains are cut there
-    first and each chain is one small group.
-    """
-    ranked = scale.rank(bands_frame, KEY, [F.col("first")], "_no", sized_by=bands_frame, rows=part_bands)
-    ranked = scale.staged(ranked)
-    before = ranked.select(
-        *KEY, (F.col("_no") + 1).alias("_no"), F.col("last").alias("_prev_last"),
-        (F.col("last") - F.col("first")).alias("_prev_height"),
-    )
-    height = F.col("last") - F.col("first")
-    open_border = (F.col("first") - F.col("_prev_last") <= rules.near_gap) & (
-        (height <= rules.small_height) | (F.col("_prev_height") <= rules.small_height)
-    )
-    linked = ranked.join(before, [*KEY, "_no"], "left").withColumn(
-        "_cut", F.when(F.coalesce(open_border, F.lit(False)), 0).otherwise(1)
-    )
-    linked = scale.by_position(linked, "_no", part_bands)
-    chained = scale.running(linked, KEY, [F.col("_no")], {"_chain": Running("sum", F.col("_cut"))})
-    small, near = rules.small_height, rules.near_gap
-    far = 10**9
-
-    def settle(pdf):
-        pdf = pdf.sort_values("first")
-        open_bands = list(zip(pdf["first"].tolist(), pdf["last"].tolist(), strict=True))
-        # Bands before the current one can no longer change on their own, so
-        # starting over after a merge means stepping back one band at most.
-        at = 0
-        while at < len(open_bands):
-            top, bottom = open_bands[at]
-            above = top - open_bands[at - 1][1] if at else far
-            below = open_bands[at + 1][0] - bottom if at + 1 < len(open_bands) else far
-            if bottom - top > small or min(above, below) > near:
-                at += 1
-                continue
-            mate = at + 1 if below < above else at - 1
-            lo, hi = min(at, mate), max(at, mate)
-            open_bands[lo:hi + 1] = [(open_bands[lo][0], max(open_bands[lo][1], open_bands[hi][1]))]
-            at = max(lo - 1, 0)
-        return pd.DataFrame(
-            {"series_id": pdf["series_id"].iloc[0], "first": [a for a, _ in open_bands], "last": [b for _, b in open_bands]}
-        )
-
-    types = dict(bands_frame.dtypes)
-    schema = f"series_id {types['series_id']}, first bigint, last bigint"
-    chains = chained.select(*KEY, "_chain", "first", "last")
-    return chains.groupBy(*KEY, "_chain").applyInPandas(settle, schema)
-
-
 def recursive_splits(
     series: DataFrame, width: Column, rules: BandRules = RULES, rows: int | None = None
 ) -> DataFrame:

@@ -152,7 +152,23 @@ def _(t):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("merge_small_bands")
+_ABOVE = "CASE WHEN i > 1 THEN l[i].a - l[i - 1].b ELSE 1000000000 END"
+_BELOW = "CASE WHEN i < len(l) THEN l[i + 1].a - l[i].b ELSE 1000000000 END"
+
+
+@query("merge_small_bands", f"""
+, lists AS (
+    SELECT series_id, list(struct_pack(a := first, b := last) ORDER BY first) AS l FROM ({runs(DENSE, 7, "max(pos) - min(pos) >= 6")}) GROUP BY series_id
+), rounds AS (
+    SELECT series_id, l, 0 AS step FROM lists
+    UNION ALL
+    SELECT series_id, list_slice(l, 1, lo - 1) || [struct_pack(a := l[lo].a, b := greatest(l[lo].b, l[lo + 1].b))] || list_slice(l, lo + 2, len(l)), step + 1
+    FROM (SELECT *, CASE WHEN {_BELOW} < {_ABOVE} THEN i ELSE i - 1 END AS lo
+          FROM (SELECT *, list_filter(range(1, len(l) + 1), lambda i: l[i].b - l[i].a <= 20 AND least({_ABOVE}, {_BELOW}) <= 12)[1] AS i FROM rounds)
+          WHERE i IS NOT NULL)
+)
+SELECT series_id, x.a AS first, x.b AS last FROM (SELECT series_id, unnest(arg_max(l, step)) AS x FROM rounds GROUP BY series_id)
+""")
 def _(t):
     return series.merge_small_bands(scale.staged(series.bands(smoothed(t), SPARSE)), SPARSE)
 
