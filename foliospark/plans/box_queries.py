@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.geometry import box, polygon_box
 from foliospark.functions.numbers import file_size_label
-from foliospark.operators import boxes, ordering
+from foliospark.operators import boxes, boxmerge, ordering
 from foliospark.plans import oracle as o
 from foliospark.plans.registry import query
 
@@ -239,3 +239,60 @@ def _(t):
     pages = t.spread("documents").select(F.col("doc_id").cast("string").alias("page_id"), made.alias("boxes"))
     rows = boxes.merge_boxes(pages, gap_x=20.0, gap_y=5.0).select("page_id", F.posexplode("boxes").alias("box_no", "b"))
     return rows.select("page_id", "box_no", "b.*")
+
+
+o.cte("v_parts_boxes", """
+SELECT l_partkey AS page_id, CAST(l_orderkey % 1900 AS DOUBLE) AS "left", CAST(l_orderkey * 7 % 2300 AS DOUBLE) AS top,
+       CAST(l_quantity AS DOUBLE) AS width, CAST(l_linenumber * 6 AS DOUBLE) AS height
+FROM lineitem
+""")
+
+
+def merging(source: str, gap_x: float, gap_y: float) -> str:
+    """The rule as it stands, a box at a time: ``rest`` are the boxes of a round still to come, ``done`` the settled ones."""
+    across = "(least(x.r, rest[1].r) - greatest(x.l, rest[1].l))"
+    down = "(least(x.b, rest[1].b) - greatest(x.t, rest[1].t))"
+    area_x, area_b = "(x.r - x.l) * (x.b - x.t)", "(rest[1].r - rest[1].l) * (rest[1].b - rest[1].t)"
+    holds = "(x.l <= rest[1].l AND x.t <= rest[1].t AND x.r >= rest[1].r AND x.b >= rest[1].b)"
+    held = "(x.l >= rest[1].l AND x.t >= rest[1].t AND x.r <= rest[1].r AND x.b <= rest[1].b)"
+    close = (
+        f"NOT (({holds} OR {held}) AND greatest({area_x}, {area_b}) >= 1.4::DOUBLE * least({area_x}, {area_b}))"
+        f" AND ({across} > 0 OR {down} > 0 OR abs(rest[1].t - x.t) <= {gap_y}"
+        f" OR (rest[1].t - x.b BETWEEN 0 AND {gap_y} AND {across} > -{gap_x}) OR (rest[1].l - x.r BETWEEN 0 AND {gap_x} AND {down} > -{gap_y}))"
+    )
+    grown = (
+        "struct_pack(t := least(done[i].t, rest[1].t), l := least(done[i].l, rest[1].l), n := done[i].n,"
+        " r := greatest(done[i].r, rest[1].r), b := greatest(done[i].b, rest[1].b))"
+    )
+    return f"""
+, given AS (
+    SELECT page_id, list_sort(list(struct_pack(t := top, l := "left", n := n, r := "left" + width, b := top + height))) AS boxes
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY "left" + width, top + height) AS BIGINT) AS n FROM {source}) GROUP BY page_id
+), states AS (
+    SELECT page_id, 0 AS step, boxes AS rest, list_slice(boxes, 1, 0) AS done, len(boxes) AS before FROM given
+    UNION ALL
+    SELECT page_id, step + 1,
+           CASE WHEN len(rest) > 0 THEN list_slice(rest, 2, len(rest))
+                ELSE list_sort(list_transform(done, lambda x, k: struct_pack(t := x.t, l := x.l, n := CAST(k AS BIGINT), r := x.r, b := x.b))) END,
+           CASE WHEN len(rest) = 0 THEN list_slice(done, 1, 0) WHEN i IS NULL THEN done || [rest[1]]
+                ELSE list_slice(done, 1, i - 1) || [{grown}] || list_slice(done, i + 1, len(done)) END,
+           CASE WHEN len(rest) = 0 THEN len(done) ELSE before END
+    FROM (SELECT *, list_position(list_transform(done, lambda x: {close}), TRUE) AS i FROM states WHERE len(rest) > 0 OR len(done) < before)
+), ended AS (
+    SELECT page_id, list_sort(list_transform(arg_max(done, step), lambda x, k: struct_pack(t := x.t, l := x.l, n := CAST(k AS BIGINT), r := x.r, b := x.b))) AS boxes
+    FROM states WHERE len(rest) = 0 GROUP BY page_id
+)
+SELECT page_id, CAST(no AS INT) AS box_no, x.l AS "left", x.t AS top, x.r - x.l AS width, x.b - x.t AS height
+FROM (SELECT page_id, unnest(boxes) AS x, unnest(range(len(boxes))) AS no FROM ended)
+"""
+
+
+@query("merge_page_boxes", merging("v_parts_boxes", 20, 5))
+def _(t):
+    """Boxes of a page, one per line item of a part, joined where they touch."""
+    k = F.col("l_orderkey")
+    flat = t.table("lineitem").select(
+        F.col("l_partkey").alias("page_id"), (k % 1900).alias("left"), (k * 7 % 2300).alias("top"), F.col("l_quantity").alias("width"),
+        (F.col("l_linenumber") * 6).alias("height"),
+    )
+    return boxmerge.merge_page_boxes(flat, gap_x=20.0, gap_y=5.0)
