@@ -225,22 +225,6 @@ def _(t):
     return t.table("documents").select("doc_id", file_size_label(F.col("n_chars") * 97 - 5000).alias("label"))
 
 
-@query("merge_boxes")
-def _(t):
-    """Boxes of a page, one per line of a document, joined where they touch."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
-    made = F.transform(
-        lines,
-        lambda s, i: F.struct(
-            ((i % 3) * 260).cast("double").alias("left"), ((F.floor(i / 3) * 120) + (F.length(s) % 17)).cast("double").alias("top"),
-            (F.length(s) % 150 + 20).cast("double").alias("width"), (F.length(s) % 40 + 10).cast("double").alias("height"),
-        ),
-    )
-    pages = t.spread("documents").select(F.col("doc_id").cast("string").alias("page_id"), made.alias("boxes"))
-    rows = boxes.merge_boxes(pages, gap_x=20.0, gap_y=5.0).select("page_id", F.posexplode("boxes").alias("box_no", "b"))
-    return rows.select("page_id", "box_no", "b.*")
-
-
 o.cte("v_parts_boxes", """
 SELECT l_partkey AS page_id, CAST(l_orderkey % 1900 AS DOUBLE) AS "left", CAST(l_orderkey * 7 % 2300 AS DOUBLE) AS top,
        CAST(l_quantity AS DOUBLE) AS width, CAST(l_linenumber * 6 AS DOUBLE) AS height
@@ -296,3 +280,26 @@ def _(t):
         (F.col("l_linenumber") * 6).alias("height"),
     )
     return boxmerge.merge_page_boxes(flat, gap_x=20.0, gap_y=5.0)
+
+
+o.cte("v_line_boxes", """
+SELECT page_id, CAST(i % 3 * 260 AS DOUBLE) AS "left", CAST(i // 3 * 120 + length(line) % 17 AS DOUBLE) AS top,
+       CAST(length(line) % 150 + 20 AS DOUBLE) AS width, CAST(length(line) % 40 + 10 AS DOUBLE) AS height
+FROM (SELECT CAST(doc_id AS VARCHAR) AS page_id, pos AS i, line FROM v_split)
+""")
+
+
+@query("merge_boxes", merging("v_line_boxes", 20, 5))
+def _(t):
+    """Boxes of a page, one per line of a document, joined where they touch."""
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    made = F.transform(
+        lines,
+        lambda s, i: F.struct(
+            ((i % 3) * 260).cast("double").alias("left"), ((F.floor(i / 3) * 120) + (F.length(s) % 17)).cast("double").alias("top"),
+            (F.length(s) % 150 + 20).cast("double").alias("width"), (F.length(s) % 40 + 10).cast("double").alias("height"),
+        ),
+    )
+    pages = t.spread("documents").select(F.col("doc_id").cast("string").alias("page_id"), made.alias("boxes"))
+    rows = boxes.merge_boxes(pages, gap_x=20.0, gap_y=5.0).select("page_id", F.posexplode("boxes").alias("box_no", "b"))
+    return rows.select("page_id", "box_no", "b.*")
