@@ -181,93 +181,134 @@ def valley_splits(series: DataFrame, width: Column, rules: BandRules = RULES, ro
         scale.by_position(series, "pos", rows), KEY, [F.col("pos")], {"_above": Running("sum", F.col("value"), before=True)}
     ).select(*KEY, F.col("pos").alias("split_pos"), "_above")
     low = low.join(above, [*KEY, "split_pos"])
-    n, split = F.col("_n"), F.col("split_pos")
-    top_density = F.col("_above") / F.greatest(F.lit(1.0), split * F.col("_width"))
-    bottom_density = (F.col("_total") - F.col("_above")) / F.greatest(F.lit(1.0), (n - split) * F.col("_width"))
-    depth = F.lit(1.0) - F.least(F.lit(1.0), (F.col("_depth_sum") / F.col("_length")) / F.col("_max"))
-    off_centre = F.abs(split - n / 2.0) / F.greatest(F.lit(1.0), n / 2.0)
-    score = (
-        depth * 2.2 + F.least(F.lit(1.0), F.col("_length") / F.lit(max(1.0, rules.min_valley_rows * 1.4)))
-        - off_centre * 0.45
-    )
-    scored = low.where(F.least(top_density, bottom_density) >= rules.min_side_density).withColumn("score", score)
+    dense, score = _valley_score(*map(F.col, ("_length", "_depth_sum", "split_pos", "_n", "_max", "_above", "_total", "_width")), rules)
+    scored = low.where(dense >= rules.min_side_density).withColumn("score", score)
     best = scored.groupBy(*KEY).agg(F.min(F.struct((-F.col("score")).alias("s"), "split_pos")).alias("_best"))
     return best.select(*KEY, F.col("_best.split_pos").alias("split_pos"), (-F.col("_best.s")).alias("score"))
 
 
+def _valley_score(
+    length: Column, depth_sum: Column, split: Column, n: Column, peak: Column, above: Column, total: Column, width: Column, rules: BandRules
+) -> tuple[Column, Column]:
+    """The thinner of the two sides' densities, and how good a low stretch is to split at."""
+    top_density = above / F.greatest(F.lit(1.0), split * width)
+    bottom_density = (total - above) / F.greatest(F.lit(1.0), (n - split) * width)
+    depth = F.lit(1.0) - F.least(F.lit(1.0), (depth_sum / length) / peak)
+    off_centre = F.abs(split - n / 2.0) / F.greatest(F.lit(1.0), n / 2.0)
+    score = depth * 2.2 + F.least(F.lit(1.0), length / F.lit(max(1.0, rules.min_valley_rows * 1.4))) - off_centre * 0.45
+    return F.least(top_density, bottom_density), score
+
+
+def range_index(series: DataFrame, window: int, rows: int | None = None) -> DataFrame:
+    """A table that gives sums and marks of any stretch of a series by looking at its ends.
+
+    Per position: ``cum`` (sum up to and with it), ``ahead`` and ``behind`` (cum of the positions ``window`` after and
+    ``window`` + 1 before it, null past the ends), ``ink_prev`` and ``ink_next`` (nearest position with a value above 0, itself
+    included), and its slice.
+    """
+    pos, ink = F.col("pos"), F.when(F.col("value") > 0, F.col("pos"))
+    cut = scale.by_position(series.select(*KEY, "pos", "value"), "pos", rows)
+    held = scale.running(cut, KEY, [pos], {"cum": Running("sum", F.col("value")), "ink_prev": Running("max", ink)})
+    back = scale.by_position(held.drop(scale.SLICE).withColumn("_back", -pos), "_back", rows)
+    back = scale.running(back, KEY, [F.col("_back")], {"ink_next": Running("max", -ink)})
+    back = scale.unsliced(back).drop("_back").withColumn("ink_next", -F.col("ink_next"))
+    zero = F.lit(0).cast("bigint")
+    near = F.sequence(scale.slice_of(F.greatest(zero, pos - window), rows), scale.slice_of(pos + window + 1, rows))
+    frame = Window.partitionBy(*KEY, scale.SLICE).orderBy("pos")
+    spread = back.withColumn(scale.SLICE, F.explode(near)).withColumns(
+        {"ahead": F.lead("cum", window).over(frame), "behind": F.lag("cum", window + 1).over(frame)}
+    )
+    return scale.staged(spread.where(F.col(scale.SLICE) == scale.slice_of("pos", rows)))
+
+
 def recursive_splits(
     series: DataFrame, width: Column, rules: BandRules = RULES, rows: int | None = None
 ) -> DataFrame:
     """Split series at valleys, then the parts, to a fixed depth.
 
-    Every level handles all open parts of all series at once. A part is kept
-    whole if it is low, has no valley, or would leave a part that is empty, too
-    low or below ``min_part_ratio`` of it. Returns series_id, part (its path of
-    splits), low and high (exclusive) positions.
+    Every level handles all open parts of all series at once. A part is kept whole if it is low, has no valley, or
+    would leave a part that is empty, too low or below ``min_part_ratio`` of it. The series are written once, as a range
+    index; the smoothed value at a position of a part, the sums beside a valley and the marks at a part's ends are
+    looked up there at every level. ``width`` is constant per series. Returns series_id, part (its path of splits),
+    low and high (exclusive) positions.
     """
-    types = dict(series.dtypes)
-    sized = series.select("series_id", "pos", "value", width.cast("double").alias("_w"))
-    ends = sized.groupBy("series_id").agg(F.count(F.lit(1)).alias("high"))
-    live = ends.select("series_id", F.lit("").alias("part"), F.lit(0).cast("bigint").alias("low"), F.col("high").cast("bigint"))
-    done = None
+    window = max(4, rules.smooth_rows // 2)
+    index = range_index(series, window, rows)
+    whole = series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_end"), F.max(width.cast("double")).alias("_w"), F.sum("value").alias("upto"))
+    zero = F.lit(0).cast("bigint")
+    live = whole.select(
+        *KEY, F.lit("").alias("part"), zero.alias("low"), F.col("_end").cast("bigint").alias("high"), zero.alias("before"), "upto", "_end", "_w"
+    )
+    out, done = [*KEY, "part", "low", "high"], []
     for _ in range(rules.split_depth):
-        live = scale.staged(live)
-        low_parts = live.where(F.col("high") - F.col("low") < rules.split_min_height)
-        done = low_parts if done is None else done.unionByName(low_parts)
-        live = live.where(F.col("high") - F.col("low") >= rules.split_min_height)
-        rows_of = _part_rows(sized, live, rows)
-        named = F.to_json(F.struct("series_id", "part"))
-        local = rows_of.select(
-            named.alias("series_id"), (F.col("pos") - F.col("low")).alias("pos"), "value", "_w"
-        )
-        smoothed = smooth(local, max(4, rules.smooth_rows // 2), rows=rows)
-        splits = valley_splits(scale.staged(smoothed), F.col("_w"), rules, rows=rows)
-        splits = splits.select(
-            F.from_json("series_id", f"series_id {types['series_id']}, part string").alias("k"), "split_pos"
-        ).select("k.series_id", "k.part", "split_pos")
-        cut = live.join(splits, ["series_id", "part"]).withColumn("_at", F.col("low") + F.col("split_pos"))
-        sides = cut.select(
-            "series_id", "part", "low", "high",
-            F.explode(F.array(
-                F.struct(F.lit("a").alias("s"), F.col("low").alias("lo"), F.col("_at").alias("hi")),
-                F.struct(F.lit("b").alias("s"), F.col("_at").alias("lo"), F.col("high").alias("hi")),
-            )).alias("p"),
-        ).select("series_id", "part", "low", "high", "p.s", "p.lo", "p.hi")
-        children = _fit_parts(sized, sides, ends, rules, rows)
-        fine = children.groupBy("series_id", "part").agg(F.count(F.when(F.col("ok"), 1)).alias("_ok")).where("_ok = 2")
-        children = scale.staged(children.join(fine.select("series_id", "part"), ["series_id", "part"], "left_semi"))
-        whole = live.join(children.select("series_id", "part"), ["series_id", "part"], "left_anti")
-        done = done.unionByName(whole)
-        live = children.select(
-            "series_id", F.concat("part", "s").alias("part"), F.col("new_low").alias("low"), F.col("new_high").alias("high")
-        )
-    return done.unionByName(live)
-
-
-def _part_rows(sized: DataFrame, parts: DataFrame, rows: int | None) -> DataFrame:
-    """The positions of each part; parts are found by the slices they touch."""
-    touched = parts.withColumn(
-        scale.SLICE, F.explode(F.sequence(scale.slice_of("low", rows), scale.slice_of(F.greatest(F.col("low"), F.col("high") - 1), rows)))
+        cuts = _part_valleys(index, live.where(F.col("high") - F.col("low") >= rules.split_min_height), window, rules, rows)
+        sides = _sides(index, live.join(cuts, [*KEY, "part"]), rules)
+        fine = sides.groupBy(*KEY, "part").agg(F.bool_and("ok").alias("_fine")).where("_fine").select(*KEY, "part")
+        done.append(live.join(fine, [*KEY, "part"], "left_anti").select(*out))
+        children = sides.join(fine, [*KEY, "part"], "left_semi")
+        live = scale.checkpointed(_with_sums(index, children.select(
+            *KEY, F.concat("part", "s").alias("part"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "_end", "_w"
+        )))
+    for part in done:
+        live = live.select(*out).unionByName(part)
+    return live
+
+
+def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRules, rows: int | None) -> DataFrame:
+    """Where each part splits, as (series_id, part, _at); parts without a valley give no row."""
+    keys = [*KEY, "part"]
+    first, last = scale.slice_of("low", rows), scale.slice_of(F.greatest(F.col("low"), F.col("high") - 1), rows)
+    touched = parts.withColumn(scale.SLICE, F.explode(F.sequence(first, last)))
+    found = index.join(touched, [*KEY, scale.SLICE]).where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
+    pos, low, high = F.col("pos"), F.col("low"), F.col("high")
+    upper = F.when(pos + window >= high, F.col("upto")).otherwise(F.col("ahead"))
+    lower = F.when(pos - window <= low, F.col("before")).otherwise(F.col("behind"))
+    count = F.least(pos + window, high - 1) - F.greatest(pos - window, low) + 1
+    n = high - low
+    margin = F.greatest(F.lit(rules.min_height), F.floor(n * rules.split_margin_ratio))
+    facts = ["low", "high", "before", "upto", "_w"]
+    smoothed = found.select(*keys, *facts, pos.alias("_p"), (pos - low).alias("pos"), F.try_divide((upper - lower).cast("double"), count).alias("smoothed"))
+    held = scale.with_group_facts(scale.by_position(smoothed, "pos", rows), keys, [F.max("smoothed").alias("_peak")])
+    held = scale.unsliced(held).withColumn("_margin", margin)
+    pos, peak, margin = F.col("pos"), F.col("_peak"), F.col("_margin")
+    open_ = (peak > 0) & (F.col("_w") > 1) & (n - margin * 2 > rules.min_valley_rows) & (pos >= margin) & (pos < n - margin)
+    sparse = held.where(open_ & (F.col("smoothed") <= F.greatest(F.lit(rules.valley_floor), peak * rules.valley_ratio)))
+    runs = scale.islands(sparse, [*keys, *facts, "_peak", "_margin"], "pos", 1, sums={"_depth_sum": F.col("smoothed")}, rows=rows)
+    length, split = F.col("last") - F.col("first") + 1, F.floor((F.col("first") + F.col("last")) / 2)
+    runs = runs.withColumns({"_length": length, "_split": split}).where(
+        (F.col("_length") >= rules.min_valley_rows) & (F.col("_split") >= margin) & (n - F.col("_split") >= margin)
     )
-    found = scale.by_position(sized, "pos", rows).join(touched, ["series_id", scale.SLICE])
-    return found.where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
-
-
-def _fit_parts(sized: DataFrame, sides: DataFrame, ends: DataFrame, rules: BandRules, rows: int | None) -> DataFrame:
-    """Trim each side of a split to its marks, pad and grow it, and judge its size."""
-    named = sides.select("series_id", F.concat("part", "s").alias("part"), F.col("lo").alias("low"), F.col("hi").alias("high"))
-    ink = _part_rows(sized.where("value > 0"), named, rows).groupBy("series_id", "part").agg(
-        F.min("pos").alias("_i0"), (F.max("pos") + 1).alias("_i1")
+    sums = index.select(*KEY, F.col("pos").alias("_at"), (F.col("cum") - F.col("value")).alias("_cum"))
+    runs = runs.withColumn("_at", (low + F.col("_split")).cast("bigint")).join(sums, [*KEY, "_at"])
+    dense, score = _valley_score(
+        F.col("_length"), F.col("_depth_sum"), F.col("_split"), n, F.col("_peak"), F.col("_cum") - F.col("before"), F.col("upto") - F.col("before"), F.col("_w"), rules
     )
-    held = sides.withColumn("_child", F.concat("part", "s")).join(
-        ink.withColumnRenamed("part", "_child"), ["series_id", "_child"], "left"
-    ).join(ends.withColumnRenamed("high", "_end"), "series_id")
-    pad, grow = int(rules.slice_pad), int(rules.slice_grow)
-    low = F.greatest(F.lit(0), F.greatest(F.col("lo"), F.col("_i0") - pad) - grow)
-    high = F.least(F.col("_end"), F.least(F.col("hi"), F.col("_i1") + pad) + grow)
-    fits = (F.col("hi") - F.col("lo") >= rules.min_height) & F.col("_i0").isNotNull()
+    best = runs.where(dense >= rules.min_side_density).groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), "_at")).alias("_best"))
+    return best.select(*keys, F.col("_best._at").alias("_at"))
+
+
+def _sides(index: DataFrame, cut: DataFrame, rules: BandRules) -> DataFrame:
+    """Both sides of each split, trimmed to their marks, padded and grown, and whether each is large enough."""
+    marks = index.select(*KEY, F.col("pos").alias("_look"), "ink_prev", "ink_next")
+    looks = cut.select("*", F.explode(F.array(
+        F.struct(F.lit("a").alias("s"), F.col("low").alias("lo"), F.col("_at").alias("hi")),
+        F.struct(F.lit("b").alias("s"), F.col("_at").alias("lo"), F.col("high").alias("hi")),
+    )).alias("side")).select("*", "side.*").drop("side")
+    first = marks.select(*KEY, F.col("_look").alias("lo"), F.col("ink_next").alias("_i0"))
+    last = marks.select(*KEY, (F.col("_look") + 1).alias("hi"), (F.col("ink_prev") + 1).alias("_i1"))
+    held = looks.join(first, [*KEY, "lo"]).join(last, [*KEY, "hi"])
+    pad, grow, lo, hi = int(rules.slice_pad), int(rules.slice_grow), F.col("lo"), F.col("hi")
+    low = F.greatest(F.lit(0), F.greatest(lo, F.col("_i0") - pad) - grow).cast("bigint")
+    high = F.least(F.col("_end"), F.least(hi, F.col("_i1") + pad) + grow).cast("bigint")
+    fits = (hi - lo >= rules.min_height) & (F.col("_i0") < hi)
     large = (high - low) >= (F.col("high") - F.col("low")) * rules.min_part_ratio
-    return held.select(
-        "series_id", "part", "s", F.coalesce(fits & large, F.lit(False)).alias("ok"),
-        low.cast("bigint").alias("new_low"), high.cast("bigint").alias("new_high"),
-    )
+    ok = F.coalesce(fits & large, F.lit(False))
+    return held.select(*KEY, "part", "s", "_end", "_w", ok.alias("ok"), low.alias("new_low"), high.alias("new_high"))
+
+
+def _with_sums(index: DataFrame, parts: DataFrame) -> DataFrame:
+    """Add each part's sums before its low and up to its high."""
+    sums = index.select(*KEY, "pos", "cum", "value")
+    starts = sums.select(*KEY, F.col("pos").alias("low"), (F.col("cum") - F.col("value")).alias("before"))
+    ends = sums.select(*KEY, (F.col("pos") + 1).alias("high"), F.col("cum").alias("upto"))
+    return parts.join(starts, [*KEY, "low"]).join(ends, [*KEY, "high"])

@@ -173,6 +173,52 @@ def _(t):
     return series.merge_small_bands(scale.staged(series.bands(smoothed(t), SPARSE)), SPARSE)
 
 
-@query("recursive_splits")
+def split_level(k: int) -> str:
+    """One level of splits in SQL: parts p<k> give the whole ones d<k> and the parts p<k + 1>."""
+    return f"""
+, r{k} AS (
+    SELECT p.series_id, part, low, high, high - low AS n, pos, pos - low AS q, value,
+           CAST(sum(value) OVER f AS DOUBLE) / count(value) OVER f AS smoothed, sum(value) OVER (PARTITION BY p.series_id, part ORDER BY pos) - value AS above,
+           sum(value) OVER (PARTITION BY p.series_id, part) AS total, greatest(6, CAST(floor((high - low) * 0.18::DOUBLE) AS BIGINT)) AS margin
+    FROM p{k} p JOIN v_series s ON s.series_id = p.series_id AND pos >= low AND pos < high WHERE high - low >= 60
+    WINDOW f AS (PARTITION BY p.series_id, part ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+), m{k} AS (
+    SELECT *, max(smoothed) OVER (PARTITION BY series_id, part) AS peak FROM r{k}
+), l{k} AS (
+    SELECT *, q - row_number() OVER (PARTITION BY series_id, part ORDER BY q) AS run FROM m{k}
+    WHERE peak > 0 AND n - margin * 2 > 3 AND q >= margin AND q < n - margin AND smoothed <= greatest(0.02::DOUBLE, peak * 0.4::DOUBLE)
+), v{k} AS (
+    SELECT series_id, part, low, high, n, peak, total, margin, (min(q) + max(q)) // 2 AS split, count(*) AS len, sum(smoothed) AS s
+    FROM l{k} GROUP BY series_id, part, low, high, n, peak, total, margin, run HAVING count(*) >= 3
+), c{k} AS (
+    SELECT v.*, row_number() OVER (PARTITION BY v.series_id, v.part ORDER BY round((1 - least(1, (s / len) / v.peak)) * 2.2::DOUBLE + least(1, len / (3 * 1.4::DOUBLE))
+           - abs(split - v.n / 2) / greatest(1, v.n / 2) * 0.45::DOUBLE, 9) DESC, split) AS best
+    FROM v{k} v JOIN r{k} r ON r.series_id = v.series_id AND r.part = v.part AND r.q = split
+    WHERE split >= v.margin AND v.n - split >= v.margin
+      AND least(r.above / greatest(1, split * 10.0::DOUBLE), (v.total - r.above) / greatest(1, (v.n - split) * 10.0::DOUBLE)) >= 0.0001::DOUBLE
+), s{k} AS (
+    SELECT series_id, part, low, high, 'a' AS side, low AS lo, low + split AS hi FROM c{k} WHERE best = 1
+    UNION ALL SELECT series_id, part, low, high, 'b', low + split, high FROM c{k} WHERE best = 1
+), i{k} AS (
+    SELECT s.series_id, s.part, s.side, any_value(high - low) AS whole, any_value(hi - lo) AS own, count(v.pos) AS marks,
+           greatest(0, greatest(any_value(lo), min(v.pos) - 20) - 6) AS new_low,
+           least(any_value(z.n), least(any_value(hi), max(v.pos) + 1 + 20) + 6) AS new_high
+    FROM s{k} s JOIN (SELECT series_id, count(*) AS n FROM v_series GROUP BY series_id) z ON z.series_id = s.series_id
+    LEFT JOIN v_series v ON v.series_id = s.series_id AND v.pos >= lo AND v.pos < hi AND v.value > 0
+    GROUP BY s.series_id, s.part, s.side
+), k{k} AS (
+    SELECT *, bool_and(own >= 6 AND marks > 0 AND new_high - new_low >= whole * 0.12::DOUBLE) OVER (PARTITION BY series_id, part) AS fine FROM i{k}
+), d{k} AS (
+    SELECT series_id, part, low, high FROM p{k} p WHERE NOT EXISTS (SELECT 1 FROM k{k} x WHERE x.series_id = p.series_id AND x.part = p.part AND x.fine)
+), p{k + 1} AS (
+    SELECT series_id, part || side AS part, CAST(new_low AS BIGINT) AS low, CAST(new_high AS BIGINT) AS high FROM k{k} WHERE fine
+)"""
+
+
+@query("recursive_splits", f"""
+, p0 AS (SELECT series_id, '' AS part, CAST(0 AS BIGINT) AS low, CAST(count(*) AS BIGINT) AS high FROM v_series GROUP BY series_id)
+{split_level(0)}{split_level(1)}{split_level(2)}
+SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM p3
+""")
 def _(t):
     return series.recursive_splits(scale.staged(counts(t)), F.lit(10.0), SPARSE)
