@@ -21,14 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import Stage, raw
 
 WINDOW = 8
 MIN_LITERAL = 4  # tokens of a window that are no placeholders
-MIN_WINDOWS = 6  # lined-up windows that convict, 13 tokens in a row
+MIN_WINDOWS = 6  # windows of one place that convict, 13 tokens in a row
 MIN_SHARE = 0.5  # or this share of a short item's windows
 MIN_CONSISTENT = 0.75
 MAP_BITS = 23
@@ -47,37 +47,52 @@ NUMBER = re.compile(r"[$€£]?[-+]?\d[\d.,:/]*(?:e[-+]?\d+)?(?:st|nd|rd|th)?(%|
 EDGES = re.compile(r"^[^\w$€£%+-]+|[^\w%°]+$")
 SLOTS = (None, "number", "unit", "name")
 LINE = b"\x00"
+SIGNS, STOPS = frozenset(b".,;:!?"[i : i + 1] for i in range(6)), frozenset((b".", b"!", b"?", b":"))
 
 
 class Vocabulary(dict):
-    """word -> row of the property arrays, filled on demand."""
+    """word -> row of the property arrays, filled on demand; what ``older`` knows is taken over from it."""
 
-    def __init__(self):
+    def __init__(self, older: Vocabulary | None = None):
+        self.older = older
         self.literal, self.kind, self.ends = np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool)
 
     def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        core = EDGES.sub("", text)
-        low = core.lower()
-        if word == LINE:
-            kind = 4
-        elif NUMBER.fullmatch(low) or low in NUMBER_WORDS:
-            kind = 1
-        elif low in UNITS:
-            kind = 2
-        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
-            kind = 3
-        else:
-            kind = 0
         self[word] = row = len(self)
         if row == len(self.kind):
             self.literal, self.kind, self.ends = (np.resize(a, 2 * row) for a in (self.literal, self.kind, self.ends))
-        self.literal[row] = xxhash.xxh64_intdigest(low.encode())
-        self.kind[row] = kind
-        self.ends[row] = word == LINE or text[-1] in ".!?:" or text[-2:-1] in (".", "!", "?")
+        old = None if self.older is None else self.older.get(word)
+        if old is not None:
+            self.literal[row], self.kind[row], self.ends[row] = self.older.literal[old], self.older.kind[old], self.older.ends[old]
+        else:
+            self.literal[row], self.kind[row], self.ends[row] = properties(word)
         return row
 
 
+def properties(word: bytes) -> tuple[int, int, bool]:
+    """Hash of the word without edge signs in lower case, slot kind (4: a line's end), and whether it ends a sentence."""
+    if word == LINE:
+        return 0, 4, True
+    core = word[:-1] if word[-1:] in SIGNS and len(word) > 1 else word
+    if core.isalpha():  # ASCII letters, and at most one sign behind them
+        ends, low = word[-1:] in STOPS, core.lower()
+        text = low.decode()
+        name = len(core) > 1 and core[:1].isupper() and core[1:].islower()
+        return xxhash.xxh64_intdigest(low), 1 if text in NUMBER_WORDS else 2 if text in UNITS else 3 if name else 0, ends
+    text = word.decode("utf-8", "replace")
+    core = EDGES.sub("", text)
+    low = core.lower()
+    if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+        kind = 1
+    elif low in UNITS:
+        kind = 2
+    elif len(core) > 1 and core[0].isupper() and core[1:].islower():
+        kind = 3
+    else:
+        kind = 0
+    return xxhash.xxh64_intdigest(low.encode()), kind, text[-1] in ".!?:" or text[-2:-1] in (".", "!", "?")
+
+
 class Canonical:
     """Template tokens of texts."""
 
@@ -88,7 +103,8 @@ class Canonical:
         """Word hashes, slot kinds (0 where literal), the kinds where sentence openers may be names, and the words with
         each token's place among them. A unit is one only after a number."""
         if len(self.known) > CACHE:
-            self.known = Vocabulary()
+            self.known.older = None
+            self.known = Vocabulary(self.known)
         found = text.replace(LINE, b" ").replace(b"\n", b" \x00 ").split()
         rows = np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
         kind = self.known.kind[rows]
@@ -190,9 +206,8 @@ def key_map(keys: DataFrame) -> np.ndarray:
     low = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1).cast("bigint"))
     bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
     rows = keys.select(F.shiftright(low, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for r in rows.collect():
-        out[r["word"]] = r["bits"]
+    found, out = rows.toArrow(), np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -203,8 +218,9 @@ def contaminated(
     """Pairs of document and benchmark item: doc_id, mark (hash of the text), item_id, n_windows (of the item, found
     in the document), item_windows, n_slots, consistent_slots, changed_slots (value differs from the item's).
 
-    Only pairs that convict are returned: ``MIN_WINDOWS`` windows, or ``MIN_SHARE`` of the item's, whose slots are
-    consistent; or as many by template, of those of the item that have one. Null and empty texts, and an empty benchmark, give no pairs. Rows equal in id and text are one document.
+    Only pairs that convict are returned: at one place of the document, ``MIN_WINDOWS`` different windows of the item, or
+    ``MIN_SHARE`` of them, whose slots are consistent; or as many by template, of those of the item that have one. A
+    place is a set of alignments that lie at most ``WINDOW`` words apart; the figures are of the best place. Null and empty texts, and an empty benchmark, give no pairs. Rows equal in id and text are one document.
     """
     stage = Stage(docs.sparkSession)
     bench = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).distinct()
@@ -237,17 +253,29 @@ def contaminated(
     )
     same = [lined[k].eqNullSafe(slots[k]) for k in [*pair, "shift"]]
     joined = lined.join(slots, same[0] & same[1] & same[2] & same[3], "left").select(
-        *[lined[k] for k in pair], "item_windows", "item_usable", "n_windows", "n_templates", *[F.coalesce(slots[k], F.lit(0)).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")]
+        *[lined[k] for k in [*pair, "shift"]], "item_windows", "item_usable", "n_windows", "n_templates", *[F.coalesce(slots[k], F.lit(0)).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")]
     )
+    # Alignments of one place, shifted by a few words put in or left out, count together, each window of the item once.
     good = joined.where(F.col("consistent_slots") >= MIN_CONSISTENT * F.col("n_slots"))
-    found = good.groupBy(*pair, "item_windows", "item_usable").agg(
-        F.sum("n_templates").alias("n_templates"),
-        F.least(F.sum("n_windows"), F.col("item_windows")).cast("long").alias("n_windows"),
-        *[F.sum(k).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")],
+    along = Window.partitionBy(*pair).orderBy("shift")
+    step = F.when(F.col("shift") - F.lag("shift").over(along) <= WINDOW, 0).otherwise(1)
+    good = good.withColumn("_step", step).withColumn("place", F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    good = stage.keep(good, "places")
+    there = hits.join(good.select(*[F.col(k).alias(f"_{k}") for k in [*pair, "shift"]], "place"), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*pair, "shift"]])
+    placed = there.groupBy(*pair, "item_windows", "item_usable", "place").agg(
+        F.count_distinct("item_at").alias("n_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("item_at"))).alias("n_templates")
+    )
+    figures = good.groupBy(*pair, "place").agg(*[F.sum(k).alias(k) for k in ("n_slots", "consistent_slots", "changed_slots")])
+    same = [placed[k].eqNullSafe(figures[k]) for k in [*pair, "place"]]
+    found = placed.join(figures, same[0] & same[1] & same[2] & same[3]).select(
+        *[placed[k] for k in pair], "item_windows", "item_usable", "n_windows", "n_templates", "n_slots", "consistent_slots", "changed_slots"
     )
     need, least = (F.least(F.lit(MIN_WINDOWS), F.ceil(F.col(k) * MIN_SHARE)) for k in ("item_windows", "item_usable"))
     convicted = (F.col("n_windows") >= need) | ((F.col("item_usable") > 0) & (F.col("n_templates") >= least))
-    return found.where(convicted).drop("item_usable", "n_templates")
+    best = found.where(convicted).groupBy(*pair, "item_windows").agg(
+        F.max(F.struct("n_windows", "n_slots", "consistent_slots", "changed_slots")).alias("best")
+    )
+    return best.select(*pair, F.col("best.n_windows"), "item_windows", "best.n_slots", "best.consistent_slots", "best.changed_slots")
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -80,3 +80,37 @@ def test_names_that_open_sentences_are_slots(spark):
     mixed = mixed.replace("Ben eats", "Paul eats").replace("Anna counts", "Kim counts").replace("to Ben", "to Sue")
     texts = [f"{prose(1, 40)}. {other} {prose(2, 30)}", f"{prose(3, 40)}. {mixed}", prose(5, 60), item]
     assert caught(spark, texts, [item]) == {(0, 0), (3, 0)}
+
+
+def test_one_repeated_fragment_convicts_nothing(spark):
+    item = prose(9, 20)
+    words = item.split()
+    fragment, start = " ".join(words[4:12]), " ".join(words[:14])
+    texts = [f"{fragment} {prose(1, 30)} " * 6, f"{fragment} " * 6, f"{prose(1, 9)} {start} {prose(2, 30)}", f"{prose(3, 9)} {' '.join(words[:10])} inserted {' '.join(words[10:])}"]
+    assert caught(spark, texts, [item]) == {(2, 0), (3, 0)}
+
+
+def test_quick_properties_of_words_are_those_of_the_patterns():
+    signs = ["", ".", ",", "!", "?", ":", ";", '"', ")", "..", '."', "%", "-"]
+    for core in ["word", "Word", "WORD", "w", "W", "seven", "Seven", "km", "KM", "Km", "12", "12km", "é", "Élan", "x2", "a-b"]:
+        for word in [sign + core + end for sign in ["", "(", "$"] for end in signs]:
+            data = word.encode()
+            stripped = templates.EDGES.sub("", word)
+            low = stripped.lower()
+            if templates.NUMBER.fullmatch(low) or low in templates.NUMBER_WORDS:
+                kind = 1
+            elif low in templates.UNITS:
+                kind = 2
+            else:
+                kind = 3 if len(stripped) > 1 and stripped[0].isupper() and stripped[1:].islower() else 0
+            ends = word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")
+            assert templates.properties(data) == (templates.xxhash.xxh64_intdigest(low.encode()), kind, ends), word
+
+
+def test_words_are_taken_over_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(templates, "CACHE", 20)
+    texts = [prose(seed, 30).encode() for seed in range(12)]
+    short = templates.Canonical()
+    for text in texts + texts:
+        for mine, whole in zip(short.tokens(text)[:3], templates.Canonical().tokens(text)[:3]):
+            assert mine.tolist() == whole.tolist()
