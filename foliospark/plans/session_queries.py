@@ -159,6 +159,38 @@ def _(t):
     return t.spark.read.parquet(out).select("page_id", "block_id", "text", "reading_order")
 
 
+def ingested_folder(t: Tables) -> str:
+    """The written page files taken in batch by batch, all three tables at once."""
+    def take_in() -> str:
+        out, log = scale.fresh_path(t.spark, "taken"), scale.fresh_path(t.spark, "log")
+        ingest.ingest_pages(t.spark, page_folder(t), out, log, json_lines=True).awaitTermination()
+        return out
+
+    return t.once("ingested_folder", take_in)
+
+
+@query("ingest_problems", """
+SELECT page_id, unit_id, subject, count(*) FILTER (role = 'stem') AS stems, count(*) FILTER (role = 'choice') AS choices,
+       count(*) FILTER (role = 'figure') AS figures FROM v_grouped GROUP BY page_id, unit_id, subject
+""")
+def _(t):
+    units = ingest.ingested(t.spark, ingested_folder(t), "problems")
+    return units.select(
+        "page_id", "unit_id", "subject", F.size("stem_block_ids").alias("stems"), F.size("choice_block_ids").alias("choices"),
+        F.size("figure_block_ids").alias("figures"),
+    )
+
+
+@query("ingest_counts", """
+SELECT (SELECT count(DISTINCT page_id) FROM v_blocks) AS pages, (SELECT count(*) FROM v_blocks) AS blocks, (SELECT count(*) FROM v_lines) AS lines,
+       (SELECT count(*) FROM (SELECT DISTINCT page_id, unit_id FROM v_grouped)) AS problems
+""")
+def _(t):
+    """What the writes of all batches counted."""
+    names = ["pages", "blocks", "lines", "problems"]
+    return ingest.commits(t.spark, ingested_folder(t)).agg(*[F.sum(n).alias(n) for n in names])
+
+
 @query("plan_files", """
 SELECT problem_id, start_y, next_start_y, slot_span FROM v_placed
 """)

@@ -1,6 +1,7 @@
 """Files in and out, batch and stream."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,5 +178,28 @@ def test_stream_takes_each_file_once(spark, folder):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_one_read_fills_three_tables_and_a_replay_adds_nothing(spark, folder):
+    out, log = str(folder / "tables"), str(folder / "tables-log")
+    unit = {"unit_id": "u1", "subject": "math", "stem_block_ids": ["p4-block-001"]}
+    (folder / "in" / "c.json").write_text(json.dumps([page("p4", ["x"], problems=[unit, {"unit_id": "u2"}])]))
+
+    def rows():
+        return {name: ingest.ingested(spark, out, name).count() for name in ("blocks", "lines", "problems")}
+
+    ingest.ingest_pages(spark, str(folder / "in"), out, log, max_files=1).awaitTermination()
+    assert rows() == {"blocks": 4, "lines": 4, "problems": 2}
+    done = ingest.commits(spark, out).collect()
+    assert sorted((r.pages, r.blocks, r.lines, r.problems) for r in done) == [(1, 1, 1, 0), (1, 1, 1, 2), (2, 2, 2, 0)]
+    assert sorted(r.page_id for r in ingest.ingested(spark, out, "blocks").collect()) == ["p1", "p1", "p3", "p4"]
+
+    last = max(r.batch_id for r in done)  # as if the run had failed after the batch was written: its commit is lost, it runs again
+    shutil.rmtree(folder / "tables" / "commits" / str(last))
+    assert sum(rows().values()) < 10
+    (folder / "tables-log" / "commits" / str(last)).unlink()
+    (folder / "tables-log" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    ingest.ingest_pages(spark, str(folder / "in"), out, log, max_files=1).awaitTermination()
+    assert rows() == {"blocks": 4, "lines": 4, "problems": 2} and ingest.commits(spark, out).count() == 3
+
+
 def test_shared_folder_is_the_named_one(spark):
     assert spark.conf.get("spark.checkpoint.dir") in scale.shared_folder(spark)
