@@ -219,15 +219,31 @@ def linked(
 
     near = F.bit_count(F.col("lane").bitwiseXOR(F.col("rep.lane"))) <= (limit if mini is None else mini)
     star = shared.join(buckets, (shared.key == buckets.key) & (F.col("node") != F.col("rep.node")) & near)
-    star = star.select(F.col("node").alias("a"), F.col("rep.node").alias("b")).distinct()
-    if lanes > 1:
-        left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits"))
-        right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
-        star = stage.keep(star, "star").join(left, "a").join(right, "b")
-        star = star.where(test(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
-    if exact is not None:
-        star = exact(star)
-    merged = stage.keep(components(star, "a", "b"), "merged")
+    star = star.select(F.col("node").alias("a"), F.col("rep.node").alias("b"), F.col("rep.copies").alias("copies")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if lanes > 1:
+            left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("a_bits"))
+            right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("b_bits"))
+            pairs = pairs.join(left, "a").join(right, "b")
+            pairs = pairs.where(test(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
+        return pairs if exact is None else exact(pairs)
+
+    if lanes == 1:
+        merged = stage.keep(components(verified(star.select("a", "b")), "a", "b"), "merged")
+    else:
+        # A node of a large group has a representative in every bucket. It is checked against the one that stands for
+        # most rows first; other pairs are fetched only if their nodes are still in different groups.
+        star = stage.keep(star, "star")
+        best = stage.keep(star.groupBy("a").agg(F.max(F.struct("copies", "b"))["b"].alias("b")), "best")
+        first = stage.keep(components(verified(best), "a", "b"), "first")
+        rest = star.select("a", "b").join(best, ["a", "b"], "left_anti")
+        rest = rest.join(first.select(F.col("node").alias("a"), F.col("root").alias("a_grp")), "a", "left")
+        rest = rest.join(first.select(F.col("node").alias("b"), F.col("root").alias("b_grp")), "b", "left")
+        rest = stage.keep(rest.where(F.coalesce("a_grp", "a") != F.coalesce("b_grp", "b")).select("a", "b"), "rest")
+        links = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(rest))
+        merged = stage.keep(components(links, "a", "b"), "merged")
+        stage.drop(star, best, first, rest)
 
     # Buckets of two are settled by now. Larger ones matter only if they hold several groups.
     crowded = shared.select("key", "node").join(buckets.where("members > 2").select("key"), "key")
@@ -298,7 +314,9 @@ def similar_groups(
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
         near = pairs.join(left, "a").join(right, "b").where(overlapping(F.col("a_set"), F.col("b_set")))
-        return stage.keep(near.drop("a_set", "b_set"), "near")
+        near = stage.keep(near.drop("a_set", "b_set"), "near")
+        stage.drop(pairs, sets)
+        return near
 
     many = nodes.where(F.col("n") > FEW).select("node", "copies", "bits")
     groups = linked(many, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI, exact=exact)
