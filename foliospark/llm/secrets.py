@@ -3,20 +3,22 @@
 Patterns give the base spans. Beyond them, every long run of encoding characters
 is read in the narrowest encoding that holds it, and tested: chi-squared
 uniformity over the alphabet's parts and its symbols, runs above and below its middle, and serial
-correlation of neighbours, combined by Fisher's method. A structured string of
-length n passes the battery by luck with probability falling as 2 ** (-n / 2), so
-what passes is accepted from the length at which the false-discovery rate
-over all strings tested in the corpus stays below ``FDR`` (Benjamini-Hochberg over one
-count per length; nothing else is gathered).
+correlation of neighbours, combined by Fisher's method. How often a structured string of length n
+passes by luck is measured on the corpus: strings that fail as a whole are structured, and the share of their beginnings
+that pass gives the chance by length. What passes is accepted from the
+length at which the false-discovery rate over all strings tested stays below ``FDR`` (Benjamini-Hochberg
+over one count per length; nothing else is gathered).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,9 +36,11 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 LEVEL = 0.01  # of the battery: share of truly random strings it rejects
 FDR = 0.01
-BITS = 0.5  # by which each further character lowers a structured string's chance to look random
+BITS = 0.5  # by which each further character lowers a structured string's chance to look random, before any is measured
+PRIOR = 1000  # beginnings that weigh as much as that assumption
+STARTS = (20, 28, 36, 48)  # lengths of the beginnings that are tested, of strings at least half as long again
 TOP = 512  # lengths from here on count as one
-SCHEMA = "base array<struct<kind:string,start:int,end:int>>, tested int, runs array<struct<start:int,end:int>>"
+SCHEMA = "base array<struct<kind:string,start:int,end:int>>, tested int, runs array<struct<start:int,end:int>>, tried array<int>, leaked array<int>"
 
 SMALL, LARGE, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [  # narrowest first: parts that should each get their share, in value order
@@ -97,18 +101,39 @@ def randomness(token: str) -> float:
     return math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6)
 
 
-def scan(text: str) -> tuple[list[tuple[str, int, int]], int, list[tuple[int, int]]]:
-    """Base spans, the number of strings tested, and those that pass the battery outside base spans."""
+class Scan(NamedTuple):
+    """Base spans, the number of strings tested, those that pass outside base spans, and for each of
+    ``STARTS`` how many beginnings of failing strings were tried and how many passed."""
+
+    base: list[tuple[str, int, int]]
+    tested: int
+    passed: list[tuple[int, int]]
+    tried: list[int]
+    leaked: list[int]
+
+
+def scan(text: str) -> Scan:
+    """What the text holds, in time linear in its length."""
     base = base_spans(text)
-    tested, passed = 0, []
+    found = Scan(base, 0, [], [0] * len(STARTS), [0] * len(STARTS))
+    tested, at, last = 0, 0, 0  # spans before ``at`` start before the run's end; ``last`` is the furthest end among them
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for _, s, e in base):
+        while at < len(base) and base[at][1] < end:
+            last = max(last, base[at][2])
+            at += 1
+        if start < last:
             continue
         tested += 1
-        if randomness(m.group()) >= LEVEL:
-            passed.append((start, end))
-    return base, tested, passed
+        token = m.group()
+        if randomness(token) >= LEVEL:
+            found.passed.append((start, end))
+            continue
+        for i, n in enumerate(STARTS):
+            if 2 * len(token) >= 3 * n:
+                found.tried[i] += 1
+                found.leaked[i] += randomness(token[:n]) >= LEVEL
+    return found._replace(tested=tested)
 
 
 def scanned(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -118,30 +143,50 @@ def scanned(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         plain = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        counts = pa.list_(pa.int32())
         for batch in batches:
-            base, tested, runs = [], [], []
-            for found in map(scan, strings(batch.column("_text"))):
-                base.append([dict(zip(("kind", "start", "end"), s)) for s in found[0]])
-                tested.append(found[1])
-                runs.append([dict(zip(("start", "end"), s)) for s in found[2]])
-            columns = [pa.array(base, spans), pa.array(tested, pa.int32()), pa.array(runs, plain)]
+            found = [scan(t) for t in strings(batch.column("_text"))]
+            base = [[dict(zip(("kind", "start", "end"), x)) for x in f.base] for f in found]
+            runs = [[dict(zip(("start", "end"), x)) for x in f.passed] for f in found]
+            columns = [
+                pa.array(base, spans), pa.array([f.tested for f in found], pa.int32()), pa.array(runs, plain),
+                pa.array([f.tried for f in found], counts), pa.array([f.leaked for f in found], counts),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], *columns], [*keep, "base", "tested", "runs"]
+                [*[batch.column(k) for k in keep], *columns], [*keep, "base", "tested", "runs", "tried", "leaked"]
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return source.mapInArrow(run, f"{kinds}, {SCHEMA}" if keep else SCHEMA)
 
 
+def measured_chances(tried: list[int], leaked: list[int]) -> list[float]:
+    """The chance of a structured string to pass at each of ``STARTS``: what was counted, with ``PRIOR`` beginnings that
+    fall by ``BITS`` a character from the length before."""
+    chances, last, at = [], 1.0, 0
+    for n, t, k in zip(STARTS, tried, leaked):
+        last, at = (k + PRIOR * last * 2.0 ** (-BITS * (n - at))) / (t + PRIOR), n
+        chances.append(last)
+    return chances
+
+
+def chance(n: int, chances: list[float]) -> float:
+    """The chance at length n, from the nearest measured length at or below it."""
+    i = max(bisect.bisect_right(STARTS, n) - 1, 0)
+    return chances[i] * 2.0 ** (-BITS * max(n - STARTS[i], 0))
+
+
 def least_length(found: DataFrame, fdr: float = FDR) -> int:
     """The length from which strings that pass are accepted; above ``TOP`` if none are."""
-    tested = found.agg(F.sum("tested")).first()[0] or 0
+    sums = [F.sum(F.get(c, F.lit(i))) for c in ("tried", "leaked") for i in range(len(STARTS))]
+    tested, *counts = (n or 0 for n in found.agg(F.sum("tested"), *sums).first())
+    chances = measured_chances(counts[: len(STARTS)], counts[len(STARTS) :])
     length = F.explode(F.transform("runs", lambda r: F.least(r["end"] - r["start"], F.lit(TOP))))
     passed = sorted(((r["n"], r["count"]) for r in found.select(length.alias("n")).groupBy("n").count().collect()), reverse=True)
     best, above = TOP + 1, 0
     for n, count in passed:
         above += count
-        if tested * 2.0 ** (-BITS * n) <= fdr * above:
+        if tested * chance(n, chances) <= fdr * above:
             best = n
     return best
 
@@ -180,8 +225,8 @@ def listed(spans: Column) -> Column:
 
 def redact(text: str, least: int, mask: str) -> str:
     """The text with each span, or overlap of spans, replaced by the mask."""
-    base, _, runs = scan(text)
-    spans = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e in runs if e - s >= least])
+    found = scan(text)
+    spans = sorted([(s, e) for _, s, e in found.base] + [(s, e) for s, e in found.passed if e - s >= least])
     out, last = [], 0
     for start, end in spans:
         if start >= last:
@@ -191,7 +236,8 @@ def redact(text: str, least: int, mask: str) -> str:
 
 
 def redacted(docs: DataFrame, text: str = "text", *, mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """The documents, row for row, with every secret in ``text`` masked. Null stays null."""
+    """The documents, row for row, with every secret in ``text`` masked. Null stays null, an
+    empty text empty; repeated rows stay, an empty table stays empty."""
     least = least_length(scanned(docs.select(F.col(text).alias("text")), [], "text"), fdr)
 
     @F.pandas_udf("string")
