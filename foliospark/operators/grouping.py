@@ -222,8 +222,19 @@ def assemble_problems(grouped: DataFrame, part_items: int | None = None) -> Data
     )
 
 
-def grouping_diagnostics(grouped: DataFrame) -> DataFrame:
-    """Counts of markers and numbers per page, mode and reasons (A3)."""
+def page_problems(grouped: DataFrame, titles: DataFrame | None = None, part_items: int | None = None) -> DataFrame:
+    """The problems of each page, as rows: number, title and ordered block ids.
+
+    A page may hold any number of problems, so they are rows and not one list; a problem with more blocks than
+    ``part_items`` has several, told apart by ``part``.
+    """
+    units = problems_of(grouped, titles).drop("subject", "fallback_grouping", *[f"{r}_count" for r in ("stem", "choice", "explanation", "figure")])
+    lists = assemble_problems(grouped, part_items).drop("explanation_block_ids")
+    return units.join(lists, ["page_id", "unit_id", "problem_index"])
+
+
+def grouping_diagnostics(grouped: DataFrame, *more: Column) -> DataFrame:
+    """Counts of markers and numbers per page, mode and reasons (A3); ``more`` aggregates are added."""
     def count_if(c: Column) -> Column:
         return F.count(F.when(c, 1))
 
@@ -245,6 +256,7 @@ def grouping_diagnostics(grouped: DataFrame) -> DataFrame:
         F.min(
             F.when(F.col("problem_number_source").isNotNull(), F.struct("reading_order", "problem_number_source"))
         )["problem_number_source"].alias("problem_number_source"),
+        *more,
     )
     fallback = F.col("fallback_grouping")
     present = F.array(*[F.when(F.col(f"_{s}") > 0, F.struct(F.lit(s).alias("k"), F.col(f"_{s}").alias("v"))) for s in sources])
@@ -265,9 +277,8 @@ def grouping_diagnostics(grouped: DataFrame) -> DataFrame:
 
 
 def page_summary(grouped: DataFrame) -> DataFrame:
-    """Id, subject and counts of each page; its problems are ``assemble_problems``."""
-    return grouped.groupBy("page_id", "subject").agg(
-        F.count(F.lit(1)).alias("block_count"),
-        F.max("problem_index").alias("problem_count"),
+    """Id, subject, counts and diagnostics of each page, in one aggregation; its problems are ``page_problems``."""
+    return grouping_diagnostics(
+        grouped, F.min("subject").alias("subject"),
         F.count(F.when(F.col("opens"), F.col("problem_number"))).alias("numbered_problem_count"),
     )

@@ -110,6 +110,20 @@ def image_records(placements: DataFrame, template: Template = DEFAULT_TEMPLATE)
     return placements.withColumns(_normalised(target, template.board_page_count))
 
 
+def board_records(placed: DataFrame, placements: DataFrame, template: Template = DEFAULT_TEMPLATE) -> DataFrame:
+    """All records of a board: the placed blocks, and one picture for each problem that has none (P10).
+
+    ``placed`` is what ``place_blocks`` gives; ``placements`` has unit_id, start_y and content_height. A picture's
+    block_id is null.
+    """
+    columns = ["unit_id", "block_id", "record_mode", *"xywh"]
+    bare = placements.join(placed.select("unit_id").distinct(), "unit_id", "left_anti")
+    pictures = image_records(bare, template).withColumns(
+        {"block_id": F.lit(None).cast(placed.schema["block_id"].dataType), "record_mode": F.lit("image")}
+    )
+    return placed.select(*columns).unionByName(pictures.select(*columns))
+
+
 def record_counts(records: DataFrame, unit: list[str], units: DataFrame | None = None) -> DataFrame:
     """Text and image records per placement; header flag 4 with images, else 3.
 

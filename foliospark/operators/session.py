@@ -210,11 +210,12 @@ BLOCK_COUNTS = [
 ]
 
 
-def repair_usage(pages: DataFrame, by: Sequence[str]) -> DataFrame:
+def repair_usage(pages: DataFrame, by: Sequence[str], blocks: DataFrame | None = None) -> DataFrame:
     """How corrections went: pages attempted, applied, from cache, and histograms (A5).
 
     A missing status or route counts as unknown; a tier only counts where the
-    page has a profile.
+    page has a profile. ``blocks``, with the same keys and ocr_cache_hit and ocr_cache_miss,
+    adds how often their texts came from the cache.
     """
     held = pages.withColumns(
         {
@@ -232,6 +233,10 @@ def repair_usage(pages: DataFrame, by: Sequence[str]) -> DataFrame:
     )
     for column, name in (("_status", "status_counts"), ("_route", "route_counts"), ("_tier", "route_tier_counts")):
         totals = totals.join(_histogram(held, by, column, name), list(by), "left")
+    if blocks is not None:
+        counts = [f"{n}_count" for n in OCR_CACHE]
+        cached = blocks.groupBy(*by).agg(*[_count_if(F.col(n)).alias(f"{n}_count") for n in OCR_CACHE])
+        totals = totals.join(cached, list(by), "left").fillna(0, counts)
     return totals
 
 

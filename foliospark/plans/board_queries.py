@@ -194,7 +194,10 @@ def exported(t: Tables):
 
 def record_blocks(t: Tables):
     """Every block record of the exported problems."""
-    blocks, placed = exported(t)
+    return blocks_of(*exported(t))
+
+
+def blocks_of(blocks, placed):
     slim = blocks.select(
         "page_id", "unit_id", "block_id", "block_type", "confidence", "left", "top", "width", "height", "reading_order", "role", "is_blank"
     )
@@ -255,6 +258,23 @@ def _(t):
     return placed.select("unit_id", "block_id", "record_mode", *"xywh")
 
 
+@query("board_records", """
+SELECT unit_id, block_id, record_mode, (84 + greatest(0, "left" - bound_left) * k) / 1280 AS x,
+       (start_y * 590 + 20 + greatest(0, top - bound_top) * k) / (590 * 50) AS y,
+       greatest(40, least(room, width * k)) / 1280 AS w, greatest(22, height * k) / (590 * 50) AS h
+FROM v_records WHERE problem_index % 4 <> 3
+UNION ALL
+SELECT unit_id, NULL, 'image', 84 / 1280::DOUBLE, (start_y * 590 + 20) / (590 * 50)::DOUBLE, 527.6::DOUBLE / 1280,
+       content_height * 590 / (590 * 50)::DOUBLE
+FROM v_exported e WHERE problem_index % 4 = 3 OR NOT EXISTS (SELECT 1 FROM v_records r WHERE r.unit_id = e.unit_id)
+""")
+def _(t):
+    """Every fourth problem of a page has lost its blocks and is shown as its picture."""
+    blocks, placed = exported(t)
+    left = scale.staged(blocks_of(blocks, placed).where(F.col("problem_index") % 4 != 3))
+    return records.board_records(left, placed)
+
+
 @query("record_ids", """
 SELECT unit_id, block_id, row_number() OVER (ORDER BY board_id, doc_id, problem_index, reading_order, block_id) - 1 AS record_id
 FROM (SELECT board_id, doc_id, problem_index, unit_id, block_id, reading_order FROM v_records

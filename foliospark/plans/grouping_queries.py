@@ -160,7 +160,7 @@ def _(t):
     )
 
 
-@query("grouping_diagnostics", """
+DIAGNOSTICS = """
 SELECT page_id, bool_or(fallback) AS fallback_grouping, bool_or(is_start) AS has_text_markers,
        count(question_band_index) > 0 AS has_band_metadata, count(*) AS block_count, max(problem_index) AS problem_count,
        count(*) FILTER (problem_marker) AS problem_marker_count, count(*) FILTER (choice_marker) AS choice_marker_count,
@@ -176,9 +176,10 @@ SELECT page_id, bool_or(fallback) AS fallback_grouping, bool_or(is_start) AS has
        count(*) FILTER (number_source = 'ocr_line') AS ocr_line,
        count(*) FILTER (number_source = 'text_prefix') AS text_prefix
 FROM v_grouped GROUP BY page_id
-""")
-def _(t):
-    d = grouping.grouping_diagnostics(grouped(t))
+"""
+
+
+def flat_diagnostics(d):
     counts = [
         F.coalesce(F.try_element_at("number_source_counts", F.lit(s)), F.lit(0)).alias(s)
         for s in ("ocr_top_left", "ocr_line", "text_prefix")
@@ -188,13 +189,33 @@ def _(t):
     )
 
 
-@query("page_summary", """
-SELECT page_id, min(subject) AS subject, count(*) AS block_count, max(problem_index) AS problem_count,
-       count(CASE WHEN opens THEN number END) AS numbered_problem_count
-FROM v_grouped GROUP BY page_id
+@query("grouping_diagnostics", DIAGNOSTICS)
+def _(t):
+    return flat_diagnostics(grouping.grouping_diagnostics(grouped(t)))
+
+
+@query("page_summary", f"""
+SELECT * FROM ({DIAGNOSTICS}) JOIN (
+    SELECT page_id, min(subject) AS subject, count(CASE WHEN opens THEN number END) AS numbered_problem_count
+    FROM v_grouped GROUP BY page_id) USING (page_id)
+""")
+def _(t):
+    return flat_diagnostics(grouping.page_summary(grouped(t)))
+
+
+@query("page_problems", """
+SELECT p.page_id, p.unit_id, p.problem_index, p.title, CAST(p.problem_number AS DOUBLE) AS problem_number, p.problem_number_source,
+       CAST(0 AS BIGINT) AS part, stem_block_ids, choice_block_ids, figure_block_ids
+FROM v_problems p JOIN (
+    SELECT unit_id, coalesce(string_agg(block_id, ',' ORDER BY reading_order) FILTER (role = 'stem'), '') AS stem_block_ids,
+           coalesce(string_agg(block_id, ',' ORDER BY reading_order) FILTER (role = 'choice'), '') AS choice_block_ids,
+           coalesce(string_agg(block_id, ',' ORDER BY reading_order) FILTER (role = 'figure'), '') AS figure_block_ids
+    FROM v_grouped GROUP BY unit_id) g ON p.unit_id = g.unit_id
 """)
 def _(t):
-    return grouping.page_summary(grouped(t))
+    made = grouping.page_problems(grouped(t), titles(t)).withColumn("problem_number", F.col("problem_number").cast("double"))
+    names = [f"{r}_block_ids" for r in ("stem", "choice", "figure")]
+    return made.withColumns({n: F.array_join(n, ",") for n in names})
 
 
 @query("layout_inputs", "SELECT * FROM v_layout")

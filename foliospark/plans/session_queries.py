@@ -258,6 +258,62 @@ def _(t):
     )
 
 
+@query("session_files", """
+SELECT 's' || o_orderkey AS session_name, CASE WHEN odd THEN '' ELSE 'pages.json' END AS pages_path,
+       CASE WHEN odd THEN 'placed.json' ELSE '' END AS placements_path, CASE WHEN odd THEN '' ELSE 'b.brd' END AS board_path,
+       CASE WHEN odd THEN 'file:///C:/r/1.png,http://x/2' ELSE '' END AS rendered_page_uris,
+       CASE WHEN odd THEN 'force' ELSE 'auto' END AS mode, CASE WHEN odd THEN 'gemini' ELSE 'openai' END AS provider,
+       CASE WHEN odd THEN 'm' || o_orderkey ELSE 'gpt-5.4-mini' END AS model, odd AS provided,
+       CAST(CASE WHEN odd THEN o_orderkey % 50 ELSE 0 END AS INT) AS attempted_page_count
+FROM (SELECT *, o_orderkey % 2 = 1 AS odd FROM orders)
+""")
+def _(t):
+    """File names and the correction summary of one session per order, in either spelling."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("s"), k.cast("string"))
+    old = F.struct(name.alias("session_name"), F.lit("pages.json").alias("pages_json_path"), F.lit("b.brd").alias("edb_path"))
+    new = F.struct(
+        name.alias("sessionName"), F.lit("placed.json").alias("placementsJsonPath"),
+        F.array(F.lit("C:\\r\\1.png"), F.lit("http://x/2")).alias("renderedPageFileUris"),
+        F.struct(
+            F.lit(" FORCE").alias("mode"), F.lit("Gemini ").alias("provider"), F.concat(F.lit(" m"), k.cast("string")).alias("model"),
+            (k % 50).alias("attemptedPageCount"),
+        ).alias("aiSummary"),
+    )
+    text = F.when(k % 2 == 1, F.to_json(new)).otherwise(F.to_json(old))
+    made = sessions.normalize_sessions(t.table("orders").select(F.from_json(text, sessions.SESSION_DDL).alias("s")).select("s.*"))
+    s = "repair_summary"
+    return made.select(
+        "session_name", "pages_path", "placements_path", "board_path", F.array_join("rendered_page_uris", ",").alias("rendered_page_uris"),
+        *[f"{s}.{n}" for n in ("mode", "provider", "model", "provided", "attempted_page_count")],
+    )
+
+
+@query("request_options", """
+SELECT event_id, event_id % 4 = 0 AS enabled, CASE event_id % 3 WHEN 0 THEN 'force' WHEN 1 THEN 'auto' END AS mode,
+       CASE WHEN event_id % 3 = 1 THEN 'gemini' ELSE 'openai' END AS provider,
+       CASE event_id % 3 WHEN 0 THEN 'top' WHEN 1 THEN 'low' ELSE '' END AS model,
+       CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 100 AS INT) END AS max_regions,
+       CASE WHEN event_id % 3 = 1 THEN CAST(event_id % 8 AS DOUBLE) / 8 END AS threshold, event_id % 3 = 1 AS save_debug
+FROM events
+""")
+def _(t):
+    """Requests whose settings stand at the top, in a nested object, or both."""
+    n = F.col("event_id")
+    flag = F.when(n % 4 == 0, "on").otherwise("0").alias("aiFallbackEnabled")
+    low = F.struct(F.lit("low").alias("model"), F.lit("auto").alias("mode"))
+    top = F.struct(flag, F.lit("top").alias("model"), F.lit("force").alias("ai_fallback_mode"), (n % 100).alias("maxRegions"), low.alias("ai_fallback"))
+    nested = F.struct(
+        F.lit("low").alias("aiFallbackModel"), F.lit("auto").alias("mode"), F.lit("gemini").alias("provider"),
+        (n % 8 / 8).alias("threshold"), F.lit(True).alias("saveDebug"), F.lit(False).alias("enabled"),
+    )
+    deep = F.struct(flag, nested.alias("ai_fallback"), F.lit("auto").alias("aiFallback"))
+    text = F.when(n % 3 == 0, F.to_json(top)).when(n % 3 == 1, F.to_json(deep)).otherwise(F.to_json(F.struct(flag)))
+    made = sessions.request_options(t.table("events").select("event_id", text.alias("payload")))
+    names = ["enabled", "mode", "provider", "model", "max_regions", "threshold", "save_debug"]
+    return made.select("event_id", *[f"options.{c}" for c in names])
+
+
 @query("session_problems", """
 SELECT 's' || o_orderkey AS session_name, i AS "index",
        CASE WHEN odd THEN 'id' || o_orderkey WHEN i = 0 THEN 'p1' ELSE 'problem-02' END AS problem_id,
@@ -529,20 +585,26 @@ def _(t):
 SELECT CAST(page_id AS BIGINT) % 20 AS batch, count(*) FILTER (status IN ('error', 'invalid_response', 'applied')) AS attempted_page_count,
        count(*) FILTER (status IN ('cache_hit', 'applied')) AS applied_page_count, count(*) FILTER (status = 'cache_hit') AS ai_cache_hit_count,
        count(*) FILTER (status = 'disabled') AS disabled, count(*) FILTER (p % 8 = 0) AS unknown, count(*) FILTER (route = 'ai_patch') AS patched,
-       count(*) FILTER (tier = 'red' AND p % 3 > 0) AS red
-FROM (SELECT * EXCLUDE (status), status, p AS q FROM v_status) GROUP BY 1
+       count(*) FILTER (tier = 'red' AND p % 3 > 0) AS red, CAST(coalesce(sum(hits), 0) AS BIGINT) AS ocr_cache_hit_count,
+       CAST(coalesce(sum(misses), 0) AS BIGINT) AS ocr_cache_miss_count
+FROM (SELECT * EXCLUDE (status), status, p AS q FROM v_status)
+LEFT JOIN (SELECT page_id AS block_page, count(*) FILTER (pos % 3 = 0) AS hits, count(*) FILTER (pos % 3 = 1) AS misses
+           FROM v_blocks GROUP BY 1) ON page_id = block_page
+GROUP BY 1
 """.replace("count(*) FILTER (status = 'disabled') AS disabled", "count(*) FILTER (status = 'disabled' AND p % 8 <> 0) AS disabled"))
 def _(t):
     page = F.col("page_id").cast("bigint")
     rows = statuses(t).withColumns(
         {"batch": page % 20, "has_route": F.lit(True), "has_profile": page % 3 > 0, "status": F.when(page % 8 != 0, F.col("status"))}
     )
-    made = session.repair_usage(scale.staged(rows), ["batch"])
+    at = F.col("pos") % 3
+    read = t.block_table.select((page % 20).alias("batch"), (at == 0).alias("ocr_cache_hit"), (at == 1).alias("ocr_cache_miss"))
+    made = session.repair_usage(scale.staged(rows), ["batch"], read)
     get = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0))
     return made.select(
         "batch", "attempted_page_count", "applied_page_count", "ai_cache_hit_count", get("status_counts", "disabled").alias("disabled"),
         get("status_counts", "unknown").alias("unknown"), get("route_counts", "ai_patch").alias("patched"),
-        get("route_tier_counts", "red").alias("red"),
+        get("route_tier_counts", "red").alias("red"), "ocr_cache_hit_count", "ocr_cache_miss_count",
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as tx
-from foliospark.functions.numbers import finite_or
+from foliospark.functions.numbers import finite_or, to_bool, to_optional_float, to_optional_int
 from foliospark.functions.text import normalize_path
 
 _PROBLEM = (
@@ -56,7 +56,9 @@ SESSION_DDL = (
     "export_mode string, exportMode string, record_mode string, recordMode string, input_file_count double, "
     "inputFileCount double, source_page_count double, sourcePageCount double, detected_problem_count double, "
     "detectedProblemCount double, input_files array<string>, inputFiles array<string>, edb_path string, edbPath string, "
-    "edb_file_uri string, edbFileUri string, warning_messages array<string>, warningMessages array<string>, "
+    "pages_json_path string, pagesJsonPath string, placements_json_path string, placementsJsonPath string, "
+    "rendered_page_file_uris array<string>, renderedPageFileUris array<string>, rendered_page_paths array<string>, "
+    "renderedPagePaths array<string>, edb_file_uri string, edbFileUri string, warning_messages array<string>, warningMessages array<string>, "
     f"template {_struct(_TEMPLATE)}, ai_fallback {_struct(_CONFIG)}, aiFallback {_struct(_CONFIG)}, "
     f"ai_summary {_struct(_SUMMARY)}, aiSummary {_struct(_SUMMARY)}, problems array<{_struct(_PROBLEM)}>"
 )
@@ -104,7 +106,17 @@ def normalize_sessions(raw: DataFrame) -> DataFrame:
         finite_or(_given(c("source_page_count"), c("sourcePageCount")), 0.0).alias("source_page_count"),
         finite_or(_given(c("detected_problem_count"), c("detectedProblemCount")), F.size(problems)).alias("detected_problem_count"),
         F.coalesce("input_files", "inputFiles", F.array().cast("array<string>")).alias("input_files"),
+        _or(c("pages_json_path"), c("pagesJsonPath")).alias("pages_path"),
+        _or(c("placements_json_path"), c("placementsJsonPath")).alias("placements_path"),
+        _or(c("edb_path"), c("edbPath")).alias("board_path"),
         normalize_path(_or(c("edb_file_uri"), c("edbFileUri"), c("edb_path"))).alias("board_file_uri"),
+        F.transform(
+            F.coalesce(
+                "rendered_page_file_uris", "renderedPageFileUris", "rendered_page_paths", "renderedPagePaths",
+                F.array().cast("array<string>"),
+            ),
+            lambda u: normalize_path(F.coalesce(u, F.lit(""))),
+        ).alias("rendered_page_uris"),
         F.coalesce("warning_messages", "warningMessages", F.array().cast("array<string>")).alias("warning_messages"),
         F.when(
             template.isNotNull(),
@@ -121,6 +133,50 @@ def normalize_sessions(raw: DataFrame) -> DataFrame:
     )
 
 
+# Names of request fields, in the order in which they count, and of the nested object.
+REQUEST_FIELDS = {
+    "enabled": ["aiFallbackEnabled", "ai_fallback_enabled", "enabled"],
+    "mode": ["aiFallbackMode", "ai_fallback_mode", "mode"],
+    "provider": ["aiFallbackProvider", "ai_fallback_provider", "provider"],
+    "model": ["aiFallbackModel", "ai_fallback_model", "model"],
+    "prompt": ["aiFallbackPrompt", "ai_fallback_prompt", "prompt"],
+    "max_tokens": ["aiFallbackMaxTokens", "ai_fallback_max_tokens", "maxTokens", "max_tokens"],
+    "temperature": ["aiFallbackTemperature", "ai_fallback_temperature", "temperature"],
+    "threshold": ["aiFallbackThreshold", "ai_fallback_threshold", "threshold"],
+    "max_regions": ["aiFallbackMaxRegions", "ai_fallback_max_regions", "maxRegions", "max_regions"],
+    "timeout_ms": ["aiFallbackTimeoutMs", "ai_fallback_timeout_ms", "timeoutMs", "timeout_ms"],
+    "save_debug": ["aiFallbackSaveDebug", "ai_fallback_save_debug", "saveDebug", "save_debug"],
+    "fail_on_error": ["failOnAiError", "fail_on_ai_error"],
+}
+NESTED = ["aiFallback", "ai_fallback"]
+
+
+def request_options(requests: DataFrame, payload: str = "payload") -> DataFrame:
+    """Correction settings of each request, added to its row as ``options``.
+
+    A field of the request itself goes before one of its nested object, whatever the spelling; the nested
+    object is the first of the two names that is an object. Text that is no JSON object has the defaults,
+    as has a null; a number that cannot be read is null.
+    """
+    flat = ", ".join(f"`{n}` string" for names in REQUEST_FIELDS.values() for n in names)
+    whole = f"{flat}, " + ", ".join(f"`{n}` {_struct(flat.replace('`', ''))}" for n in NESTED)
+    read = requests.withColumn("_request", F.from_json(F.col(payload).cast("string"), whole))
+    r = F.col("_request")
+    nested = F.coalesce(*[r[n] for n in NESTED])
+    field = lambda name: F.coalesce(*[r[n] for n in REQUEST_FIELDS[name]], *[nested[n] for n in REQUEST_FIELDS[name]])
+    options = F.struct(
+        to_bool(field("enabled")).alias("enabled"),
+        field("mode").alias("mode"),
+        F.coalesce(field("provider"), F.lit("openai")).alias("provider"),
+        F.coalesce(field("model"), F.lit("")).alias("model"),
+        F.coalesce(field("prompt"), F.lit("")).alias("prompt"),
+        *[to_optional_int(field(n)).alias(n) for n in ("max_tokens", "max_regions", "timeout_ms")],
+        *[to_optional_float(field(n)).alias(n) for n in ("temperature", "threshold")],
+        *[to_bool(field(n)).alias(n) for n in ("save_debug", "fail_on_error")],
+    )
+    return read.withColumn("options", options).drop("_request")
+
+
 def _config(config: Column, summary: Column) -> Column:
     mode = F.lower(tx.strip(_given(config["mode"], summary["mode"], F.lit("auto"))))
     provider = F.when(
@@ -153,8 +209,13 @@ def _config(config: Column, summary: Column) -> Column:
 def _summary(summary: Column) -> Column:
     counts = F.coalesce(summary["status_counts"], summary["statusCounts"], F.create_map().cast("map<string,double>"))
     whole = lambda a, b: F.greatest(F.lit(0), F.floor(finite_or(_given(a, b), 0.0) + 0.5)).cast("int")
+    words = lambda name, default: _or(tx.strip(_or(summary[name], default=default)), default=default)
     return F.struct(
         _flag(summary["requested"]).alias("requested"),
+        F.lower(words("mode", "auto")).alias("mode"),
+        F.lower(words("provider", "openai")).alias("provider"),
+        words("model", PROVIDER_MODELS["openai"]).alias("model"),
+        summary.isNotNull().alias("provided"),
         whole(summary["attempted_page_count"], summary["attemptedPageCount"]).alias("attempted_page_count"),
         whole(summary["applied_page_count"], summary["appliedPageCount"]).alias("applied_page_count"),
         F.map_filter(counts, lambda k, v: (k != "") & (v >= 0) & (v != float("inf"))).alias("status_counts"),
