@@ -272,10 +272,13 @@ o.cte("v_keyed", "SELECT doc_id, text, sha1(text) AS cache_key, 'auto_engine' AS
 o.cte("v_cache", "SELECT cache_key, backend, min(doc_id) AS payload FROM v_keyed WHERE doc_id % 3 = 0 GROUP BY ALL")
 
 
-@query("cache_lookup", """
+LOOKUP = """
 SELECT k.doc_id, k.cache_key, k.backend, CAST(c.payload AS DOUBLE) AS payload, c.payload IS NOT NULL AS cache_hit, c.payload IS NULL AS cache_miss
 FROM v_keyed k LEFT JOIN v_cache c ON k.cache_key = c.cache_key AND k.backend = c.backend
-""")
+"""
+
+
+@query("cache_lookup", LOOKUP)
 def _(t):
     found = cache.cache_lookup(keyed_documents(t), text_cache(t), spread_by=F.col("doc_id"))
     return found.select(
@@ -283,6 +286,17 @@ def _(t):
     )
 
 
+@query("clustered_cache_lookup", LOOKUP)
+def _(t):
+    """Look-up in a cache that lies in buckets of its key and is not moved."""
+    path = scale.fresh_path(t.spark, "cache")
+    held = cache.save_cache(text_cache(t), "cache_" + path.rsplit("-", 1)[1], buckets=8, path=path)
+    found = cache.clustered_lookup(scale.staged(keyed_documents(t)), held, spread_by=F.col("doc_id"), buckets=8)
+    return found.select(
+        "doc_id", "cache_key", "backend", F.col("payload").cast("double").alias("payload"), "cache_hit", "cache_miss"
+    )
+
+
 @query("cache_fill", """
 SELECT cache_key, backend, min(doc_id) AS doc_id FROM v_keyed k
 WHERE NOT EXISTS (SELECT 1 FROM v_cache c WHERE c.cache_key = k.cache_key AND c.backend = k.backend) GROUP BY ALL
