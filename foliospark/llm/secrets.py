@@ -4,7 +4,7 @@ Patterns give the base spans. Beyond them, every long run of encoding characters
 is read in the narrowest encoding that holds it, and tested: chi-squared
 uniformity over the alphabet's parts and its symbols, runs above and below its middle, and serial
 correlation of neighbours, combined by Fisher's method. How often a structured string of length n
-passes by luck is measured on the corpus: strings that fail as a whole are structured, and the share of their beginnings
+passes by luck is measured on the corpus: strings that fail as a whole by far are structured, and the share of their beginnings
 that pass gives the chance by length. What passes is accepted from the
 length at which the false-discovery rate over all strings tested stays below ``FDR`` (Benjamini-Hochberg
 over one count per length; nothing else is gathered).
@@ -35,6 +35,7 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # the same spans as HEX runs of 24 or m
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 LEVEL = 0.01  # of the battery: share of truly random strings it rejects
+STRUCTURED = 1e-5  # a string below it is taken as structured; a random one seldom is
 FDR = 0.01
 BITS = 0.5  # by which each further character lowers a structured string's chance to look random, before any is measured
 PRIOR = 1000  # beginnings that weigh as much as that assumption
@@ -126,8 +127,10 @@ def scan(text: str) -> Scan:
             continue
         tested += 1
         token = m.group()
-        if randomness(token) >= LEVEL:
+        score = randomness(token)
+        if score >= LEVEL:
             found.passed.append((start, end))
+        if score >= STRUCTURED:
             continue
         for i, n in enumerate(STARTS):
             if 2 * len(token) >= 3 * n:
