@@ -50,7 +50,7 @@ class Tables:
         """One page per document."""
         subject = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in SUBJECT_OF_LANGUAGE.items()], F.lit("unknown"))
         d = self.spread("documents")
-        lines = F.size(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != ""))
+        lines = F.size(F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != ""))
         return d.select(
             F.col("doc_id").cast("string").alias("page_id"), F.col("source"), subject.alias("page_subject"),
             F.lit(800).alias("page_width"), (lines * 60 + 80).alias("page_height"), "doc_id",
@@ -60,7 +60,7 @@ class Tables:
     def blocks(self) -> DataFrame:
         """One block per line of a document, with injected markers and boxes."""
         subject = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in SUBJECT_OF_LANGUAGE.items()], F.lit("unknown"))
-        lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+        lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
         rows = self.spread("documents").select("doc_id", "source", subject.alias("page_subject"), lines.alias("ls"))
         rows = rows.select(
             "doc_id", "source", "page_subject", (F.size("ls") * 60 + 80).alias("page_height"),

@@ -292,7 +292,7 @@ FROM (SELECT CAST(doc_id AS VARCHAR) AS page_id, pos AS i, line FROM v_split)
 @query("merge_boxes", merging("v_line_boxes", 20, 5))
 def _(t):
     """Boxes of a page, one per line of a document, joined where they touch."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     made = F.transform(
         lines,
         lambda s, i: F.struct(
