@@ -17,6 +17,7 @@ from foliospark.settings import BandRules
 
 RULES = BandRules()
 KEY = ["series_id"]
+MAX_FEW_PARTS = scale.MAX_BIG_GROUPS  # most parts of series that are broadcast
 
 
 def project_counts(points: DataFrame, length: DataFrame | None = None, rows: int | None = None) -> DataFrame:
@@ -229,37 +230,47 @@ def recursive_splits(
     Every level handles all open parts of all series at once. A part is kept whole if it is low, has no valley, or
     would leave a part that is empty, too low or below ``min_part_ratio`` of it. The series are written once, as a range
     index; the smoothed value at a position of a part, the sums beside a valley and the marks at a part's ends are
-    looked up there at every level. ``width`` is constant per series. Returns series_id, part (its path of splits),
-    low and high (exclusive) positions.
+    looked up there at every level, and never moved whole to the driver, however small its file is. ``width`` is constant
+    per series. Returns series_id, part (its path of splits), low and high (exclusive) positions.
     """
     window = max(4, rules.smooth_rows // 2)
     index = range_index(series, window, rows)
     whole = series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_end"), F.max(width.cast("double")).alias("_w"), F.sum("value").alias("upto"))
     zero = F.lit(0).cast("bigint")
-    live = whole.select(
+    live = scale.checkpointed(whole.select(
         *KEY, F.lit("").alias("part"), zero.alias("low"), F.col("_end").cast("bigint").alias("high"), zero.alias("before"), "upto", "_end", "_w"
-    )
+    ))
     out, done = [*KEY, "part", "low", "high"], []
     for _ in range(rules.split_depth):
-        cuts = _part_valleys(index, live.where(F.col("high") - F.col("low") >= rules.split_min_height), window, rules, rows)
-        sides = _sides(index, live.join(cuts, [*KEY, "part"]), rules)
+        few = live.count() <= MAX_FEW_PARTS
+        cuts = _part_valleys(index, live.where(F.col("high") - F.col("low") >= rules.split_min_height), window, rules, few, rows)
+        sides = scale.checkpointed(_sides(index, live.join(cuts, [*KEY, "part"]), rules, few))
         fine = sides.groupBy(*KEY, "part").agg(F.bool_and("ok").alias("_fine")).where("_fine").select(*KEY, "part")
         done.append(live.join(fine, [*KEY, "part"], "left_anti").select(*out))
         children = sides.join(fine, [*KEY, "part"], "left_semi")
         live = scale.checkpointed(_with_sums(index, children.select(
             *KEY, F.concat("part", "s").alias("part"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "_end", "_w"
-        )))
+        ), few))
     for part in done:
         live = live.select(*out).unionByName(part)
     return live
 
 
-def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRules, rows: int | None) -> DataFrame:
+def _look_up(parts: DataFrame, index: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Join parts to positions of the index.
+
+    Its file is so small for its rows that Spark would gather it in the driver. A counted few parts go to the index
+    instead; with more, both sides are moved by key.
+    """
+    return F.broadcast(parts).join(index, keys) if few else parts.join(index.hint("merge"), keys)
+
+
+def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRules, few: bool, rows: int | None) -> DataFrame:
     """Where each part splits, as (series_id, part, _at); parts without a valley give no row."""
     keys = [*KEY, "part"]
     first, last = scale.slice_of("low", rows), scale.slice_of(F.greatest(F.col("low"), F.col("high") - 1), rows)
     touched = parts.withColumn(scale.SLICE, F.explode(F.sequence(first, last)))
-    found = index.join(touched, [*KEY, scale.SLICE]).where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
+    found = _look_up(touched, index, [*KEY, scale.SLICE], few).where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
     pos, low, high = F.col("pos"), F.col("low"), F.col("high")
     upper = F.when(pos + window >= high, F.col("upto")).otherwise(F.col("ahead"))
     lower = F.when(pos - window <= low, F.col("before")).otherwise(F.col("behind"))
@@ -279,7 +290,8 @@ def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRu
         (F.col("_length") >= rules.min_valley_rows) & (F.col("_split") >= margin) & (n - F.col("_split") >= margin)
     )
     sums = index.select(*KEY, F.col("pos").alias("_at"), (F.col("cum") - F.col("value")).alias("_cum"))
-    runs = runs.withColumn("_at", (low + F.col("_split")).cast("bigint")).join(sums, [*KEY, "_at"])
+    runs = runs.withColumn("_at", (low + F.col("_split")).cast("bigint"))
+    runs = _look_up(runs, sums, [*KEY, "_at"], few=False)  # runs may be many
     dense, score = _valley_score(
         F.col("_length"), F.col("_depth_sum"), F.col("_split"), n, F.col("_peak"), F.col("_cum") - F.col("before"), F.col("upto") - F.col("before"), F.col("_w"), rules
     )
@@ -287,7 +299,7 @@ def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRu
     return best.select(*keys, F.col("_best._at").alias("_at"))
 
 
-def _sides(index: DataFrame, cut: DataFrame, rules: BandRules) -> DataFrame:
+def _sides(index: DataFrame, cut: DataFrame, rules: BandRules, few: bool) -> DataFrame:
     """Both sides of each split, trimmed to their marks, padded and grown, and whether each is large enough."""
     marks = index.select(*KEY, F.col("pos").alias("_look"), "ink_prev", "ink_next")
     looks = cut.select("*", F.explode(F.array(
@@ -296,7 +308,7 @@ def _sides(index: DataFrame, cut: DataFrame, rules: BandRules) -> DataFrame:
     )).alias("side")).select("*", "side.*").drop("side")
     first = marks.select(*KEY, F.col("_look").alias("lo"), F.col("ink_next").alias("_i0"))
     last = marks.select(*KEY, (F.col("_look") + 1).alias("hi"), (F.col("ink_prev") + 1).alias("_i1"))
-    held = looks.join(first, [*KEY, "lo"]).join(last, [*KEY, "hi"])
+    held = _look_up(_look_up(looks, first, [*KEY, "lo"], few), last, [*KEY, "hi"], few)
     pad, grow, lo, hi = int(rules.slice_pad), int(rules.slice_grow), F.col("lo"), F.col("hi")
     low = F.greatest(F.lit(0), F.greatest(lo, F.col("_i0") - pad) - grow).cast("bigint")
     high = F.least(F.col("_end"), F.least(hi, F.col("_i1") + pad) + grow).cast("bigint")
@@ -306,9 +318,9 @@ def _sides(index: DataFrame, cut: DataFrame, rules: BandRules) -> DataFrame:
     return held.select(*KEY, "part", "s", "_end", "_w", ok.alias("ok"), low.alias("new_low"), high.alias("new_high"))
 
 
-def _with_sums(index: DataFrame, parts: DataFrame) -> DataFrame:
+def _with_sums(index: DataFrame, parts: DataFrame, few: bool) -> DataFrame:
     """Add each part's sums before its low and up to its high."""
     sums = index.select(*KEY, "pos", "cum", "value")
     starts = sums.select(*KEY, F.col("pos").alias("low"), (F.col("cum") - F.col("value")).alias("before"))
     ends = sums.select(*KEY, (F.col("pos") + 1).alias("high"), F.col("cum").alias("upto"))
-    return parts.join(starts, [*KEY, "low"]).join(ends, [*KEY, "high"])
+    return _look_up(_look_up(parts, starts, [*KEY, "low"], few), ends, [*KEY, "high"], few)

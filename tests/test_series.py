@@ -178,3 +178,17 @@ def test_columns(spark):
     got = {r.series_id: r for r in series.split_columns(df).collect()}
     assert (got["s"].column_count, got["s"].split_pos, got["s"].left_width, got["s"].right_width) == (2, 45, 30, 80)
     assert got["t"].column_count == 1 and got["t"].split_pos is None
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_range_index_is_never_broadcast(spark, few):
+    """A long series packs into a tiny file; looking it up moves the parts, not the index."""
+    value = F.when(F.col("pos") % 200 < 120, 40).otherwise(0).cast("bigint").alias("value")
+    made = spark.range(20_000).select((F.col("id") % 2).alias("series_id"), F.floor(F.col("id") / 2).alias("pos")).select("*", value)
+    index = series.range_index(made, 5)
+    schema = "series_id bigint, part string, low bigint, high bigint"
+    plan = series._with_sums(index, spark.createDataFrame([(0, "", 0, 10_000), (1, "a", 200, 400)], schema), few)
+    assert sorted((r.series_id, r.before, r.upto) for r in plan.collect()) == [(0, 0, 240_000), (1, 4_800, 9_600)]
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in text) == few
+    assert "BuildRight" not in text  # the index is on the right
