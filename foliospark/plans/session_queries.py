@@ -76,12 +76,10 @@ def page_folder(t: Tables) -> str:
     """Blocks and problems of all documents written as page files."""
     def write() -> str:
         path = scale.fresh_path(t.spark, "pages")
-        lines = t.lines.groupBy("page_id", "block_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-        lines = lines.withColumn("ocr_lines", F.transform("l", lambda e: F.struct(
+        blocks = t.read_blocks.withColumn("ocr_lines", F.transform("ocr_lines", lambda e: F.struct(
             e["text"].alias("text"), F.lit(None).cast("double").alias("confidence"),
             F.lit(None).cast("struct<left:double,top:double,width:double,height:double>").alias("bbox"),
-        ))).drop("l")
-        blocks = t.block_table.drop("doc_id", "source", "line", "ocr_lines").join(lines, ["page_id", "block_id"], "left")
+        ))).drop("doc_id", "source", "line")
         page_files.write_pages(blocks, grouped(t), path)
         return path
 

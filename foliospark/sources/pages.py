@@ -56,8 +56,8 @@ def nest_pages(
         held("labels", "array<string>"), held("children", "array<string>"),
         F.struct(*[held(n, d) if n in blocks.columns else old(n, d) for n, d in BLOCK_META.items()]).alias("metadata"),
     )
-    keys = ["page_id", "page_width", "page_height", "page_subject"]
-    rows = scale.folded(blocks, keys, F.col("reading_order"), {"blocks": block}, part_items=part_items)
+    facts = [F.min(n).alias(n) for n in ("page_width", "page_height", "page_subject")]  # one value a page; grouped as it is joined below
+    rows = scale.folded(blocks, ["page_id"], F.col("reading_order"), {"blocks": block}, totals=facts, part_items=part_items)
     lists = {
         f"{r}_block_ids": F.when(F.col("role") == r, F.col("block_id")) for r in ("stem", "choice", "explanation", "figure")
     }

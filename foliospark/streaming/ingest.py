@@ -13,12 +13,18 @@ from foliospark.operators.flatten import explode_blocks, explode_lines, explode_
 from foliospark.schema import PAGE_DDL
 
 
-def page_stream(spark: SparkSession, folder: str, *, max_files: int = 1000, json_lines: bool = False) -> DataFrame:
-    """New page files of a folder as a stream; schema given, files in bounded batches."""
+BATCH_BYTES = 256 * 2**20  # page files of one batch that is held while its tables are written
+
+
+def page_stream(
+    spark: SparkSession, folder: str, *, max_files: int = 1000, max_bytes: int | None = None, json_lines: bool = False
+) -> DataFrame:
+    """New page files of a folder as a stream; schema given, files in batches bounded by number, or by bytes if given."""
+    limit = ("maxFilesPerTrigger", max_files) if max_bytes is None else ("maxBytesPerTrigger", max_bytes)
     return (
         spark.readStream.schema(PAGE_DDL)
         .option("multiLine", not json_lines)
-        .option("maxFilesPerTrigger", max_files)
+        .option(*limit)
         .json(folder)
         .select("*", F.col("_metadata.file_path").alias("file_path"))
     )
@@ -59,13 +65,15 @@ COMMIT = "batch_id bigint, pages bigint, " + ", ".join(f"{name} bigint" for name
 
 
 def ingest_pages(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_files: int = 1000, json_lines: bool = False
+    spark: SparkSession, folder: str, out: str, checkpoint: str, *, max_files: int | None = None,
+    max_bytes: int = BATCH_BYTES, json_lines: bool = False,
 ) -> StreamingQuery:
     """Append blocks, lines and problems of new page files to the three tables under ``out``, from one read.
 
     Each batch is parsed once, held while its rows are written, and counted by the writes themselves. A batch has a
     folder of its own in every table, named by its number, and a row in ``commits``, written last. If a batch is run again
     after a failure, it replaces what it left, so nothing is lost or doubled; ``ingested`` shows committed batches only.
+    A batch is bounded by bytes, so that what is held stays in memory; ``max_files`` bounds it by number instead.
     Runs over what is there and stops.
     """
 
@@ -74,13 +82,14 @@ def ingest_pages(
         seen = {name: Observation(name) for name in TABLES}
         for name, rows_of in TABLES.items():
             rows = rows_of(pages).observe(seen[name], F.count(F.lit(1)).alias("n"))
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}/batch_id={batch_id}")
         counts = (pages.count(), *[seen[name].get["n"] for name in TABLES])
         commit = pages.sparkSession.createDataFrame([(batch_id, *counts)], COMMIT).coalesce(1)
         commit.write.mode("overwrite").parquet(f"{out}/commits/{batch_id}")
         pages.unpersist()
 
-    pages = page_stream(spark, folder, max_files=max_files, json_lines=json_lines)
+    limit = {"max_bytes": max_bytes} if max_files is None else {"max_files": max_files}
+    pages = page_stream(spark, folder, **limit, json_lines=json_lines)
     return (
         pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )

@@ -203,3 +203,21 @@ def test_one_read_fills_three_tables_and_a_replay_adds_nothing(spark, folder):
 
 def test_shared_folder_is_the_named_one(spark):
     assert spark.conf.get("spark.checkpoint.dir") in scale.shared_folder(spark)
+
+
+def test_batches_are_bounded_by_bytes(spark, folder):
+    out, log = str(folder / "by-bytes"), str(folder / "by-bytes-log")
+    ingest.ingest_pages(spark, str(folder / "in"), out, log, max_bytes=1).awaitTermination()
+    assert sorted(r.pages for r in ingest.commits(spark, out).collect()) == [1, 2]  # a batch for each file
+    assert ingest.ingested(spark, out, "lines").count() == 3
+
+
+def test_pages_are_moved_once(spark):
+    """Folded pages meet their problems where they are; only the problems move again."""
+    columns = "page_id string, page_width int, page_height int, page_subject string, block_id string, block_type string, left double, top double, width double, height double, reading_order int, text string"
+    blocks = spark.createDataFrame([("p", 1, 1, "math", "b", "stem", 0.0, 0.0, 1.0, 1.0, 0, "t")], columns)
+    units = spark.createDataFrame([("p", "u", 1, "math", "b", "stem", 0)], "page_id string, unit_id string, problem_index bigint, subject string, block_id string, role string, reading_order int")
+    made = files.nest_pages(blocks, units)
+    assert [(r.width_px, r.subject, len(r.blocks), len(r.problems)) for r in made.collect()] == [(1, "math", 1, 1)]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "page_width" not in "".join(line for line in plan.splitlines() if "keys=" in line and "HashAggregate" in line).split("functions=")[0]
