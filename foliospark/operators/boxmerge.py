@@ -8,7 +8,8 @@ A round goes over a page's boxes by top and left; each joins the first settled b
 * those whose tops are level with it stand at the end of the settled boxes, since tops only grow.
 
 Each of the three gives its settled boxes in order and on demand, so the first one that belongs is found after
-few looks, and a round takes about n log n steps for n boxes.
+few looks, and a round takes about n log n steps for n boxes. Up to ``FEW`` boxes are compared one by one, as
+that takes less time than the trees.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 NONE = 1 << 60
 NEST_RATIO = 1.4
 BATCH = 20_000  # boxes of a result batch
+FEW = 64  # boxes of a round that need no trees
 
 
 class Edges(NamedTuple):
@@ -131,6 +134,30 @@ class Bottoms:
                     stack += [2 * node + 1, 2 * node]
 
 
+def scanned(boxes: list[tuple], gap_x: float, gap_y: float) -> list[tuple]:
+    """``settled`` for few boxes: ``belongs`` with every settled box in turn, without making a box for each look."""
+    out: list[tuple] = []
+    for box in boxes:
+        top, left, right, bottom = box
+        for at, (t, l, r, b) in enumerate(out):  # noqa: E741
+            across = (r if r < right else right) - (l if l > left else left)
+            down = (b if b < bottom else bottom) - (t if t > top else top)
+            if not (
+                across > 0 or down > 0 or abs(top - t) <= gap_y
+                or (0 <= top - b <= gap_y and across > -gap_x) or (0 <= left - r <= gap_x and down > -gap_y)
+            ):
+                continue
+            if (l <= left and t <= top and r >= right and b >= bottom) or (l >= left and t >= top and r <= right and b <= bottom):
+                one, other = (r - l) * (b - t), (right - left) * (bottom - top)
+                if max(one, other) >= min(one, other) * NEST_RATIO:
+                    continue
+            out[at] = min(t, top), min(l, left), max(r, right), max(b, bottom)
+            break
+        else:
+            out.append(box)
+    return out
+
+
 def settled(boxes: list[Edges], gap_x: float, gap_y: float) -> list[Edges]:
     """One round over boxes in order of top and left."""
     edges = sorted({x for b in boxes for x in (b.left, b.right)})
@@ -156,13 +183,17 @@ def settled(boxes: list[Edges], gap_x: float, gap_y: float) -> list[Edges]:
     return out
 
 
-def merged(boxes: list[Edges], gap_x: float, gap_y: float) -> list[Edges]:
+def merged(boxes: list[tuple], gap_x: float, gap_y: float) -> list[Edges]:
     """Rounds until no box joins; boxes with one corner keep their order."""
-    boxes, before = sorted(boxes, key=lambda b: b[:2]), None
+    corner = itemgetter(0, 1)
+    boxes, before = sorted(boxes, key=corner), None
     while before != len(boxes):
         before = len(boxes)
-        boxes = sorted(settled(boxes, gap_x, gap_y), key=lambda b: b[:2])
-    return boxes
+        if before <= FEW:
+            boxes = sorted(scanned(boxes, gap_x, gap_y), key=corner)
+        else:
+            boxes = sorted(settled([Edges(*b) for b in boxes], gap_x, gap_y), key=corner)
+    return [Edges(*b) for b in boxes]
 
 
 def merge_page_boxes(boxes: DataFrame, gap_x: float = 48.0, gap_y: float = 28.0) -> DataFrame:
@@ -204,7 +235,7 @@ def merge_page_boxes(boxes: DataFrame, gap_x: float = 48.0, gap_y: float = 28.0)
                     if len(out) >= BATCH:
                         yield flushed()
                 page = key
-                held.append(Edges(*box))
+                held.append(tuple(box))
         if held:
             finish()
         if kind is not None:

@@ -73,3 +73,15 @@ def test_twenty_thousand_boxes_on_a_page_in_seconds():
     assert boxmerge.merged(lines, 20, 10) == [Edges(0.0, 0.0, 900.0, 20_000 * 50.0 - 40)]
     assert len(boxmerge.merged(pairs, 20, 10)) == 10_000
     assert time.time() - began < 60
+
+
+def test_few_boxes_are_compared_one_by_one(monkeypatch):
+    """With and without trees the same, around the limit too; a small page takes no trees."""
+    dealer = random.Random(5)
+    for n in [*range(0, 20), 63, 64, 65, 66, 90]:
+        for size in ([3, 8, 20], [0, 50, 900]):
+            boxes = made(dealer, n, dealer.choice([200, 900, 9000]), size, dealer.choice([1, 10]))
+            assert boxmerge.merged(boxes, 20, 5) == plain(boxes, 20, 5)
+    monkeypatch.setattr(boxmerge, "Shadows", None)
+    boxes = made(dealer, 30, 400, [3, 8, 20])
+    assert boxmerge.merged(boxes, 20, 5) == plain(boxes, 20, 5)
