@@ -67,7 +67,7 @@ def has_overlap_marker(text: Column) -> Column:
 
 def problem_number(text: Column) -> Column:
     digits = F.concat(F.regexp_extract(text, PROBLEM_REGEX, 1), F.regexp_extract(text, PROBLEM_REGEX, 2))
-    return F.when(digits != "", digits).cast("int")
+    return F.when(text.rlike(PROBLEM_REGEX), digits).cast("int")  # most texts have none and are looked at once
 
 
 def best_line_number(lines: Column, width: Column, height: Column) -> Column:
@@ -128,9 +128,11 @@ def text_block_type(text: Column) -> Column:
     )
 
 
-def subject_words(text: Column) -> dict[str, Column]:
-    """Whether a text holds a subject's words, in order of precedence."""
-    lowered = F.lower(text)
+def subject_words(lowered: Column) -> dict[str, Column]:
+    """Whether a lower-cased text holds a subject's words, in order of precedence.
+
+    Give a column that is lower-cased already; an expression would be evaluated for each word.
+    """
     words = {"math": MATH_SUBJECT_WORDS, "science": SCIENCE_SUBJECT_WORDS, "korean": KOREAN_SUBJECT_WORDS}
     return {s: F.coalesce(contains_any(lowered, w), F.lit(False)) for s, w in words.items()}
 

@@ -74,10 +74,10 @@ def tag_blocks(blocks: DataFrame, numbers: DataFrame | None = None) -> DataFrame
             "_raw": tx.strip(tx.filled(text)),
             "_source": tx.title_source(display, text),
             "_forced": _flag("force_problem_start", blocks),
-            "_titled": F.coalesce(display != "", F.lit(False)),
+            "_titled": F.coalesce(display != "", F.lit(False)), "_lowered": F.lower(text),
         }
-    )
-    text_number = tx.problem_number(F.col("_source"))
+    ).withColumn("_text_number", tx.problem_number(F.col("_source")))
+    text_number = F.col("_text_number")
     tagged = tagged.withColumns(
         {
             "problem_number": F.coalesce("line_number", text_number),
@@ -112,7 +112,7 @@ def tag_blocks(blocks: DataFrame, numbers: DataFrame | None = None) -> DataFrame
             ).otherwise(F.col("_source")),
         }
     )
-    words = {f"says_{s}": hit for s, hit in tx.subject_words(text).items()}
+    words = {f"says_{s}": hit for s, hit in tx.subject_words(F.col("_lowered")).items()}
     tagged = tagged.withColumns(
         {
             "is_start": starts(F.col("block_type")), "has_text": F.coalesce(text != "", F.lit(False)),
@@ -120,7 +120,7 @@ def tag_blocks(blocks: DataFrame, numbers: DataFrame | None = None) -> DataFrame
         }
     )
     return tagged.withColumnRenamed("_forced", "forced_start").drop(
-        "_raw", "_source", "_titled", "_raw_marker", "line_number", "line_source"
+        "_raw", "_source", "_titled", "_lowered", "_text_number", "_raw_marker", "line_number", "line_source"
     )
 
 
@@ -145,8 +145,8 @@ def page_subject(found: dict[str, Column], default: Column) -> Column:
 
 def infer_subject(blocks: DataFrame) -> DataFrame:
     """Subject of each page from its text."""
-    words = tx.subject_words(F.col("text"))
-    said = blocks.select("page_id", "page_subject", *[c.alias(s) for s, c in words.items()])
+    words = tx.subject_words(F.col("_lowered"))
+    said = blocks.withColumn("_lowered", F.lower("text")).select("page_id", "page_subject", *[c.alias(s) for s, c in words.items()])
     hits = {s: F.max(s) for s in words}
     found = said.groupBy("page_id", "page_subject").agg(page_subject(hits, F.lit(None)).alias("found"))
     return found.select("page_id", F.coalesce("found", "page_subject").alias("subject"))

@@ -144,3 +144,13 @@ def test_parts_of_a_long_problem(spark):
     parts = grouping.assemble_problems(found, part_items=10).orderBy("part").collect()
     assert [len(r.stem_block_ids) for r in parts] == [10, 10, 5]
     assert sum((r.stem_block_ids for r in parts), []) == [f"p-{i}" for i in range(25)]
+
+
+def test_tagging_lowers_a_text_once(spark):
+    """Twenty subject words are looked for in one lower-cased text."""
+    blocks = spark.createDataFrame([("p", "b", 0, "stem", "A SIN and 보기")], "page_id string, block_id string, reading_order int, block_type string, text string")
+    tagged = grouping.tag_blocks(blocks.withColumns({"width": F.lit(1.0), "height": F.lit(1.0), "page_subject": F.lit("x")}).repartition(1))
+    row = tagged.first()
+    assert (row.says_math, row.says_korean, row.says_science) == (True, True, False)
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert not [c for c in tagged.columns if c.startswith("_")]
