@@ -2,7 +2,9 @@
 
 Words are assigned to classes by exchange in batches: a word moves to the class
 under which its neighbours are likeliest, the class distributions are summed anew,
-and so on for ``ROUNDS`` rounds.
+and so on for ``ROUNDS`` rounds. This is done twice. At first only neighbours that are
+context words are told apart and counted; then every neighbour is counted, context words one by one
+and all others by the class they have got, so no neighbour is left out.
 
 The vocabulary is all of the training documents'. Two thresholds are relative to
 the corpus, so that what they select has a proven bound: *core* words make up at
@@ -119,13 +121,17 @@ def before(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(out >= first, out, -1)
 
 
-def neighbours(docs: DataFrame, text: str, core, contexts: int) -> DataFrame:
-    """w, cells, n: for each core word how often each context word stands before it (cell v) or after it (contexts + v)."""
+def neighbours(docs: DataFrame, text: str, core, cells: np.ndarray, side: int) -> DataFrame:
+    """w, cells, n: for each core word how often core words stand before it (cell ``cells[v]``) or after it (``side + cells[v]``).
+
+    Core words v with a negative cell are not counted.
+    """
     source = docs.select(F.col(text).cast("string").alias("_text"))
-    width = 2 * contexts
+    width = 2 * side
+    dealt = docs.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(core.value)
+        reader, cell = Reader(core.value), dealt.value
         held, size = [], 0
 
         def rows() -> pa.RecordBatch:
@@ -140,8 +146,9 @@ def neighbours(docs: DataFrame, text: str, core, contexts: int) -> DataFrame:
                 back = before(numbers, starts)
                 here = np.flatnonzero((numbers >= 0) & (back >= 0))
                 left, right = numbers[back[here]], numbers[here]
-                held.append(right[left < contexts] * width + left[left < contexts])
-                held.append(left[right < contexts] * width + contexts + right[right < contexts])
+                before_it, after_it = cell[left], cell[right]
+                held.append((right * width + before_it)[before_it >= 0])
+                held.append((left * width + side + after_it)[after_it >= 0])
                 size += len(held[-1]) + len(held[-2])
                 if size > 10 * FLUSH:
                     yield rows()
@@ -207,12 +214,25 @@ def choose_seeds(x: np.ndarray, classes: int) -> np.ndarray:
 
 
 def core_classes(docs: DataFrame, text: str, corpus: Corpus, core, classes: int, rounds: int) -> np.ndarray:
-    """Class of each core word."""
-    out = np.zeros(len(corpus.core), np.int32)
+    """Class of each core word, by all its core neighbours."""
+    number = np.arange(len(corpus.core), dtype=np.int64)
     if not corpus.contexts:
-        return out
-    stage, width = Stage(docs.sparkSession), 2 * corpus.contexts
-    vectors = stage.keep(neighbours(docs, text, core, corpus.contexts), "vectors")
+        return np.zeros(len(number), np.int32)
+    context = number < corpus.contexts
+    first = clustered(docs, text, corpus, core, np.where(context, number, -1), corpus.contexts, classes, rounds)
+    if context.all():
+        return first
+    cells = np.where(context, number, corpus.contexts + first)
+    return clustered(docs, text, corpus, core, cells, corpus.contexts + classes, classes, rounds)
+
+
+def clustered(
+    docs: DataFrame, text: str, corpus: Corpus, core, cells: np.ndarray, side: int, classes: int, rounds: int
+) -> np.ndarray:
+    """Class of each core word, by the cells of its neighbours; 0 where none is counted."""
+    out = np.zeros(len(corpus.core), np.int32)
+    stage, width = Stage(docs.sparkSession), 2 * side
+    vectors = stage.keep(neighbours(docs, text, core, cells, side), "vectors")
     top = vectors.where(F.col("w") < corpus.contexts).orderBy("w").toArrow().combine_chunks()
     if not top.num_rows:
         return out

@@ -69,3 +69,31 @@ def test_odd_rows(odd, empty):
     assert classlm.score(empty, F.lit(True)).count() == 0
     none = classlm.score(odd, F.lit(False)).collect()
     assert all(r.n_known == r.train_tokens == 0 and r.base_score == r.score == 0 for r in none)
+
+
+def test_neighbours_that_are_not_frequent_count(spark, monkeypatch):
+    """x and y words have the same frequent neighbours; only the rare words around tell them apart."""
+    monkeypatch.setattr(classlm, "CONTEXT", 4)
+    rows = []
+    for i in range(300):
+        kind = "xy"[i % 2]
+        rows.append((f"the {kind}a{i % 7} {kind}b{i % 5} the the {kind}b{i % 5} {kind}a{i % 7} the",))
+    docs = spark.createDataFrame(rows, "text string")
+    corpus = classlm.gather(docs, "text")
+    core = spark.sparkContext.broadcast(corpus.core)
+    words = {w: i for i, w in enumerate(corpus.core)}
+    assert corpus.contexts == 2 and corpus.core[:2] == [b"the", b"\n"]
+    cells = [0, 1, *[2 + (w[:1] == b"y") for w in corpus.core[2:]]]
+    found = {r.w: dict(zip(r.cells, r.n)) for r in classlm.neighbours(docs, "text", core, classlm.np.array(cells), 4).collect()}
+    pairs = Counter()
+    for (t,) in rows:
+        seen = tokens(t)
+        for a, b in zip(seen, seen[1:]):
+            pairs[words[b], cells[words[a]]] += 1
+            pairs[words[a], 4 + cells[words[b]]] += 1
+    assert {(w, c): n for w, held in found.items() for c, n in held.items()} == pairs
+    counted = []
+    plain = classlm.neighbours
+    monkeypatch.setattr(classlm, "neighbours", lambda *a: counted.append(a[3]) or plain(*a))
+    classlm.core_classes(docs, "text", corpus, core, 4, 3)
+    assert (counted[-1] >= 0).all() and len(counted[-1]) == len(corpus.core)
