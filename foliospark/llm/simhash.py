@@ -3,11 +3,12 @@
 A fingerprint of 64 bits is cut into blocks. Two fingerprints that differ in at
 most d bits agree in all but d blocks, so every choice of ``blocks - d`` blocks
 is a join key and no close pair is missed (``close_groups``). Word overlap of 0.8
-moves about 15 % of the bits, too many for that; ``similar_groups`` uses a
-wider fingerprint of many blocks, of which such pairs share at least one with more than
-99 % probability, and checks all bits. Bits only propose a pair: the overlap of the
-two shingle sets decides. Texts of few shingles, whose bits say little, meet in
-their rarest shingles instead, which misses no pair.
+moves about 15 % of the bits, too many for that; in ``similar_groups`` texts meet
+in a fifth of their shingles, the first in one order of all shingles, and a pair with that
+overlap has one of these in common. Wider fingerprints of those that meet are
+compared, and the overlap of the two shingle sets decides. Which order it is changes
+no result: shingles found often in a part of the texts come last, so few
+texts meet. Of texts of few shingles, whose bits say little, the sets alone are compared.
 
 Groups of copies are never expanded into pairs. Equal fingerprints are one node.
 In each bucket (rows with one key) every node is first checked against the
@@ -24,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,8 @@ from foliospark.llm.templates import MAP_BITS, key_map
 SEED = 42
 KEY = "__llm_key"
 LANES = 52  # of 64 bits, for word overlap
-WIDTH = 20  # bits of one block of the wide fingerprint
+PART = 16  # shingles are counted in one of so many texts, to put frequent ones last
+OFTEN = (2, 8, 64, 512)  # texts of that part with a shingle, from which it stands one level later
 RATE = 0.185  # share of differing bits beyond which a pair isn't looked at; at an overlap of 0.8, 0.151 to 0.161 is expected (by parity), with a deviation of 0.006
 MINI = 24  # differing bits of the first lane, likewise
 FEW = 32  # a text of so many shingles or fewer is compared by its shingles, as is its partner, which has at most 5 / 4 as many
@@ -103,25 +105,56 @@ def fingerprints(
     return source.mapInArrow(run, schema)
 
 
-def word_prints(docs: DataFrame, keep: list[str], text: str, size: int, lanes: int) -> DataFrame:
-    """The kept columns, ``n`` (distinct shingles), ``bits`` (none up to ``FEW`` shingles) and ``few`` (the sorted
-    distinct shingles, none beyond ``MANY``)."""
+def word_prints(docs: DataFrame, keep: list[str], text: str, size: int, lanes: int, common: list[np.ndarray]) -> DataFrame:
+    """The kept columns, ``n`` (distinct shingles), ``bits`` and ``keys`` (none up to ``FEW`` shingles) and ``few`` (the
+    sorted distinct shingles, none beyond ``MANY``). ``keys`` are the first n - 4 / 5 n + 1 shingles by level and hash; the
+    level is how many of the bit maps ``common`` hold a shingle."""
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast([m.tobytes() for m in common])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = [np.frombuffer(m, np.uint64) for m in shared.value]
         for batch in batches:
-            n, bits, few = [], [], []
+            n, bits, few, keys = [], [], [], []
             for data in raw(batch.column("_text")):
                 found = distinct_hashes(data, size)
                 n.append(len(found))
                 few.append(found.astype(np.int64) if len(found) <= MANY else found[:0].astype(np.int64))
                 longs = fingerprint(data, size, lanes, distinct=True) if len(found) > FEW else b""
                 bits.append(np.frombuffer(longs, ">i8").astype(np.int64))
-            columns = [batch.column(k) for k in keep] + [pa.array(n, pa.int32()), _lists(bits), _lists(few)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n", "bits", "few"])
+                level = np.add.reduce([in_map(m, found) for m in maps], dtype=np.int8)
+                places = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) > FEW else 0
+                keys.append(found[np.argsort(level, kind="stable")[:places]].astype(np.int64))
+            columns = [batch.column(k) for k in keep] + [pa.array(n, pa.int32()), _lists(bits), _lists(few), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n", "bits", "few", "keys"])
 
     schema = docs.select(*keep).schema.add("n", T.IntegerType())
-    return source.mapInArrow(run, schema.add("bits", T.ArrayType(T.LongType())).add("few", T.ArrayType(T.LongType())))
+    for name in ("bits", "few", "keys"):
+        schema = schema.add(name, T.ArrayType(T.LongType()))
+    return source.mapInArrow(run, schema)
+
+
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set in a map that ``key_map`` made."""
+    low = hashes & np.uint64((1 << MAP_BITS) - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def frequent_shingles(texts: DataFrame, size: int) -> list[np.ndarray]:
+    """A bit map for each entry of ``OFTEN``, of shingles that so many texts have among those whose ``mark`` is divisible by ``PART``."""
+    stage = Stage(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in raw(batch.column("text")):
+                found = distinct_hashes(data, size).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found)], ["key"])
+
+    part = texts.where(F.pmod("mark", F.lit(PART)) == 0).select("text").mapInArrow(run, "key long")
+    counted = stage.keep(part.groupBy("key").count().where(F.col("count") >= OFTEN[0]), "frequent")
+    maps = [key_map(counted.where(F.col("count") >= least).select("key")) for least in OFTEN]
+    stage.drop(counted)
+    return maps
 
 
 def distinct_hashes(text: bytes, size: int) -> np.ndarray:
@@ -141,8 +174,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         bits = np.frombuffer(shared.value, np.uint64)
         for batch in batches:
             marks, at = np.unique(batch.column("mark").to_numpy(), return_index=True)
-            low = marks.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-            hit = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)) > 0
+            hit = in_map(bits, marks.view(np.uint64))
             found = raw(batch.column("text").take(pa.array(at[hit], pa.int64())))
             sets = _lists([distinct_hashes(t, size).astype(np.int64) for t in found])
             yield pa.RecordBatch.from_arrays([pa.array(marks[hit], pa.int64()), sets], ["node", "set"])
@@ -178,18 +210,6 @@ def block_keys(bits: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
-def wide_keys(bits: Column, lanes: int, width: int) -> Column:
-    """One key for each run of ``width`` bits of the wide fingerprint."""
-    keys = []
-    for number in range(lanes * 64 // width):
-        lane, at = divmod(number * width, 64)
-        part = F.shiftrightunsigned(bits.getItem(lane), at)
-        if at + width > 64:
-            part = part.bitwiseOR(F.shiftleft(bits.getItem(lane + 1), 64 - at))
-        keys.append(part.bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) + F.lit(number << width).cast("bigint"))
-    return F.array(*keys)
-
-
 def differing(a: Column, b: Column, lanes: int) -> Column:
     total = F.lit(0)
     for i in range(lanes):
@@ -198,10 +218,11 @@ def differing(a: Column, b: Column, lanes: int) -> Column:
 
 
 def linked(
-    nodes: DataFrame, keys: Column, lanes: int, limit: int, mini: int | None = None,
+    nodes: DataFrame, keys: Column | DataFrame, lanes: int, limit: int, mini: int | None = None,
     test: Callable[[Column, Column], Column] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(node, root) for nodes with a link; ``nodes`` is a written table of node, copies, bits.
+    """(node, root) for nodes with a link; ``nodes`` is a written table of node, copies, bits. ``keys`` is an array of it,
+    or rows of node and key, in which a row may be repeated.
 
     A link is a pair that shares a key and differs in at most ``limit`` bits, or passes ``test`` of both
     ``bits``, and that ``exact``, which takes and returns rows with a and b, leaves in. With ``mini``, the
@@ -210,10 +231,17 @@ def linked(
     test = test or (lambda a, b: differing(a, b, lanes) <= limit)
     stage = Stage(nodes.sparkSession)
     first = F.col("bits").getItem(0).alias("lane")
-    keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"))
     # Most rows are alone under their key and go at once, by the narrowest rows there are.
-    several = stage.keep(keyed.groupBy("key").count().where("count > 1").select("key"), "several")
-    shared = stage.keep(keyed.join(several.hint("merge"), "key"), "shared")
+    if isinstance(keys, DataFrame):
+        # Many keys for each node: they move once, with the node alone.
+        each = Window.partitionBy("key")
+        met = keys.select("key", "node").withColumns({"_least": F.min("node").over(each), "_most": F.max("node").over(each)})
+        met = met.where("_least <> _most").select("key", "node").distinct()
+        shared, several = stage.keep(met.join(nodes.select("node", "copies", first), "node"), "shared"), None
+    else:
+        keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"))
+        several = stage.keep(keyed.groupBy("key").count().where("count > 1").select("key"), "several")
+        shared = stage.keep(keyed.join(several.hint("merge"), "key"), "shared")
     buckets = shared.groupBy("key").agg(F.max(F.struct("copies", "node", "lane")).alias("rep"), F.count("*").alias("members"))
     buckets = stage.keep(buckets, "buckets")
 
@@ -265,7 +293,7 @@ def linked(
     late = late.select(F.col("node").alias("root"), F.col("root").alias("last"))
     every = merged.unionByName(late.select(F.col("root").alias("node"), "root")).distinct()
     out = stage.keep(every.join(late, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "groups")
-    stage.drop(several, shared, buckets, merged, grouped, mixed, rows)
+    stage.drop(*([several] if several is not None else []), shared, buckets, merged, grouped, mixed, rows)
     return out.distinct()
 
 
@@ -291,7 +319,7 @@ def close_groups(
 
 
 def similar_groups(
-    docs: DataFrame, doc_id: str, text: str, *, size: int = 5, lanes: int = LANES, width: int = WIDTH, rate: float = RATE
+    docs: DataFrame, doc_id: str, text: str, *, size: int = 5, lanes: int = LANES, rate: float = RATE
 ) -> DataFrame:
     """One row for each distinct (doc_id, text): doc_id, row_key (hash of both), group, first.
 
@@ -303,7 +331,8 @@ def similar_groups(
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     ids = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     ids = ids.withColumns({"mark": F.xxhash64("text"), "row_key": F.xxhash64("doc_id", "text")})
-    members = stage.keep(word_prints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes), "prints")
+    common = frequent_shingles(ids, size)
+    members = stage.keep(word_prints(ids, ["doc_id", "mark", "row_key"], "text", size, lanes, common), "prints")
     firsts = [F.first(k).alias(k) for k in ("n", "bits", "few")]
     nodes = stage.keep(members.groupBy(F.col("mark").alias("node")).agg(F.count("*").alias("copies"), *firsts), "nodes")
 
@@ -319,7 +348,8 @@ def similar_groups(
         return near
 
     many = nodes.where(F.col("n") > FEW).select("node", "copies", "bits")
-    groups = linked(many, wide_keys(F.col("bits"), lanes, width), lanes, int(rate * 64 * lanes), MINI, exact=exact)
+    keys = members.select(F.col("mark").alias("node"), F.explode("keys").alias("key"))
+    groups = linked(many, keys, lanes, int(rate * 64 * lanes), MINI, exact=exact)
     few = nodes.where((F.col("n") > 0) & (F.col("n") <= MANY)).select("node", "copies", F.col("few").alias("bits"))
     few = stage.keep(rare_keys(few), "few")
     groups = groups.unionByName(linked(few, F.col("keys"), MANY, 0, 64, test=overlapping))

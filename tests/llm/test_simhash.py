@@ -156,3 +156,31 @@ def test_texts_without_words_are_one_group(spark):
     found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     group = {r.doc_id: r.group for r in found.collect()}
     assert len({group[i] for i in (1, 2, 3, 4)}) == 1 and group[5] != group[1]
+
+
+def test_texts_that_share_nothing_never_meet(spark, monkeypatch):
+    """Blocks of bits meet by chance, with the square of the texts; shingles don't."""
+    met, keep = [], simhash.Stage.keep
+
+    def counting(self, df, name="llm"):
+        out = keep(self, df, name)
+        if name == "shared":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Stage, "keep", counting)
+    texts = [" ".join(run_of(f"u{i}", 60)) for i in range(3000)]
+    found = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    assert found.select("group").distinct().count() == 3000 and sum(met) == 0
+
+
+def test_long_texts_with_frequent_lines_meet_in_the_rest(spark):
+    """Lines that every text has come last in the order; pairs of exactly 4 / 5 are found all the same."""
+    line = " ".join(run_of("line", 30))
+    rows = []
+    for i in range(150):
+        own = " ".join(run_of(f"o{i}", 174))
+        rows += [(2 * i, f"{line} {own}"), (2 * i + 1, f"{line} {own} {' '.join(run_of(f'p{i}', 50))}")]
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", "text")
+    group = {r.doc_id: r.group for r in found.collect()}
+    assert all(group[2 * i] == group[2 * i + 1] for i in range(150)) and len(set(group.values())) == 150
