@@ -18,6 +18,7 @@ from foliospark.settings import BandRules
 RULES = BandRules()
 KEY = ["series_id"]
 MAX_FEW_PARTS = scale.MAX_BIG_GROUPS  # most parts of series that are broadcast
+SCORE_DIGITS = 9  # valleys whose scores agree to so many digits are equal, and the first one wins
 
 
 def project_counts(points: DataFrame, length: DataFrame | None = None, rows: int | None = None) -> DataFrame:
@@ -184,8 +185,13 @@ def valley_splits(series: DataFrame, width: Column, rules: BandRules = RULES, ro
     low = low.join(above, [*KEY, "split_pos"])
     dense, score = _valley_score(*map(F.col, ("_length", "_depth_sum", "split_pos", "_n", "_max", "_above", "_total", "_width")), rules)
     scored = low.where(dense >= rules.min_side_density).withColumn("score", score)
-    best = scored.groupBy(*KEY).agg(F.min(F.struct((-F.col("score")).alias("s"), "split_pos")).alias("_best"))
-    return best.select(*KEY, F.col("_best.split_pos").alias("split_pos"), (-F.col("_best.s")).alias("score"))
+    best = scored.groupBy(*KEY).agg(F.min(F.struct(_falling(score).alias("s"), "split_pos", "score")).alias("_best"))
+    return best.select(*KEY, F.col("_best.split_pos").alias("split_pos"), F.col("_best.score").alias("score"))
+
+
+def _falling(score: Column) -> Column:
+    """Orders scores from the best; equal ones differ in their last bits, by the order in which depths were added."""
+    return -F.round(score, SCORE_DIGITS)
 
 
 def _valley_score(
@@ -295,7 +301,7 @@ def _part_valleys(index: DataFrame, parts: DataFrame, window: int, rules: BandRu
     dense, score = _valley_score(
         F.col("_length"), F.col("_depth_sum"), F.col("_split"), n, F.col("_peak"), F.col("_cum") - F.col("before"), F.col("upto") - F.col("before"), F.col("_w"), rules
     )
-    best = runs.where(dense >= rules.min_side_density).groupBy(*keys).agg(F.min(F.struct((-score).alias("s"), "_at")).alias("_best"))
+    best = runs.where(dense >= rules.min_side_density).groupBy(*keys).agg(F.min(F.struct(_falling(score).alias("s"), "_at")).alias("_best"))
     return best.select(*keys, F.col("_best._at").alias("_at"))
 
 

@@ -165,6 +165,16 @@ def split_loop(vs, low, high, depth, rules):
     return [p for c, d in parts for p in split_loop(vs, c, d, depth + 1, rules)]
 
 
+def test_equal_valleys_split_at_the_first(spark):
+    """Two valleys with one score, but for the last bits of their sums."""
+    low = [2, 3, 3, 0, 0, 0, 0, 0, 2, 2, 2, 0]
+    vs = [7] * 16 + low + [7] * 11 + low[::-1] + [7] * 14
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(vs)], "series_id string, pos bigint, value bigint")
+    assert [r.split_pos for r in series.valley_splits(series.smooth(df, 4), F.lit(10.0), RULES).collect()] == [valley_loop(vs, 10.0, RULES)] == [21]
+    got = sorted((r.low, r.high) for r in series.recursive_splits(df, F.lit(10.0), RULES).collect())
+    assert got == split_loop(vs, 0, len(vs), 0, RULES) and got[0][1] < 30
+
+
 @pytest.mark.parametrize("rows", [None, 60])
 def test_recursive_splits(values, frame, rows):
     got = sorted((r.series_id, r.low, r.high) for r in series.recursive_splits(frame, F.lit(10.0), RULES, rows=rows).collect())
