@@ -234,14 +234,95 @@ def recursive_splits(
     """Split series at valleys, then the parts, to a fixed depth.
 
     Every level handles all open parts of all series at once. A part is kept whole if it is low, has no valley, or
-    would leave a part that is empty, too low or below ``min_part_ratio`` of it. The series are written once, as a range
-    index; the smoothed value at a position of a part, the sums beside a valley and the marks at a part's ends are
-    looked up there at every level, and never moved whole to the driver, however small its file is. ``width`` is constant
-    per series. Returns series_id, part (its path of splits), low and high (exclusive) positions.
+    would leave a part that is empty, too low or below ``min_part_ratio`` of it. ``width`` is constant per series.
+    A series that one task can hold meets its parts there, once a level; one that is longer than a slice is looked
+    up in a range index. Returns series_id, part (its path of splits), low and high (exclusive) positions.
     """
+    whole = series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_end"), F.max(width.cast("double")).alias("_w"), F.sum("value").alias("upto"))
+    whole = scale.checkpointed(whole)
+    long = whole.where(scale.slice_of(F.col("_end") - 1, rows) > 0)
+    if long.isEmpty():
+        return _short_splits(series, whole, rules)
+    ids = long.select(*KEY)
+    short = _short_splits(series.join(ids, KEY, "left_anti"), whole.join(ids, KEY, "left_anti"), rules)
+    return short.unionByName(_long_splits(series.join(ids, KEY, "left_semi"), long, rules, rows))
+
+
+def _short_splits(series: DataFrame, whole: DataFrame, rules: BandRules) -> DataFrame:
+    """Splits of series that a task can hold. Only positions and values move, once a level."""
+    window = max(4, rules.smooth_rows // 2)
+    live = whole.select(*KEY, F.lit("").alias("part"), F.lit(0).cast("bigint").alias("low"), F.col("_end").cast("bigint").alias("high"), "_end", "_w")
+    out, done = [*KEY, "part", "low", "high"], []
+    for _ in range(rules.split_depth):
+        cuts = _short_cuts(series, live.where(F.col("high") - F.col("low") >= rules.split_min_height), window, rules)
+        sides = scale.checkpointed(_cut_sides(cuts, rules))
+        fine = sides.groupBy(*KEY, "part").agg(F.bool_and("ok").alias("_fine")).where("_fine").select(*KEY, "part")
+        done.append(live.join(fine, [*KEY, "part"], "left_anti").select(*out))
+        children = sides.join(fine, [*KEY, "part"], "left_semi")
+        live = scale.checkpointed(children.select(
+            *KEY, F.concat("part", "s").alias("part"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "_end", "_w"
+        ))
+    for part in done:
+        live = live.select(*out).unionByName(part)
+    return live
+
+
+def _short_cuts(series: DataFrame, parts: DataFrame, window: int, rules: BandRules) -> DataFrame:
+    """The parts that have a valley, where they split (_at), and the first and last marks of both sides."""
+    keys = [*KEY, "part"]
+    found = series.select(*KEY, "pos", "value").join(parts.hint("merge"), KEY)
+    found = found.where((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high")))
+    part = Window.partitionBy(*keys).orderBy("pos")
+    near, before = part.rowsBetween(-window, window), part.rowsBetween(Window.unboundedPreceding, -1)
+    every = part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n, pos = F.col("high") - F.col("low"), F.col("pos") - F.col("low")
+    found = found.withColumns({
+        "smoothed": F.try_divide(F.sum("value").over(near).cast("double"), F.count("value").over(near)),
+        "_above": F.coalesce(F.sum("value").over(before), F.lit(0)), "_total": F.sum("value").over(every),
+        "_margin": F.greatest(F.lit(rules.min_height), F.floor(n * rules.split_margin_ratio)),
+    }).withColumn("_peak", F.max("smoothed").over(every))
+    peak, margin = F.col("_peak"), F.col("_margin")
+    open_ = (peak > 0) & (F.col("_w") > 1) & (n - margin * 2 > rules.min_valley_rows) & (pos >= margin) & (pos < n - margin)
+    sparse = open_ & (F.col("smoothed") <= F.greatest(F.lit(rules.valley_floor), peak * rules.valley_ratio))
+    found = found.withColumn("_sparse", F.coalesce(sparse, F.lit(False)))
+    # A run of sparse positions is all that follows one that is not.
+    found = found.withColumn("_run", F.sum(F.when(F.col("_sparse"), 0).otherwise(1)).over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    low = F.col("_sparse")
+    found = found.withColumns({
+        "_first": F.min(F.when(low, pos)).over(run), "_last": F.max(F.when(low, pos)).over(run),
+        "_depth_sum": F.sum(F.when(low, F.col("smoothed"))).over(run),
+    })
+    length, split = F.col("_last") - F.col("_first") + 1, F.floor((F.col("_first") + F.col("_last")) / 2)
+    dense, score = _valley_score(length, F.col("_depth_sum"), split, n, peak, F.col("_above"), F.col("_total"), F.col("_w"), rules)
+    good = (
+        low & (pos == split) & (length >= rules.min_valley_rows) & (split >= margin) & (n - split >= margin)
+        & (dense >= rules.min_side_density)
+    )
+    best = F.min(F.when(good, F.struct(_falling(score).alias("s"), F.col("pos").alias("at")))).over(Window.partitionBy(*keys))
+    found = found.withColumn("_at", best["at"]).where("_at is not null")
+    marked = F.when(F.col("value") > 0, F.col("pos"))
+    first, last = F.when(F.col("pos") < F.col("_at"), marked), F.when(F.col("pos") >= F.col("_at"), marked)
+    return found.groupBy(*keys, "low", "high", "_end", "_w", "_at").agg(
+        F.min(first).alias("_a0"), (F.max(first) + 1).alias("_a1"), F.min(last).alias("_b0"), (F.max(last) + 1).alias("_b1")
+    )
+
+
+def _cut_sides(cuts: DataFrame, rules: BandRules) -> DataFrame:
+    at = F.col("_at")
+    sides = F.array(
+        F.struct(F.lit("a").alias("s"), F.col("low").alias("lo"), at.alias("hi"), F.col("_a0").alias("_i0"), F.col("_a1").alias("_i1")),
+        F.struct(F.lit("b").alias("s"), at.alias("lo"), F.col("high").alias("hi"), F.col("_b0").alias("_i0"), F.col("_b1").alias("_i1")),
+    )
+    return _trimmed(cuts.select("*", F.explode(sides).alias("side")).select("*", "side.*").drop("side"), rules)
+
+
+def _long_splits(series: DataFrame, whole: DataFrame, rules: BandRules, rows: int | None) -> DataFrame:
+    """Splits of series of any length. They are written once, as a range index; the smoothed value at a position of a
+    part, the sums beside a valley and the marks at a part's ends are looked up there at every level, and never moved
+    whole to the driver, however small its file is."""
     window = max(4, rules.smooth_rows // 2)
     index = range_index(series, window, rows)
-    whole = series.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_end"), F.max(width.cast("double")).alias("_w"), F.sum("value").alias("upto"))
     zero = F.lit(0).cast("bigint")
     live = scale.checkpointed(whole.select(
         *KEY, F.lit("").alias("part"), zero.alias("low"), F.col("_end").cast("bigint").alias("high"), zero.alias("before"), "upto", "_end", "_w"
@@ -315,6 +396,11 @@ def _sides(index: DataFrame, cut: DataFrame, rules: BandRules, few: bool) -> Dat
     first = marks.select(*KEY, F.col("_look").alias("lo"), F.col("ink_next").alias("_i0"))
     last = marks.select(*KEY, (F.col("_look") + 1).alias("hi"), (F.col("ink_prev") + 1).alias("_i1"))
     held = _look_up(_look_up(looks, first, [*KEY, "lo"], few), last, [*KEY, "hi"], few)
+    return _trimmed(held, rules)
+
+
+def _trimmed(held: DataFrame, rules: BandRules) -> DataFrame:
+    """Sides from lo to hi with their first mark and the place after their last one, padded and grown."""
     pad, grow, lo, hi = int(rules.slice_pad), int(rules.slice_grow), F.col("lo"), F.col("hi")
     low = F.greatest(F.lit(0), F.greatest(lo, F.col("_i0") - pad) - grow).cast("bigint")
     high = F.least(F.col("_end"), F.least(hi, F.col("_i1") + pad) + grow).cast("bigint")

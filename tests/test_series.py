@@ -182,6 +182,23 @@ def test_recursive_splits(values, frame, rows):
     assert got == expected and len(expected) > len(values)
 
 
+def test_short_series_need_no_index(values, frame, spark, monkeypatch):
+    """Only a series longer than a slice is looked up in an index, here one of five."""
+    indexed, index = [], series.range_index
+
+    def counted(some, *rest):
+        indexed.extend(r.series_id for r in some.select("series_id").distinct().collect())
+        return index(some, *rest)
+
+    monkeypatch.setattr(series, "range_index", counted)
+    held = values | {"long": values["a"] + values["b"]}
+    rows = [(k, i, v) for k, vs in held.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, frame.schema)
+    got = sorted((r.series_id, r.low, r.high) for r in series.recursive_splits(df, F.lit(10.0), RULES, rows=200).collect())
+    assert got == sorted((k, a, b) for k, vs in held.items() for a, b in split_loop(vs, 0, len(vs), 0, RULES))
+    assert indexed == ["long"]
+
+
 def test_columns(spark):
     vs = [10] * 45 + [0] * 60 + [10] * 35
     df = spark.createDataFrame([("s", i, v, float(v)) for i, v in enumerate(vs)] + [("t", 0, 1, 1.0)], "series_id string, pos bigint, value bigint, smoothed double")
