@@ -69,11 +69,15 @@ def staged(df: DataFrame) -> DataFrame:
 
     For a frame that several steps read: it is computed once, later steps read
     only the columns they need, and a lost executor costs a re-read.
+
+    Such tables pack so well that Spark would take millions of rows for small
+    and gather them in the driver; so both sides of their joins are moved by
+    key, unless the other side is broadcast by name.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -155,3 +155,15 @@ def test_large_groups_are_cut_into_as_many_slices_as_they_need(with_nulls):
     assert sum(k == "hot" for k, _ in sizes) >= 4 and sum(k is None for k, _ in sizes) >= 3 and ("k", 0) in sizes
     whole, _ = scale.by_order(df, [], [F.col("v")], rows=10)
     assert whole.select(scale.SLICE).distinct().count() >= 5
+
+
+def test_staged_tables_are_never_gathered(spark):
+    """Rows that pack into a few KB are not small; neither side of a join goes to the driver."""
+    rows = scale.staged(spark.range(200_000).select(F.col("id").alias("key"), F.lit(1).alias("one")))
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) < 10 << 20  # small enough by its file
+    counted = rows.groupBy("key").agg(F.count("one").alias("n"))
+    for joined in (rows.join(counted, "key"), spark.range(10).withColumnRenamed("id", "key").join(rows, "key")):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = F.broadcast(spark.range(10).withColumnRenamed("id", "key")).join(rows, "key")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 10
