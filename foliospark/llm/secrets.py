@@ -42,6 +42,8 @@ PRIOR = 1000  # beginnings that weigh as much as that assumption
 STARTS = (20, 28, 36, 48)  # lengths of the beginnings that are tested, of strings at least half as long again
 TOP = 512  # lengths from here on count as one
 SCHEMA = "base array<struct<kind:string,start:int,end:int>>, tested int, runs array<struct<start:int,end:int>>, tried array<int>, leaked array<int>"
+FIELDS = ["base", "tested", "runs", "tried", "leaked"]
+FOUND = "__llm_found"
 
 SMALL, LARGE, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ENCODINGS = [  # narrowest first: parts that should each get their share, in value order
@@ -139,25 +141,28 @@ def scan(text: str) -> Scan:
     return found._replace(tested=tested)
 
 
+def _arrays(texts: list[str]) -> list[pa.Array]:
+    """What ``scan`` finds in each text, as the columns of ``SCHEMA``."""
+    spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    plain = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    counts = pa.list_(pa.int32())
+    found = [scan(t) for t in texts]
+    base = [[dict(zip(("kind", "start", "end"), x)) for x in f.base] for f in found]
+    runs = [[dict(zip(("start", "end"), x)) for x in f.passed] for f in found]
+    return [
+        pa.array(base, spans), pa.array([f.tested for f in found], pa.int32()), pa.array(runs, plain),
+        pa.array([f.tried for f in found], counts), pa.array([f.leaked for f in found], counts),
+    ]
+
+
 def scanned(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The kept columns and what ``scan`` finds. Null text counts as empty."""
     source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        plain = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        counts = pa.list_(pa.int32())
         for batch in batches:
-            found = [scan(t) for t in strings(batch.column("_text"))]
-            base = [[dict(zip(("kind", "start", "end"), x)) for x in f.base] for f in found]
-            runs = [[dict(zip(("start", "end"), x)) for x in f.passed] for f in found]
-            columns = [
-                pa.array(base, spans), pa.array([f.tested for f in found], pa.int32()), pa.array(runs, plain),
-                pa.array([f.tried for f in found], counts), pa.array([f.leaked for f in found], counts),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], *columns], [*keep, "base", "tested", "runs", "tried", "leaked"]
-            )
+            columns = _arrays(strings(batch.column("_text")))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *columns], [*keep, *FIELDS])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return source.mapInArrow(run, f"{kinds}, {SCHEMA}" if keep else SCHEMA)
@@ -229,7 +234,11 @@ def listed(spans: Column) -> Column:
 def redact(text: str, least: int, mask: str) -> str:
     """The text with each span, or overlap of spans, replaced by the mask."""
     found = scan(text)
-    spans = sorted([(s, e) for _, s, e in found.base] + [(s, e) for s, e in found.passed if e - s >= least])
+    return replaced(text, sorted([(s, e) for _, s, e in found.base] + [(s, e) for s, e in found.passed if e - s >= least]), mask)
+
+
+def replaced(text: str, spans: list[tuple[int, int]], mask: str) -> str:
+    """The text with each of the sorted spans, or overlap of them, replaced by the mask."""
     out, last = [], 0
     for start, end in spans:
         if start >= last:
@@ -240,14 +249,28 @@ def redact(text: str, least: int, mask: str) -> str:
 
 def redacted(docs: DataFrame, text: str = "text", *, mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """The documents, row for row, with every secret in ``text`` masked. Null stays null, an
-    empty text empty; repeated rows stay, an empty table stays empty."""
-    least = least_length(scanned(docs.select(F.col(text).alias("text")), [], "text"), fdr)
+    empty text empty; repeated rows stay, an empty table stays empty.
 
-    @F.pandas_udf("string")
-    def masked(values):
-        return values.map(lambda t: t if t is None else redact(t, least, mask))
+    A text is scanned once; what is found is written beside its row, and only texts that hold a secret are masked.
+    """
 
-    return docs.withColumn(text, masked(F.col(text).cast("string")))
+    @F.arrow_udf(f"struct<{SCHEMA}>")
+    def found(values: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_arrays(strings(values)), FIELDS)
+
+    @F.arrow_udf("string")
+    def masked(values: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(values.to_pylist(), spans.to_pylist())
+        return pa.array([t if t is None else replaced(t, [(x["start"], x["end"]) for x in s], mask) for t, s in pairs], pa.string())
+
+    source = docs.withColumn(text, F.col(text).cast("string"))
+    held = Stage(docs.sparkSession).keep(source.withColumn(FOUND, found(F.col(text))), "scanned")
+    least = least_length(held.select(f"{FOUND}.*"), fdr)
+    base = F.transform(F.col(FOUND)["base"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    spans = F.array_sort(F.concat(base, F.filter(F.col(FOUND)["runs"], lambda r: r["end"] - r["start"] >= least)))
+    some = F.size(spans) > 0
+    clean = F.when(some, masked(F.when(some, F.col(text)), F.when(some, spans))).otherwise(F.col(text))
+    return held.withColumn(text, clean).drop(FOUND)
 
 
 def digest(spans: str) -> str:

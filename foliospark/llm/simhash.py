@@ -77,9 +77,14 @@ def _mixed(hashes: np.ndarray, lanes: int) -> np.ndarray:
 def fingerprint(text: bytes, size: int, lanes: int = 1, distinct: bool = False) -> bytes:
     """A bit is 1 if it is set in more than half the shingle hashes; no words give zero. ``distinct`` counts
     a repeated shingle once, as overlap of shingle sets does."""
-    hashes = shingle_hashes(text, size)
     if distinct:
-        hashes = np.unique(hashes.view(">u8").ravel()).view(np.uint8).reshape(-1, 8)
+        return majority(distinct_hashes(text, size), lanes)
+    return majority(shingle_hashes(text, size).view(">u8").ravel(), lanes)
+
+
+def majority(hashes: np.ndarray, lanes: int) -> bytes:
+    """For each bit of the hashes, and of ``lanes`` hashes made of each, whether it is set in more than half of them."""
+    hashes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     total = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(hashes), 255):
         bits = np.unpackbits(_mixed(hashes[at : at + 255], lanes), axis=1)
@@ -120,7 +125,7 @@ def word_prints(docs: DataFrame, keep: list[str], text: str, size: int, lanes: i
                 found = distinct_hashes(data, size)
                 n.append(len(found))
                 few.append(found.astype(np.int64) if len(found) <= MANY else found[:0].astype(np.int64))
-                longs = fingerprint(data, size, lanes, distinct=True) if len(found) > FEW else b""
+                longs = majority(found, lanes) if len(found) > FEW else b""
                 bits.append(np.frombuffer(longs, ">i8").astype(np.int64))
                 level = np.add.reduce([in_map(m, found) for m in maps], dtype=np.int8)
                 places = len(found) - (4 * len(found) + 4) // 5 + 1 if len(found) > FEW else 0

@@ -3,9 +3,10 @@ import re
 import string
 import time
 
-from foliospark.llm import secrets
 from pyspark.sql import functions as F
 
+from foliospark.llm import secrets
+
 KEY = "sk_" + "".join(random.Random(5).choices(string.ascii_letters + string.digits, k=48))
 
 
@@ -75,6 +76,19 @@ def test_redaction_keeps_rows_and_the_rest_of_the_text(spark, odd, empty):
     assert secrets.secrets(odd).count() == odd.count()
 
 
+def test_redaction_reads_and_scans_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("text", counted("text"))
+    found = {r.doc_id: r.text for r in secrets.redacted(rows).collect()}
+    assert found[0] == 'é [SECRET]"' and found[11] == "see [SECRET] there" and seen.value == len(TEXTS)
+
+
 def plain_runs(text):
     """Runs outside base spans that pass, by comparing each with every span."""
     base = plain_base(text)
