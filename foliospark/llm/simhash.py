@@ -192,6 +192,12 @@ def overlapping(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
 
 
+def enough_left(a: Column, b: Column) -> Column:
+    """Whether two texts can share 4 / 5 of their union when the key is the first shingle that they share: each has
+    ``n`` shingles, ``place`` of them before it."""
+    return F.least(a["n"] - a["place"], b["n"] - b["place"]) * 9 >= (a["n"] + b["n"]) * 4
+
+
 def rare_keys(nodes: DataFrame) -> DataFrame:
     """node, copies, bits, keys: of the n shingles in ``bits``, the n - 4 / 5 n + 1 rarest, without those no other
     text has. Two texts with an overlap of 0.8 have one of these in common."""
@@ -216,41 +222,44 @@ def block_keys(bits: Column, blocks: int, distance: int) -> Column:
 
 
 def differing(a: Column, b: Column, lanes: int) -> Column:
-    total = F.lit(0)
-    for i in range(lanes):
-        total = total + F.bit_count(a.getItem(i).bitwiseXOR(b.getItem(i)))
-    return total
+    """How many bits differ. Lanes are added by a function of arrays, as one sum of many is too long a method for Java to compile."""
+    if lanes == 1:
+        return F.bit_count(a.getItem(0).bitwiseXOR(b.getItem(0)))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
 
 
 def linked(
     nodes: DataFrame, keys: Column | DataFrame, lanes: int, limit: int, mini: int | None = None,
     test: Callable[[Column, Column], Column] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None,
+    meets: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(node, root) for nodes with a link; ``nodes`` is a written table of node, copies, bits. ``keys`` is an array of it,
-    or rows of node and key, in which a row may be repeated.
+    or rows of node, key and at, in which a row may be repeated; ``meets`` tells by the ``at`` of both whether a pair is
+    looked at under a key. It must hold under one of the keys that a link shares, and where it holds, for one of the two with itself.
 
     A link is a pair that shares a key and differs in at most ``limit`` bits, or passes ``test`` of both
     ``bits``, and that ``exact``, which takes and returns rows with a and b, leaves in. With ``mini``, the
     first lane alone is compared before the other lanes are fetched.
     """
     test = test or (lambda a, b: differing(a, b, lanes) <= limit)
+    meets = meets or (lambda a, b: F.lit(True))
     stage = Stage(nodes.sparkSession)
     first = F.col("bits").getItem(0).alias("lane")
     # Most rows are alone under their key and go at once, by the narrowest rows there are.
     if isinstance(keys, DataFrame):
         # Many keys for each node: they move once, with the node alone.
         each = Window.partitionBy("key")
-        met = keys.select("key", "node").withColumns({"_least": F.min("node").over(each), "_most": F.max("node").over(each)})
-        met = met.where("_least <> _most").select("key", "node").distinct()
+        facts = {"_least": F.min("node").over(each), "_most": F.max("node").over(each), "_some": F.max(meets(F.col("at"), F.col("at"))).over(each)}
+        met = keys.select("key", "node", "at").withColumns(facts).where("_least <> _most and _some").select("key", "node", "at").distinct()
         shared, several = stage.keep(met.join(nodes.select("node", "copies", first), "node"), "shared"), None
     else:
-        keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"))
+        keyed = nodes.select("node", "copies", first, F.explode(keys).alias("key"), F.lit(None).cast("int").alias("at"))
         several = stage.keep(keyed.groupBy("key").count().where("count > 1").select("key"), "several")
         shared = stage.keep(keyed.join(several.hint("merge"), "key"), "shared")
-    buckets = shared.groupBy("key").agg(F.max(F.struct("copies", "node", "lane")).alias("rep"), F.count("*").alias("members"))
+    buckets = shared.groupBy("key").agg(F.max(F.struct("copies", "node", "lane", "at")).alias("rep"), F.count("*").alias("members"))
     buckets = stage.keep(buckets, "buckets")
 
-    near = F.bit_count(F.col("lane").bitwiseXOR(F.col("rep.lane"))) <= (limit if mini is None else mini)
+    near = meets(shared["at"], F.col("rep.at")) & (F.bit_count(F.col("lane").bitwiseXOR(F.col("rep.lane"))) <= (limit if mini is None else mini))
     star = shared.join(buckets, (shared.key == buckets.key) & (F.col("node") != F.col("rep.node")) & near)
     star = star.select(F.col("node").alias("a"), F.col("rep.node").alias("b"), F.col("rep.copies").alias("copies")).distinct()
 
@@ -279,15 +288,15 @@ def linked(
         stage.drop(star, best, first, rest)
 
     # Buckets of two are settled by now. Larger ones matter only if they hold several groups.
-    crowded = shared.select("key", "node").join(buckets.where("members > 2").select("key"), "key")
-    grouped = stage.keep(crowded.join(merged, "node", "left").select("key", "node", F.coalesce("root", "node").alias("grp")), "grouped")
+    crowded = shared.select("key", "node", "at").join(buckets.where("members > 2").select("key"), "key")
+    grouped = stage.keep(crowded.join(merged, "node", "left").select("key", "node", "at", F.coalesce("root", "node").alias("grp")), "grouped")
     sizes = grouped.groupBy("key", "grp").count()
     mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "grp"))["grp"].alias("main"), F.count("*").alias("n"))
     mixed = stage.keep(mixed.where("n > 1").drop("n"), "mixed")
     rows = stage.keep(grouped.join(mixed, "key").join(nodes.select("node", "bits"), "node"), "rows")
     s, r = rows.alias("s"), rows.alias("r")
     other = (F.col("s.grp") != F.col("r.grp")) & ((F.col("r.grp") == F.col("r.main")) | (F.col("s.node") < F.col("r.node")))
-    close = test(F.col("s.bits"), F.col("r.bits"))
+    close = meets(F.col("s.at"), F.col("r.at")) & test(F.col("s.bits"), F.col("r.bits"))
     late = s.where("grp <> main").join(r, (F.col("s.key") == F.col("r.key")) & other & close)
     if exact is not None:
         pair = [F.col("s.node").alias("a"), F.col("r.node").alias("b"), F.col("s.grp").alias("a_grp"), F.col("r.grp").alias("b_grp")]
@@ -353,8 +362,9 @@ def similar_groups(
         return near
 
     many = nodes.where(F.col("n") > FEW).select("node", "copies", "bits")
-    keys = members.select(F.col("mark").alias("node"), F.explode("keys").alias("key"))
-    groups = linked(many, keys, lanes, int(rate * 64 * lanes), MINI, exact=exact)
+    keys = members.select(F.col("mark").alias("node"), "n", F.posexplode("keys").alias("place", "key"))
+    keys = keys.select("node", "key", F.struct("n", "place").alias("at"))
+    groups = linked(many, keys, lanes, int(rate * 64 * lanes), MINI, exact=exact, meets=enough_left)
     few = nodes.where((F.col("n") > 0) & (F.col("n") <= MANY)).select("node", "copies", F.col("few").alias("bits"))
     few = stage.keep(rare_keys(few), "few")
     groups = groups.unionByName(linked(few, F.col("keys"), MANY, 0, 64, test=overlapping))

@@ -184,3 +184,37 @@ def test_long_texts_with_frequent_lines_meet_in_the_rest(spark):
     found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id", "text")
     group = {r.doc_id: r.group for r in found.collect()}
     assert all(group[2 * i] == group[2 * i + 1] for i in range(150)) and len(set(group.values())) == 150
+
+
+def test_groups_are_the_same_whatever_the_order_of_shingles(spark, monkeypatch):
+    """Which texts the frequent shingles are counted in decides who meets, not who is linked."""
+    cases = [(120 + i, i % 45, (7 * i) % 45) for i in range(60)]
+    line = " ".join(run_of("line", 40))
+    rows = []
+    for i, (shared, a, b) in enumerate(cases):
+        common = [*run_of(f"c{i}", shared + 4), line]
+        rows += [(2 * i, " ".join([*run_of(f"a{i}", a), *common])), (2 * i + 1, " ".join([*run_of(f"b{i}", b), *common]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def groups():
+        found = defaultdict(set)
+        for r in simhash.similar_groups(docs, "doc_id", "text").collect():
+            found[r.group].add(r.doc_id)
+        return {frozenset(g) for g in found.values()}
+
+    sets = {i: set(simhash.distinct_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    linked = {i for i in range(0, 120, 2) if len(sets[i] & sets[i + 1]) * 5 >= len(sets[i] | sets[i + 1]) * 4}
+    expected = {frozenset((i, i + 1)) for i in linked} | {frozenset([j]) for i in range(0, 120, 2) if i not in linked for j in (i, i + 1)}
+    assert 10 < len(linked) < 50 and groups() == expected
+    none = simhash.np.zeros(1 << simhash.MAP_BITS - 6, simhash.np.uint64)
+    for maps in ([none] * len(simhash.OFTEN), [~none] * len(simhash.OFTEN)):
+        monkeypatch.setattr(simhash, "frequent_shingles", lambda *_, m=maps: m)
+        assert groups() == expected
+
+
+def test_pairs_that_cannot_reach_the_overlap_are_not_looked_at(spark):
+    """The shorter text's key is among its first ninth, and both have enough shingles left."""
+    at = spark.createDataFrame([(90, 10, 90, 10), (90, 11, 90, 0), (90, 0, 112, 0), (90, 0, 113, 0), (100, 0, 125, 25), (100, 1, 125, 25), (100, 0, 125, 26)],
+                               "an int, ap int, bn int, bp int")
+    a, b = (F.struct(F.col(f"{x}n").alias("n"), F.col(f"{x}p").alias("place")) for x in "ab")
+    assert [r[0] for r in at.select(simhash.enough_left(a, b)).collect()] == [True, False, True, False, True, False, False]
